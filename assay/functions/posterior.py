@@ -11,19 +11,49 @@ def asum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def argmax_lowest(p: Column) -> Column:
+def slots(p: Column, k: int) -> list[Column]:
+    """The k values of a posterior as scalar columns.
+
+    Rules are written over scalars, not higher-order functions: they stay inside generated
+    code and share the common parts.
+    """
+    return [F.get(p, F.lit(i)) for i in range(k)]
+
+
+def largest(v: list[Column]) -> Column:
+    return F.greatest(*v) if len(v) > 1 else v[0]
+
+
+def first_within(v: list[Column], bound: Column) -> Column:
+    """Lowest index whose value is at least ``bound``."""
+    out = F.lit(len(v) - 1)
+    for i in reversed(range(len(v) - 1)):
+        out = F.when(v[i] >= bound, F.lit(i)).otherwise(out)
+    return out.cast("int")
+
+
+def argmax_of(v: list[Column]) -> Column:
     """Index of the largest value; the lowest class wins a tie up to rounding noise."""
-    near = F.transform(p, lambda x: x >= F.array_max(p) - F.lit(TIE))
-    return (F.array_position(near, F.lit(True)) - 1).cast("int")
+    return first_within(v, largest(v) - F.lit(TIE))
+
+
+def argmin_of(v: list[Column]) -> Column:
+    return argmax_of([-x for x in v])
+
 
+def argmax_lowest(p: Column, k: int) -> Column:
+    return argmax_of(slots(p, k))
 
-def has_tie(p: Column) -> Column:
-    return F.size(F.filter(p, lambda x: x >= F.array_max(p) - F.lit(TIE))) > 1
 
+def has_tie(p: Column, k: int) -> Column:
+    v = slots(p, k)
+    bound = largest(v) - F.lit(TIE)
+    return sum(((x >= bound).cast("int") for x in v[1:]), (v[0] >= bound).cast("int")) > 1
 
-def argmin_lowest(a: Column) -> Column:
-    near = F.transform(a, lambda x: x <= F.array_min(a) + F.lit(TIE))
-    return (F.array_position(near, F.lit(True)) - 1).cast("int")
+
+def round9(x: Column) -> Column:
+    """Half-up to 9 decimals in plain arithmetic; the built-in goes through decimals."""
+    return F.floor(x * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
 
 
 def p_at(p: Column, y: Column) -> Column:
@@ -51,38 +81,42 @@ def default_weights(names: list[str]) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def clip_thresholds(t: Column) -> Column:
-    return F.transform(t, lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(0.999999), x)))
+def clip_threshold(t: Column) -> Column:
+    return F.greatest(F.lit(1e-6), F.least(F.lit(0.999999), t))
 
 
-def threshold_rule(p: Column, thresholds: Column, k: int, normal_idx: int | None = None) -> Column:
+def threshold_rule(p: Column, thresholds: Column | list[float], k: int, normal_idx: int | None = None) -> Column:
     """Largest p/t among the classes with p >= t, the plain argmax where none qualifies.
 
     With two classes only the positive one is compared with its threshold.
     """
-    t = clip_thresholds(thresholds)
+    v = slots(p, k)
+    raw = [F.lit(float(x)) for x in thresholds] if isinstance(thresholds, list) else slots(thresholds, k)
+    t = [clip_threshold(x) for x in raw]
     if k == 2:
         pos = 1 - normal_idx if normal_idx in (0, 1) else 1
-        return F.when(F.get(p, F.lit(pos)) >= F.get(t, F.lit(pos)), F.lit(pos)).otherwise(F.lit(1 - pos))
-    score = F.zip_with(p, t, lambda a, b: F.when(a >= b, a / b).otherwise(F.lit(-1.0)))
-    return F.when(F.array_max(score) > 0, argmax_lowest(score)).otherwise(argmax_lowest(p))
+        return F.when(v[pos] >= t[pos], F.lit(pos)).otherwise(F.lit(1 - pos))
+    score = [F.when(a >= b, a / b).otherwise(F.lit(-1.0)) for a, b in zip(v, t)]
+    return F.when(largest(score) > 0, argmax_of(score)).otherwise(argmax_of(v))
 
 
 def bayes_rule(p: Column, cost: list[list[float]]) -> Column:
     """Class with the smallest expected cost sum_i p_i C[i][j]."""
+    v = slots(p, len(cost))
     risks = []
     for j in range(len(cost)):
-        col = F.array(*[F.lit(float(row[j])) for row in cost])
-        risks.append(asum(F.zip_with(p, col, lambda a, b: a * b)))
-    return argmin_lowest(F.array(*risks))
+        terms = [x * F.lit(float(row[j])) for x, row in zip(v, cost)]
+        risks.append(sum(terms[1:], terms[0]))
+    return argmin_of(risks)
 
 
-def temperature_apply(p: Column, t: Column | float) -> Column:
+def temperature_apply(p: Column, t: Column | float, k: int) -> Column:
     """softmax(log(p) / T)."""
     t = F.lit(float(t)) if isinstance(t, (int, float)) else t
-    z = F.transform(p, lambda x: F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), x))) / t)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / asum(e))
+    z = [F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), x))) / t for x in slots(p, k)]
+    e = [F.exp(x - largest(z)) for x in z]
+    total = sum(e[1:], e[0])
+    return F.array(*[x / total for x in e])
 
 
 def cost_matrix(k: int, normal_idx: int | None, miss: float = 10.0, wrong_type: float = 4.0,
@@ -111,10 +145,6 @@ def valid_posterior(p: Column, y_pred: Column, k: int) -> dict[str, Column]:
     }
 
 
-def micros(col: Column) -> Column:
-    """Value as whole millionths: a float that prints and hashes the same everywhere."""
-    return F.round(col * 1e6).cast("bigint")
-
-
-def micros_text(p: Column) -> Column:
-    return F.array_join(F.transform(p, lambda x: micros(x).cast("string")), ",")
+def nanos(col: Column) -> Column:
+    """Value as whole billionths: a float that prints and hashes the same everywhere."""
+    return F.round(col * 1e9).cast("bigint")

@@ -82,7 +82,7 @@ def spread_posteriors(preds: DataFrame, k: int) -> DataFrame:
 
 def build_prediction_rows(rows: DataFrame, k: int) -> DataFrame:
     """Posteriors to prediction rows: checked, labelled by the lowest argmax, spread to columns."""
-    y = argmax_lowest(F.col("p"))
+    y = argmax_lowest(F.col("p"), k)
     v = valid_posterior(F.col("p"), y, k)
     bad = reduce(lambda a, b: a | b, [v["wrong_length"], v["not_finite"], v["negative"], v["sum_not_one"]])
     stop = F.raise_error(F.concat(F.lit("invalid probabilities for "), F.col("path"))).cast("int")

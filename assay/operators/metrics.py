@@ -124,7 +124,7 @@ def expected_risk(cm: DataFrame, keys: list[str], cost: DataFrame) -> DataFrame:
     )
 
 
-def ece(preds: DataFrame, keys: list[str], bins: int = 15) -> DataFrame:
+def ece(preds: DataFrame, keys: list[str], k: int, bins: int = 15) -> DataFrame:
     """Expected calibration error over equal bins (lo, hi] of the largest posterior."""
     conf = F.array_max("p")
     step = 1.0 / bins
@@ -132,7 +132,7 @@ def ece(preds: DataFrame, keys: list[str], bins: int = 15) -> DataFrame:
     b = F.lit(0)
     for e in edges:
         b = b + (F.col("conf") > F.lit(e)).cast("int")
-    rows = preds.select(*keys, conf.alias("conf"), (argmax_lowest(F.col("p")) == F.col("y_true")).cast("int").alias("ok"))
+    rows = preds.select(*keys, conf.alias("conf"), (argmax_lowest(F.col("p"), k) == F.col("y_true")).cast("int").alias("ok"))
     per_bin = rows.where("conf > 0").withColumn("bin", b).groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("m"), F.avg("ok").alias("acc"), F.avg("conf").alias("conf"))
     total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
@@ -196,7 +196,7 @@ def mean_posterior_pool(preds: DataFrame, keys: list[str], k: int, renormalise:
     if renormalise:
         s = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
         means = means.withColumn("p", F.transform("p", lambda x: x / F.greatest(s, F.lit(1e-12))))
-    return means.withColumn("y_pred", argmax_lowest(F.col("p"))).withColumn("tie", has_tie(F.col("p")))
+    return means.withColumn("y_pred", argmax_lowest(F.col("p"), k)).withColumn("tie", has_tie(F.col("p"), k))
 
 
 def class_balance_weights(rows: DataFrame, label: str) -> DataFrame:

@@ -28,15 +28,15 @@ def decision_rules(preds: DataFrame, thresholds: list[float], k: int, normal_idx
     """Long table (method, path, y_true, rule, decision) of the four rules on one posterior."""
     p = F.col("p")
     cost = po.cost_matrix(k, normal_idx)
-    t = F.array(*[F.lit(float(x)) for x in thresholds])
     rules = {
-        "argmax": po.argmax_lowest(p),
-        "threshold": po.threshold_rule(p, t, k, normal_idx),
+        "argmax": po.argmax_lowest(p, k),
+        "threshold": po.threshold_rule(p, thresholds, k, normal_idx),
         "bayes": po.bayes_rule(p, cost),
-        "bayes_cal": po.bayes_rule(po.temperature_apply(p, temperature), cost),
+        "bayes_cal": po.bayes_rule(F.col("_cal"), cost),
     }
     each = F.array(*[F.struct(F.lit(r).alias("rule"), c.alias("decision")) for r, c in rules.items()])
-    return preds.select("method", "path", "y_true", F.explode(each).alias("r")).select("method", "path", "y_true", "r.*")
+    d = preds.withColumn("_cal", po.temperature_apply(p, temperature, k))
+    return d.select("method", "path", "y_true", F.explode(each).alias("r")).select("method", "path", "y_true", "r.*")
 
 
 def leaderboard(results: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -89,12 +89,13 @@ THRESHOLD_GRID = [round(0.05 + 0.025 * i, 3) for i in range(37)]
 
 
 def threshold_bin(p: Column) -> Column:
-    """How many grid thresholds lie at or below ``p`` (rounded to 9 decimals)."""
-    v = F.round(p, 9)
-    b = F.lit(0)
-    for t in THRESHOLD_GRID:
-        b = b + (v >= F.lit(t)).cast("int")
-    return b
+    """How many grid thresholds lie at or below ``p``, which has at most 9 decimals.
+
+    The small shift keeps a value on a grid point on its upper side and is below the
+    distance of the next 9-decimal value.
+    """
+    b = F.floor((p - F.lit(THRESHOLD_GRID[0])) * F.lit(40.0) + F.lit(1e-8)) + 1
+    return F.greatest(F.lit(0), F.least(F.lit(len(THRESHOLD_GRID)), b)).cast("int")
 
 
 def tune_thresholds(rows: DataFrame, keys: list[str], k: int, metric: str = "bal_acc",
@@ -105,21 +106,20 @@ def tune_thresholds(rows: DataFrame, keys: list[str], k: int, metric: str = "bal
     Rows shrink to a histogram (keys, class, bin, hit) in one pass; the 37 candidates are
     then running sums over 38 bins.
     """
-    sides = F.array(*[F.struct(F.lit(c).alias("cls"), threshold_bin(F.get("p", F.lit(c))).alias("bin"),
-                               (F.col("y_true") == c).alias("pos")) for c in range(k)])
+    sides = F.array(*[
+        F.struct(F.lit(c).alias("cls"), threshold_bin(po.round9(F.get("p", F.lit(c)))).alias("bin"),
+                 (F.col("y_true") == c).cast("int").alias("pos")) for c in range(k)])
     hist = (rows.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
-            .groupBy(*keys, "cls", "bin").agg(
-                F.sum(F.col("pos").cast("int")).alias("np"), F.sum((~F.col("pos")).cast("int")).alias("nn")))
-    wide = hist.groupBy(*keys, "cls").agg(
+            .groupBy(*keys, "cls", "bin").agg(F.sum("pos").alias("np"), F.sum(1 - F.col("pos")).alias("nn")))
+    top = len(THRESHOLD_GRID) - 1
+    at = hist.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    passed = F.col("bin") > F.col("i")
+    d = at.groupBy(*keys, "cls", "i").agg(
         F.sum("np").alias("P"), F.sum("nn").alias("N"),
-        F.map_from_entries(F.collect_list(F.struct("bin", F.struct("np", "nn")))).alias("bins"))  # at most 38 entries
-    def above(i: int, f: str) -> Column:
-        return F.aggregate(F.sequence(F.lit(i + 1), F.lit(len(THRESHOLD_GRID))), F.lit(0).cast("bigint"),
-                           lambda s, b: s + F.coalesce(F.try_element_at("bins", b)[f], F.lit(0)))
+        F.sum(F.when(passed, F.col("np")).otherwise(0)).alias("tp"),
+        F.sum(F.when(passed, F.col("nn")).otherwise(0)).alias("fp"))
+    d = d.withColumn("t", F.get(F.array(*[F.lit(t) for t in THRESHOLD_GRID]), F.col("i")))
     P, N = F.col("P"), F.col("N")
-    cands = F.array(*[F.struct(F.lit(t).alias("t"), above(i, "np").alias("tp"), above(i, "nn").alias("fp"))
-                      for i, t in enumerate(THRESHOLD_GRID)])
-    d = wide.select(*keys, "cls", "P", "N", F.explode(cands).alias("c")).select(*keys, "cls", "P", "N", "c.*")
     tp, fp = F.col("tp"), F.col("fp")
     rec = F.when(P > 0, tp / P).otherwise(F.lit(0.0))
     value = {
@@ -171,7 +171,7 @@ def ensemble_weight_search(preds: DataFrame, members: list[str], k: int, step: f
     lit = F.array(*[F.struct(F.lit(i).alias("wid"), F.array(*[F.lit(float(x)) for x in w]).alias("w")) for i, w in points])
     rows = joins.member_posteriors(preds, members).select("path", "y_true", "ps", F.explode(lit).alias("g"))
     mixed = F.array(*[
-        F.round(sum((F.col("g.w")[m] * F.col("ps")[m][c] for m in range(1, len(members))), F.col("g.w")[0] * F.col("ps")[0][c]), 9)
+        po.round9(sum((F.col("g.w")[m] * F.col("ps")[m][c] for m in range(1, len(members))), F.col("g.w")[0] * F.col("ps")[0][c]))
         for c in range(k)])
     mix = rows.select(F.col("g.wid").alias("wid"), "y_true", mixed.alias("p"))
     thr = tune_thresholds(mix, ["wid"], k)
@@ -191,8 +191,11 @@ def temperature_fit(preds: DataFrame, keys: list[str], lo: float = 0.05, hi: flo
     Each round scores ``points`` log-spaced temperatures in one aggregation pass and narrows
     the bracket to the neighbours of the best; the driver sees keys x points means.
     """
-    logp = F.transform("p", lambda x: F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), x))))
-    d = preds.select(*keys, logp.alias("l"), F.get(logp, F.col("y_true")).alias("ly"))
+    k = preds.select(F.max(F.size("p"))).first()[0]
+    logp = [F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), x))) for x in po.slots(F.col("p"), k)]
+    d = preds.select(*keys, *[x.alias(f"l{i}") for i, x in enumerate(logp)], "y_true")
+    ls = [F.col(f"l{i}") for i in range(k)]
+    d = d.withColumn("top", po.largest(ls)).withColumn("ly", F.get(F.array(*ls), F.col("y_true")))
     spark = preds.sparkSession
     found = {tuple(r): (math.log(lo), math.log(hi)) for r in d.select(*keys).distinct().collect()}
     schema = d.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
@@ -200,11 +203,10 @@ def temperature_fit(preds: DataFrame, keys: list[str], lo: float = 0.05, hi: flo
     for _ in range(rounds):
         cand = [(*key, [math.exp(a + (b - a) * i / (points - 1)) for i in range(points)]) for key, (a, b) in found.items()]
         grid = spark.createDataFrame(cand, f"{schema}, ts array<double>")
-        top = F.array_max("l")
-        def nll(t):
-            lse = F.log(F.aggregate("l", F.lit(0.0), lambda s, x: s + F.exp((x - top) / t)))
-            return -F.greatest(F.lit(math.log(1e-12)), (F.col("ly") - top) / t - lse)
-        scored = d.join(F.broadcast(grid), keys).select(*keys, F.posexplode(F.transform("ts", nll)).alias("i", "v"))
+        at = d.join(F.broadcast(grid), keys).select(*keys, *ls, "top", "ly", F.posexplode("ts").alias("i", "t"))
+        e = [F.exp((x - F.col("top")) / F.col("t")) for x in ls]
+        ll = (F.col("ly") - F.col("top")) / F.col("t") - F.log(sum(e[1:], e[0]))
+        scored = at.select(*keys, "i", (-F.greatest(F.lit(math.log(1e-12)), ll)).alias("v"))
         means = scored.groupBy(*keys, "i").agg(F.avg("v").alias("m")).groupBy(*keys).agg(
             F.min_by("i", F.struct("m", "i")).alias("i"), F.min("m").alias("m")).collect()
         for r in means:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from assay.functions import posterior as po
 from assay.operators import audits, joins, metrics as me, selection, tests_paired as tp
 from assay.plans import fixtures as fx
-from assay.plans.registry import MU, query
+from assay.plans.registry import NA, query
 
 K = fx.K
 NORMAL = 2
@@ -133,7 +133,7 @@ SELECT method, bin, count(*) AS m, avg(ok) AS acc, avg(conf) AS conf, sum(count(
 SELECT method, conf, ok, len(list_filter(range(1,15), lambda i: conf > i*(1.0::DOUBLE/15))) AS bin FROM (
 SELECT method, list_max(p) AS conf, ({ARG}=y_true)::INT AS ok FROM preds)) GROUP BY method, bin) GROUP BY method""", ("preds",))
 def _(spark, sf):
-    return r6(me.ece(fx.preds(spark, sf), ["method"]))
+    return r6(me.ece(fx.preds(spark, sf), ["method"], K))
 
 
 @query("fold_metrics", f"""SELECT m.method, m.fold, round(accuracy,6) AS accuracy, round(balanced_accuracy,6) AS balanced_accuracy,
@@ -183,18 +183,18 @@ len(list_filter(p, lambda x: x>=list_max(p)-1e-12))>1 AS tie FROM (
 SELECT method, patient_id, [avg(p_0),avg(p_1),avg(p_2),avg(p_3)] AS p, count(*) AS slices FROM preds GROUP BY ALL)"""
 
 
-def sql_micro_cols() -> str:
-    return ", ".join(MU(f"p[{i + 1}]") + f" AS p_{i}" for i in range(K))
+def sql_nano_cols() -> str:
+    return ", ".join(NA(f"p[{i + 1}]") + f" AS p_{i}" for i in range(K))
 
 
-def micro_cols() -> list:
-    return [po.micros(F.get("p", F.lit(i))).alias(f"p_{i}") for i in range(K)]
+def nano_cols() -> list:
+    return [po.nanos(F.get("p", F.lit(i))).alias(f"p_{i}") for i in range(K)]
 
 
-@query("mean_posterior_pool", f"SELECT method, patient_id, y_pred, slices, tie, {sql_micro_cols()} FROM ({SQL_MEANP})", ("preds",))
+@query("mean_posterior_pool", f"SELECT method, patient_id, y_pred, slices, tie, {sql_nano_cols()} FROM ({SQL_MEANP})", ("preds",))
 def _(spark, sf):
     d = me.mean_posterior_pool(fx.preds(spark, sf), ["method", "patient_id"], K, renormalise=True)
-    return d.select("method", "patient_id", "y_pred", "slices", "tie", *micro_cols())
+    return d.select("method", "patient_id", "y_pred", "slices", "tie", *nano_cols())
 
 
 @query("class_balance_weights", f"""SELECT y_true, n, round(t/({K}*n::DOUBLE),6) AS weight FROM (
@@ -203,11 +203,11 @@ def _(spark, sf):
     return r6(me.class_balance_weights(fx.preds(spark, sf), "y_true"))
 
 
-@query("confidence_weights", f"""SELECT method, path, {MU("w/avg(w) OVER ()")} AS weight_micros FROM (
+@query("confidence_weights", f"""SELECT method, path, {NA("w/avg(w) OVER ()")} AS weight_nanos FROM (
 SELECT method, path, power(1-p[y_true+1],2)*CASE WHEN y_true<>{NORMAL} THEN 5.0 ELSE 1.0 END::DOUBLE AS w FROM preds)""", ("preds",))
 def _(spark, sf):
     d = me.confidence_weights(fx.preds(spark, sf), NORMAL)
-    return d.select("method", "path", po.micros(F.col("weight")).alias("weight_micros"))
+    return d.select("method", "path", po.nanos(F.col("weight")).alias("weight_nanos"))
 
 
 SQL_VALIDATE = """SELECT 'missing_value' AS rule, count(*) FILTER (WHERE fold IS NULL OR method IS NULL OR path IS NULL OR patient_id IS NULL OR y_true IS NULL OR y_pred IS NULL) AS violations FROM {t}
@@ -290,15 +290,15 @@ def _(spark, sf):
 FROM (SELECT method, path, list_transform(p, lambda x: round(x,1)) AS p FROM preds)""", ("preds",))
 def _(spark, sf):
     p = fx.preds(spark, sf).withColumn("p", F.transform("p", lambda x: F.round(x, 1)))
-    return p.select("method", "path", po.argmax_lowest(F.col("p")).alias("argmax"), po.has_tie(F.col("p")).alias("tie"))
+    return p.select("method", "path", po.argmax_lowest(F.col("p"), K).alias("argmax"), po.has_tie(F.col("p"), K).alias("tie"))
 
 
-@query("weighted_average_posteriors", f"""SELECT path, {", ".join(MU(f"0.5::DOUBLE*a.p_{i}+0.3::DOUBLE*b.p_{i}+0.2::DOUBLE*c.p_{i}") + f" AS p_{i}" for i in range(K))}
+@query("weighted_average_posteriors", f"""SELECT path, {", ".join(NA(f"0.5::DOUBLE*a.p_{i}+0.3::DOUBLE*b.p_{i}+0.2::DOUBLE*c.p_{i}") + f" AS p_{i}" for i in range(K))}
 FROM (SELECT * FROM preds WHERE method='proposed') a JOIN (SELECT * FROM preds WHERE method='linear_probe') b USING (path)
 JOIN (SELECT * FROM preds WHERE method='vit_rf') c USING (path)""", ("preds",))
 def _(spark, sf):
     d = joins.ensemble_posteriors(fx.preds(spark, sf), {"proposed": 0.5, "linear_probe": 0.3, "vit_rf": 0.2}, K)
-    return d.select("path", *micro_cols())
+    return d.select("path", *nano_cols())
 
 
 SQL_T = "[" + ",".join(f"{t}::DOUBLE" for t in THRESHOLDS) + "]"
@@ -320,8 +320,7 @@ SELECT *, list_transform(z, lambda x: exp(x-list_max(z))) AS e FROM (SELECT *, {
 
 @query("threshold_rule", f"SELECT method, path, {SQL_THR} AS decision FROM preds", ("preds",))
 def _(spark, sf):
-    t = F.array(*[F.lit(x) for x in THRESHOLDS])
-    return fx.preds(spark, sf).select("method", "path", po.threshold_rule(F.col("p"), t, K, NORMAL).alias("decision"))
+    return fx.preds(spark, sf).select("method", "path", po.threshold_rule(F.col("p"), THRESHOLDS, K, NORMAL).alias("decision"))
 
 
 @query("bayes_rule", f"SELECT method, path, {sql_bayes('p')} AS decision FROM preds", ("preds",))
@@ -329,10 +328,10 @@ def _(spark, sf):
     return fx.preds(spark, sf).select("method", "path", po.bayes_rule(F.col("p"), po.cost_matrix(K, NORMAL)).alias("decision"))
 
 
-@query("temperature_apply", f"SELECT method, path, {', '.join(MU(f'pc[{i + 1}]') + f' AS p_{i}' for i in range(K))} FROM {SQL_CAL}", ("preds",))
+@query("temperature_apply", f"SELECT method, path, {', '.join(NA(f'pc[{i + 1}]') + f' AS p_{i}' for i in range(K))} FROM {SQL_CAL}", ("preds",))
 def _(spark, sf):
-    d = fx.preds(spark, sf).withColumn("p", po.temperature_apply(F.col("p"), TEMP))
-    return d.select("method", "path", *micro_cols())
+    d = fx.preds(spark, sf).withColumn("p", po.temperature_apply(F.col("p"), TEMP, K))
+    return d.select("method", "path", *nano_cols())
 
 
 @query("decision_rules_all", f"""SELECT method, rule, decision, count(*) AS n FROM (
@@ -457,11 +456,11 @@ def _(spark, sf):
     return merged.groupBy("fold", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("union_folds", f"SELECT method, fold, path, y_pred, {MU('p_0')} AS p_0 FROM preds", ("preds",))
+@query("union_folds", f"SELECT method, fold, path, y_pred, {NA('p_0')} AS p_0 FROM preds", ("preds",))
 def _(spark, sf):
     p = joins.spread_posteriors(fx.preds(spark, sf), K)
     u = joins.union_folds([p.where(F.col("fold") == f) for f in range(1, 6)])
-    return u.select("method", "fold", "path", "y_pred", po.micros(F.col("p_0")).alias("p_0"))
+    return u.select("method", "fold", "path", "y_pred", po.nanos(F.col("p_0")).alias("p_0"))
 
 
 @query("evaluate_report", f"""SELECT method, rule, round(accuracy,6) AS accuracy, round(balanced_accuracy,6) AS balanced_accuracy, round(macro_f1,6) AS macro_f1, level FROM (
@@ -476,12 +475,12 @@ def _(spark, sf):
     return r6(evaluate_report(fx.preds(spark, sf), THRESHOLDS, K, NORMAL))
 
 
-@query("build_prediction_rows", f"""SELECT fold, method, path, patient_id, y_true, {ARG}::INT AS y_pred, {", ".join(MU(f"p_{i}") + f" AS p_{i}" for i in range(K))} FROM preds""", ("preds",))
+@query("build_prediction_rows", f"""SELECT fold, method, path, patient_id, y_true, {ARG}::INT AS y_pred, {", ".join(NA(f"p_{i}") + f" AS p_{i}" for i in range(K))} FROM preds""", ("preds",))
 def _(spark, sf):
     p = fx.preds(spark, sf).drop("y_pred")
     d = joins.build_prediction_rows(p, K)
     return d.select("fold", "method", "path", "patient_id", "y_true", "y_pred",
-                    *[po.micros(F.col(f"p_{i}")).alias(f"p_{i}") for i in range(K)])
+                    *[po.nanos(F.col(f"p_{i}")).alias(f"p_{i}") for i in range(K)])
 
 
 @query("export_error_cases", f"""SELECT line FROM (SELECT 'TRUE='||y_true||chr(9)||'PRED='||y_pred||chr(9)||method||chr(9)||path AS line FROM preds WHERE y_true<>y_pred

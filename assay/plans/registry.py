@@ -51,6 +51,6 @@ def H(expr: str) -> str:
     return f"('0x'||substr(md5({expr}),1,8))::BIGINT"
 
 
-def MU(expr: str) -> str:
-    """SQL text of a value in whole millionths."""
-    return f"CAST(round(({expr})*1e6) AS BIGINT)"
+def NA(expr: str) -> str:
+    """SQL text of a value in whole billionths."""
+    return f"CAST(round(({expr})*1e9) AS BIGINT)"

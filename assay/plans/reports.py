@@ -20,16 +20,14 @@ def cv_summary(preds: DataFrame, k: int, reference: str = "proposed", check: boo
 
 def evaluate_report(preds: DataFrame, thresholds: list[float], k: int, normal_idx: int | None) -> DataFrame:
     """Thresholded and argmax metrics on rows and on pooled groups, long over (rule, level)."""
-    t = F.array(*[F.lit(float(x)) for x in thresholds])
-
     def rules(d: DataFrame, level: str) -> DataFrame:
         each = F.array(
-            F.struct(F.lit("argmax").alias("rule"), po.argmax_lowest(F.col("p")).alias("y_pred")),
-            F.struct(F.lit("threshold").alias("rule"), po.threshold_rule(F.col("p"), t, k, normal_idx).alias("y_pred")))
+            F.struct(F.lit("argmax").alias("rule"), po.argmax_lowest(F.col("p"), k).alias("y_pred")),
+            F.struct(F.lit("threshold").alias("rule"), po.threshold_rule(F.col("p"), thresholds, k, normal_idx).alias("y_pred")))
         return d.select("method", F.lit(level).alias("level"), "y_true", F.explode(each).alias("r")).select(
             "method", "level", "y_true", "r.*")
 
-    truth = me.group_majority_label(preds.where(F.col("method").isNotNull()), "patient_id", "y_true")
+    truth = me.group_majority_label(preds, "patient_id", "y_true")
     pooled = me.mean_posterior_pool(preds, ["method", "patient_id"], k).select("method", "patient_id", "p").join(truth, "patient_id")
     keys = ["method", "rule", "level"]
     cm = me.confusion_counts(rules(preds, "slice").unionByName(rules(pooled, "group")), keys)
