@@ -173,3 +173,18 @@ def requested_vs_effective(binds: DataFrame) -> DataFrame:
     for c in ("requested", "effective", "note"):
         out = out.join(listed(c), "role", "left")
     return out
+
+
+def stamp_reportability(results: DataFrame, cohort: str, rules: DataFrame) -> DataFrame:
+    """Adds reportable, reason and the share of the cohort seen elsewhere to every row.
+
+    ``rules`` is a hand-kept table of a few rows (family, reportable, reason, shared_n,
+    shared_of). A family without a rule is reportable, and its overlap stays blank: not
+    measured is not the same as zero.
+    """
+    from assay.functions.text import cohort_family
+
+    j = results.withColumn("family", cohort_family(F.col(cohort))).join(F.broadcast(rules), "family", "left")
+    shared = F.when(F.col("shared_n").isNotNull(), F.concat_ws("/", "shared_n", "shared_of")).otherwise(F.lit(""))
+    return (j.withColumn("reportable", F.coalesce("reportable", F.lit(True)))
+            .withColumn("reason", F.coalesce("reason", F.lit(""))).withColumn("shared", shared).drop("shared_n", "shared_of"))

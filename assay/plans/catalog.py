@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from assay.plans import (  # noqa: F401
     metric_queries,
+    manifest_queries,
 )
-from assay.plans.registry import ORACLE, QUERIES
+from assay.plans.registry import ORACLE, QUERIES, with_ctes
 
 
 def queries():
@@ -13,4 +14,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLE)
+    return {name: with_ctes(sql, needs) for name, (sql, needs) in ORACLE.items()}

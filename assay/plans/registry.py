@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, tuple[str, tuple[str, ...]]] = {}
 _CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_ctes(sql, needs)
+            ORACLE[name] = (sql, needs)
         return fn
     return deco
 

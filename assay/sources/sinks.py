@@ -45,3 +45,41 @@ def write_ragged_csv(parts: list[DataFrame], path: str, drop: tuple[str, ...] =
 def write_new(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
     """Write to a target that must not exist; the job commit makes it all or nothing."""
     df.write.mode("errorifexists").format(fmt).options(**options).save(path)
+
+
+def write_manifest_documents(manifest: DataFrame, path: str, part_rows: int = 1000) -> None:
+    """Manifest (split, pos, path, label, grp) as JSON documents of at most ``part_rows`` rows."""
+    from assay.operators.manifests import manifest_digest
+
+    d = manifest.select(F.col("split").alias("role"), (F.floor(F.col("pos") / part_rows) * part_rows).alias("first_pos"),
+                        "pos", "path", "label", "grp")
+    rows = F.array_sort(F.collect_list(F.struct("pos", "path", "label", "grp")))  # at most part_rows
+    docs = d.groupBy("role", "first_pos").agg(rows.alias("r"))
+    dig = manifest_digest(d, ["role", "first_pos"])
+    out = docs.join(dig, ["role", "first_pos"]).select(
+        "role", "first_pos", F.col("r.path").alias("files"), F.col("r.label").alias("labels"),
+        F.col("r.grp").alias("groups"), "digest")
+    write_new(out, path, "json")
+
+
+def write_feature_table(features: DataFrame, path: str, digest: DataFrame, rule_id: str) -> None:
+    """Features (path, backbone, role, y, features) stored by block, role and a digest of the
+    manifest and the preparation rule, so a changed manifest never meets an old table.
+
+    ``digest`` is (role, digest), one row per role.
+    """
+    key = F.md5(F.concat_ws("|", "digest", "backbone", F.lit(rule_id)))
+    d = features.join(F.broadcast(digest), "role").withColumn("digest", key)
+    d.write.mode("errorifexists").partitionBy("backbone", "role", "digest").parquet(path)
+
+
+def run_record(manifest: DataFrame, digests: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """One row per run: settings, and per role the rows, groups, class counts and digest."""
+    per_class = manifest.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    classes = per_class.groupBy("split").agg(
+        F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("class_counts"))
+    groups = manifest.groupBy("split").agg(F.count_distinct("grp").alias("n_groups"))
+    roles = classes.join(groups, "split").join(digests, "split")
+    body = F.array_sort(F.collect_list(F.struct("split", "n", "n_groups", "class_counts", "digest")))
+    conf = F.create_map(*[F.lit(x) for k in sorted(settings) for x in (k, settings[k])])
+    return roles.agg(body.alias("splits")).select(conf.alias("settings"), "splits")
