@@ -5,6 +5,8 @@ from __future__ import annotations
 from assay.plans import (  # noqa: F401
     metric_queries,
     manifest_queries,
+    resample_queries,
+    dedup_queries,
 )
 from assay.plans.registry import ORACLE, QUERIES, with_ctes
 

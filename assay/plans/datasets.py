@@ -36,3 +36,73 @@ def group_disjoint_dataset(rows: DataFrame, unit: str) -> DataFrame:
     keyed = rows.withColumn("grp", group_key(F.col("path"), unit))
     out = sp.reassign_straddling_groups(keyed)
     return out
+
+
+def published_split_dataset(rows: DataFrame, expected: DataFrame, valid_fraction: float = 0.15, seed: int = 42,
+                            strict: bool = True) -> dict[str, DataFrame]:
+    """Adopt the published train and test rows, check them against the published counts, carve
+    valid out of train per class with content groups (``grp``) kept whole.
+
+    ``rows`` is (path, label, split, grp), ``expected`` (release, split, label, published).
+    """
+    if not 0 < valid_fraction < 0.5:
+        raise ValueError("valid_fraction must lie in (0, 0.5)")
+    check = ma.corpus_fingerprint_check(rows, expected)
+    if strict and not check.where("release_match").limit(1).count():
+        raise ValueError("the rows match no published release")
+    pool = rows.where("split = 'train'")
+    thin = sp.carve_targets(pool, valid_fraction).where("want < 2").limit(1).count()
+    if thin:
+        raise ValueError("a class would get fewer than two valid rows")
+    carved = sp.carve_validation(pool, valid_fraction, seed)
+    tests = rows.where("split = 'test'").withColumn("role", F.lit("test"))
+    out = carved.select("path", "label", "grp", "role").unionByName(tests.select("path", "label", "grp", "role"))
+    return {
+        "manifest": out, "fingerprint": check, "rebuilt": ma.partition_reconstructs_pool(carved, pool),
+        "groups": ma.content_group_audit(carved, sp.carve_targets(pool, valid_fraction)),
+        "overlap": ma.role_crossing_groups(out.withColumnRenamed("role", "split")),
+    }
+
+
+def deduplicated_dataset(rows: DataFrame, side: int, valid_fraction: float = 0.15, seed: int = 42) -> DataFrame:
+    """The same test rows; train rows that are the same picture as a test row are removed, then
+    valid is carved from the survivors by whole components of the duplicate relation.
+
+    ``rows`` is (id, v, label, role in train/test); returns (id, label, role) with removed rows
+    marked, so that every input row is accounted for.
+    """
+    from assay.operators import dedup as dd
+    from assay.session import write_and_read
+
+    pool, test = rows.where("role = 'train'"), rows.where("role = 'test'")
+    leaked = write_and_read(dd.leaked_rows_best_partner(pool.select("id", "v"), test.select("id", "v"), side), "leaked")
+    kept = pool.join(leaked.select("id"), "id", "left_anti")
+    relation = dd.strict_pairs(kept.select("id", "v"), side)
+    comp = write_and_read(dd.duplicate_components(relation, kept.select("id")), "components")
+    carve = kept.select("id", "label").join(comp.select("id", F.col("component").cast("string").alias("grp")), "id")
+    done = sp.carve_validation(carve, valid_fraction, seed)
+    gone = pool.join(leaked.select("id"), "id", "left_semi").select("id", "label", F.lit("removed").alias("role"))
+    return done.select("id", "label", "role").unionByName(gone).unionByName(test.select("id", "label", "role"))
+
+
+def balanced_and_subsampled_pair(rows: DataFrame, valid_per_class: int, share, seed: int = 42) -> DataFrame:
+    """Two datasets with the same valid and test rows: one with class-balanced train rows, one
+    with a nested per-class subsample of them. ``share`` is a column over the label.
+    """
+    pool = rows.where("split = 'train'")
+    sizes = pool.groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"))
+    want = sizes.groupBy("label").agg(F.lit(valid_per_class).cast("bigint").alias("want"))
+    picked = sp.exact_count_carve(sizes, want, seed).select("label", "grp", F.lit(True).alias("v"))
+    marked = pool.join(picked, ["label", "grp"], "left").withColumn("v", F.coalesce("v", F.lit(False)))
+    rest = marked.where(~F.col("v")).select("path", "label")
+    per_class = rest.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    low = per_class.agg(F.min("n").alias("target"))
+    balanced = sp.nested_subsample(rest, per_class.join(F.broadcast(low)).select("label", "target"), seed + 1)
+    targets = per_class.join(F.broadcast(low)).select("label", F.floor(F.col("target") * share).alias("target"))
+    sub = sp.nested_subsample(balanced, targets, seed + 2)
+    shared = marked.where("v").select("path", "label", F.lit("valid").alias("role")).unionByName(
+        rows.where("split = 'test'").select("path", "label", F.lit("test").alias("role")))
+    both = shared.withColumn("dataset", F.explode(F.array(F.lit("balanced"), F.lit("subsampled"))))
+    train = balanced.select(F.lit("balanced").alias("dataset"), "path", "label", F.lit("train").alias("role")).unionByName(
+        sub.select(F.lit("subsampled").alias("dataset"), "path", "label", F.lit("train").alias("role")))
+    return train.unionByName(both.select("dataset", "path", "label", "role"))

@@ -153,3 +153,59 @@ def hashes_now(spark: SparkSession, sf: str) -> DataFrame:
 cte("hashes_now", f"""SELECT path, CASE WHEN r=1 THEN md5(sha256) ELSE sha256 END AS sha256 FROM hn0 WHERE r<>0
 UNION ALL SELECT path||'.new', sha256 FROM hn0 WHERE r=2""", "hn0")
 cte("hn0", f"SELECT path, sha256, {H('path')}%70 AS r FROM manifest", "manifest")
+
+
+SIDE = 8
+# share of noise in the planted copies by id % 25: exact, faint, weak, byte-equal
+COPY_NOISE = {0: 0.0, 5: 0.0022, 10: 0.0154}
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as 8x8 grids with planted copies: turned, brightened and more or less noisy
+    ones, and byte-equal ones. Columns id, v, label, folder, role."""
+    from assay.functions.vectors import ints, scan_orders
+
+    e = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    kind = F.col("id") % 25
+    orders = F.array(*[ints(o) for o in scan_orders(SIDE)])
+    order = F.get(orders, F.floor(F.col("id") / 25).cast("int") % 8)
+    amp = F.element_at(F.create_map(*[x for k, a in COPY_NOISE.items() for x in (F.lit(k), F.lit(a))]), kind.cast("int"))
+    turned = e.where(kind.isin(*COPY_NOISE)).withColumn("o", order).withColumn("amp", amp).withColumn(
+        "w", F.transform("o", lambda i: F.get("v", i)))
+    noisy = F.transform("w", lambda x, i: F.lit(1.3) * x + F.lit(0.2) + F.col("amp") * ((i * 7 + F.col("id")) % 5 - 2))
+    copies = turned.select((F.col("id") + (1 + F.floor(kind / 5)) * 1000000).alias("id"), noisy.alias("v"), "label")
+    equal = e.where(kind == 15).withColumn("id", F.explode(F.array(F.col("id") + 4000000, F.col("id") + 5000000)))
+    d = e.unionByName(copies).unionByName(equal)
+    s = h32(F.concat_ws("|", F.lit("vrole"), "id")) % 10
+    return d.select(
+        "id", "v", F.when(h32(F.concat_ws("|", F.lit("vl"), "id")) % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("folder"),
+        F.when(s < 2, "test").when(s == 2, "valid").otherwise("train").alias("role"))
+
+
+def _sql_orders(table_of, one_based=True) -> str:
+    rows = ",".join(f"({t},{[int(i) + 1 for i in o]})" for t, o in enumerate(table_of))
+    return f"SELECT * FROM (VALUES {rows}) o(t, ord)"
+
+
+def _register_vector_sql() -> None:
+    from assay.functions.vectors import scan_orders, verify_orders
+
+    cte("scan_ord", _sql_orders(scan_orders(SIDE)))
+    cte("verify_ord", _sql_orders(verify_orders(SIDE)))
+    cte("scan_ord4", _sql_orders(scan_orders(SIDE // 2)))
+    cte("vec0", "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings")
+    cte("vec1", """SELECT * FROM vec0 UNION ALL
+SELECT id+(1+id%25//5)*1000000, list_transform(w, lambda x, i: 1.3::DOUBLE*x+0.2::DOUBLE+amp*(((i-1)*7+id)%5-2)), label FROM (
+SELECT id, list_select(v, ord) AS w, label, CASE id%25 WHEN 0 THEN 0.0 WHEN 5 THEN 0.0022 ELSE 0.0154 END::DOUBLE AS amp
+FROM vec0 JOIN scan_ord ON t=(id//25)%8 WHERE id%25 IN (0,5,10))
+UNION ALL SELECT id+k, v, label FROM vec0, (VALUES (4000000),(5000000)) c(k) WHERE id%25=15""", "vec0", "scan_ord")
+    cte("vec", f"""SELECT id, v, CAST(CASE WHEN {H("'vl|'||id")}%7=0 THEN (label+1)%10 ELSE label END AS INT) AS label,
+CASE WHEN id%2=0 THEN 'A' ELSE 'B' END AS folder,
+CASE WHEN {H("'vrole|'||id")}%10<2 THEN 'test' WHEN {H("'vrole|'||id")}%10=2 THEN 'valid' ELSE 'train' END AS role FROM vec1""", "vec1")
+    cte("vu", """SELECT *, list_transform(c, lambda x: x/norm) AS u FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x*x))) AS norm FROM (
+SELECT *, list_transform(v, lambda x: x-m) AS c FROM (SELECT *, list_sum(v)/64 AS m FROM vec)))""", "vec")
+
+
+_register_vector_sql()

@@ -80,6 +80,9 @@ def run_record(manifest: DataFrame, digests: DataFrame, settings: dict[str, str]
         F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("class_counts"))
     groups = manifest.groupBy("split").agg(F.count_distinct("grp").alias("n_groups"))
     roles = classes.join(groups, "split").join(digests, "split")
-    body = F.array_sort(F.collect_list(F.struct("split", "n", "n_groups", "class_counts", "digest")))
+    # one entry per role; maps have no order, so the roles are sorted by name
+    body = F.array_sort(
+        F.collect_list(F.struct("split", "n", "n_groups", "class_counts", "digest")),
+        lambda a, b: F.when(a["split"] < b["split"], -1).when(a["split"] > b["split"], 1).otherwise(0))
     conf = F.create_map(*[F.lit(x) for k in sorted(settings) for x in (k, settings[k])])
     return roles.agg(body.alias("splits")).select(conf.alias("settings"), "splits")
