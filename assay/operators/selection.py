@@ -207,13 +207,13 @@ def temperature_fit(preds: DataFrame, keys: list[str], lo: float = 0.05, hi: flo
         e = [F.exp((x - F.col("top")) / F.col("t")) for x in ls]
         ll = (F.col("ly") - F.col("top")) / F.col("t") - F.log(sum(e[1:], e[0]))
         scored = at.select(*keys, "i", (-F.greatest(F.lit(math.log(1e-12)), ll)).alias("v"))
-        means = scored.groupBy(*keys, "i").agg(F.avg("v").alias("m")).groupBy(*keys).agg(
-            F.min_by("i", F.struct("m", "i")).alias("i"), F.min("m").alias("m")).collect()
+        means = scored.groupBy(*keys, "i").agg(F.avg("v").alias("_nll")).groupBy(*keys).agg(
+            F.min_by("i", F.struct("_nll", "i")).alias("_best"), F.min("_nll").alias("_nll")).collect()
         for r in means:
             key = tuple(r[x] for x in keys)
             a, b = found[key]
             step = (b - a) / (points - 1)
-            mid = a + step * r["i"]
-            best[key] = (math.exp(mid), r["m"])
+            mid = a + step * r["_best"]
+            best[key] = (math.exp(mid), r["_nll"])
             found[key] = (max(math.log(lo), mid - step), min(math.log(hi), mid + step))
     return spark.createDataFrame([(*k, *v) for k, v in best.items()], f"{schema}, temperature double, nll double")

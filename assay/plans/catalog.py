@@ -7,6 +7,7 @@ from assay.plans import (  # noqa: F401
     manifest_queries,
     resample_queries,
     dedup_queries,
+    feature_queries,
 )
 from assay.plans.registry import ORACLE, QUERIES, with_ctes
 

@@ -209,3 +209,29 @@ SELECT *, list_transform(v, lambda x: x-m) AS c FROM (SELECT *, list_sum(v)/64 A
 
 
 _register_vector_sql()
+
+
+# name -> slice of the 64 embedding values
+BLOCKS = {"alpha": (0, 16), "beta": (16, 48), "gamma": (48, 64)}
+DIMS = {b: hi - lo for b, (lo, hi) in BLOCKS.items()}
+CLASSES = 10
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature rows (path, backbone, role, source_split, source_row, features, y): three blocks
+    per embedding."""
+    e = table(spark, sf, "embeddings")
+    s = F.col("vec_id") % 10
+    parts = F.array(*[F.struct(F.lit(b).alias("backbone"), F.slice("embedding", lo + 1, hi - lo).alias("features"))
+                      for b, (lo, hi) in BLOCKS.items()])
+    return e.select(
+        F.concat(F.lit("v"), "vec_id").alias("path"), F.when(s < 2, "test").when(s == 2, "valid").otherwise("train").alias("role"),
+        F.when(s < 2, "Test").otherwise("Train").alias("source_split"), F.col("vec_id").alias("source_row"),
+        F.col("label").alias("y"), F.explode(parts).alias("b")).select(
+        "path", "b.backbone", "role", "source_split", "source_row", "b.features", "y")
+
+
+_blocks = ",".join(f"('{b}',{lo + 1},{hi})" for b, (lo, hi) in BLOCKS.items())
+cte("features", f"""SELECT 'v'||vec_id AS path, backbone, CASE WHEN vec_id%10<2 THEN 'test' WHEN vec_id%10=2 THEN 'valid' ELSE 'train' END AS role,
+CASE WHEN vec_id%10<2 THEN 'Test' ELSE 'Train' END AS source_split, vec_id AS source_row, list_transform(embedding[lo:hi], lambda x: x::DOUBLE) AS f, label AS y
+FROM embeddings, (VALUES {_blocks}) b(backbone, lo, hi)""")

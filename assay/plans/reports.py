@@ -32,3 +32,64 @@ def evaluate_report(preds: DataFrame, thresholds: list[float], k: int, normal_id
     keys = ["method", "rule", "level"]
     cm = me.confusion_counts(rules(preds, "slice").unionByName(rules(pooled, "group")), keys)
     return me.metrics_from_confusion(cm, keys, k)
+
+
+def oof_analysis(preds: DataFrame, a: str, b: str, k: int, n_rep: int = 2000, seed: int = 42) -> dict[str, DataFrame]:
+    """The post-hoc report on out-of-fold predictions: intervals, paired differences, exact
+    tests, group decisions, fold metrics and their mean and SD."""
+    from assay.operators import resample as rs, tests_paired as tp
+
+    audits.require_clean(audits.validate_predictions(preds))
+    methods = sorted(r["method"] for r in preds.select("method").distinct().collect())
+    if not {a, b} <= set(methods):
+        raise ValueError(f"comparison methods absent: {methods}")
+    pools = ("majority_vote",)
+    if "p" in preds.columns:
+        audits.require_clean(audits.validate_posteriors(preds, k))
+        pools = ("majority_vote", "mean_probability")
+    truth = preds.groupBy("patient_id").agg(F.first("y_true").alias("y_true"), F.first("fold").alias("fold"))
+    decisions = me.majority_vote(preds).withColumn("pooling", F.lit("majority_vote"))
+    if len(pools) > 1:
+        mean = me.mean_posterior_pool(preds, ["method", "patient_id"], k).drop("p").withColumn("pooling", F.lit("mean_probability"))
+        decisions = decisions.unionByName(mean)
+    # one bootstrap for both tables
+    point, reps = rs.bootstrap_tables(preds, methods, k, n_rep, seed, pools)
+    keys = ["method", "unit", "metric"]
+    est = rs.long_metrics(point, ["method", "unit"]).withColumnRenamed("value", "estimate")
+    ci = rs.percentile_ci(rs.long_metrics(reps, ["method", "unit"]), keys)
+    obs = rs.long_metrics(rs._difference(point, a, b, []), ["unit"]).withColumnRenamed("value", "difference")
+    dci = rs.percentile_ci(rs.long_metrics(rs._difference(reps, a, b, ["rep"]), ["unit"]), ["unit", "metric"])
+    return {
+        "metric_intervals": est.join(ci, keys),
+        "paired_differences": obs.join(dci, ["unit", "metric"]),
+        "mcnemar": tp.mcnemar_by_unit(preds, a, b, k),
+        "group_decisions": decisions.join(truth, "patient_id"),
+        "fold_metrics": me.fold_metrics(preds, k),
+        "fold_mean_sd": me.fold_mean_sd(preds, k),
+    }
+
+
+def paired_comparison_report(preds: DataFrame, proposed: str, baselines: list[str], k: int, n_rep: int = 2000,
+                             seed: int = 42) -> dict[str, DataFrame]:
+    """Results of all methods and the paired comparisons in declared order; no ranking by score."""
+    from assay.operators import resample as rs
+
+    cm = me.confusion_counts(preds, ["method"])
+    pairs = joins.paired_vs_baselines(preds.where(F.col("method").isin(proposed, *baselines)), proposed)
+    comps = rs.comparison_family(pairs, baselines, n_rep, seed)
+    return {"results": me.metrics_full_report(cm, ["method"], k), "confusion": cm,
+            "comparisons": comps.withColumn("comparison", F.concat(F.lit(f"{proposed} minus "), "baseline"))}
+
+
+def readiness_report(features: DataFrame, baselines: list) -> DataFrame:
+    """(part, key, n): role overlap, feature rows per block and role, runnable baselines (1 or 0)."""
+    from assay.operators.manifests import role_crossing_groups
+    from assay.plans.modelling import available
+
+    overlap = role_crossing_groups(features.select(F.col("path").alias("grp"), F.col("role").alias("split"))).select(
+        F.lit("overlap").alias("part"), F.concat_ws("|", "role_a", "role_b").alias("key"), F.col("shared").alias("n"))
+    rows = features.groupBy("backbone", "role").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("rows").alias("part"), F.concat_ws("|", "backbone", "role").alias("key"), "n")
+    ok, missing = available(features, baselines)
+    run = features.sparkSession.createDataFrame([(b.key, 1) for b in ok] + [(key, 0) for key, _ in missing], "key string, n bigint")
+    return overlap.unionByName(rows).unionByName(run.select(F.lit("baseline").alias("part"), "key", "n"))
