@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 TIE = 1e-12
@@ -14,8 +16,7 @@ def asum(a: Column) -> Column:
 def slots(p: Column, k: int) -> list[Column]:
     """The k values of a posterior as scalar columns.
 
-    Rules are written over scalars, not higher-order functions: they stay inside generated
-    code and share the common parts.
+    Sums and comparisons over scalars stay inside generated code.
     """
     return [F.get(p, F.lit(i)) for i in range(k)]
 
@@ -24,17 +25,30 @@ def largest(v: list[Column]) -> Column:
     return F.greatest(*v) if len(v) > 1 else v[0]
 
 
-def first_within(v: list[Column], bound: Column) -> Column:
-    """Lowest index whose value is at least ``bound``."""
-    out = F.lit(len(v) - 1)
-    for i in reversed(range(len(v) - 1)):
-        out = F.when(v[i] >= bound, F.lit(i)).otherwise(out)
-    return out.cast("int")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with its argument evaluated once per row; written inline, an expression inside
+    a lambda or a chain of conditions would be evaluated again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def argmax_of(v: list[Column]) -> Column:
-    """Index of the largest value; the lowest class wins a tie up to rounding noise."""
-    return first_within(v, largest(v) - F.lit(TIE))
+    """Index of the largest value; the lowest class wins a tie up to rounding noise.
+
+    Up to four classes it is a chain of comparisons in generated code; the chain repeats the
+    maximum per class, so more classes go through an array.
+    """
+    if len(v) <= 4:
+        bound = largest(v) - F.lit(TIE)
+        out = F.lit(len(v) - 1)
+        for i in reversed(range(len(v) - 1)):
+            out = F.when(v[i] >= bound, F.lit(i)).otherwise(out)
+        return out.cast("int")
+
+    def first(s: Column) -> Column:
+        near = F.transform(s["v"], lambda x: x >= s["top"])
+        return (F.array_position(near, F.lit(True)) - 1).cast("int")
+    bound = let(F.array(*v), lambda a: F.struct(a.alias("v"), (F.array_max(a) - F.lit(TIE)).alias("top")))
+    return let(bound, first)
 
 
 def argmin_of(v: list[Column]) -> Column:
@@ -97,7 +111,8 @@ def threshold_rule(p: Column, thresholds: Column | list[float], k: int, normal_i
         pos = 1 - normal_idx if normal_idx in (0, 1) else 1
         return F.when(v[pos] >= t[pos], F.lit(pos)).otherwise(F.lit(1 - pos))
     score = [F.when(a >= b, a / b).otherwise(F.lit(-1.0)) for a, b in zip(v, t)]
-    return F.when(largest(score) > 0, argmax_of(score)).otherwise(argmax_of(v))
+    none = sum(((a >= b).cast("int") for a, b in zip(v[1:], t[1:])), (v[0] >= t[0]).cast("int")) == 0
+    return F.when(none, argmax_of(v)).otherwise(argmax_of(score))
 
 
 def bayes_rule(p: Column, cost: list[list[float]]) -> Column:
@@ -113,10 +128,11 @@ def bayes_rule(p: Column, cost: list[list[float]]) -> Column:
 def temperature_apply(p: Column, t: Column | float, k: int) -> Column:
     """softmax(log(p) / T)."""
     t = F.lit(float(t)) if isinstance(t, (int, float)) else t
-    z = [F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), x))) / t for x in slots(p, k)]
-    e = [F.exp(x - largest(z)) for x in z]
-    total = sum(e[1:], e[0])
-    return F.array(*[x / total for x in e])
+    z = F.array(*[F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), x))) / t for x in slots(p, k)])
+    top = let(z, lambda a: F.struct(a.alias("z"), F.array_max(a).alias("m")))
+    e = let(top, lambda s: F.transform(s["z"], lambda x: F.exp(x - s["m"])))
+    total = let(e, lambda a: F.struct(a.alias("e"), asum(a).alias("s")))
+    return let(total, lambda q: F.transform(q["e"], lambda x: x / q["s"]))
 
 
 def cost_matrix(k: int, normal_idx: int | None, miss: float = 10.0, wrong_type: float = 4.0,

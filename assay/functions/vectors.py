@@ -6,12 +6,10 @@ once with ``let``; written inline, it would be evaluated again for every element
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, functions as F
 
-from assay.functions.posterior import asum
+from assay.functions.posterior import asum, let
 
 # Names of the eight orientations in the order of a corpus scan ...
 SCAN_NAMES = ("id", "rot90", "rot180", "rot270", "flip", "flip_rot90", "flip_rot180", "flip_rot270")
@@ -39,11 +37,6 @@ def orbits(side: int) -> list[list[int]]:
     return [list(t) for t in sorted({tuple(sorted(set(table[:, i].tolist()))) for i in range(side * side)})]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with its argument evaluated once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ints(values) -> Column:
     return F.array(*[F.lit(int(v)) for v in values])
 

@@ -9,8 +9,9 @@ The all-pairs comparison becomes an exact blocked join:
    apart as these numbers. Correlation >= t means distance <= r = sqrt(2(1-t)), so items whose
    numbers are farther apart than r cannot be a pair.
 3. Some of the numbers cut space into cells of width 2r. The left item sits in its own cell, the
-   right item goes to every cell its r-ball touches (at most 2 per number), and an equi-join on
-   the cell finds every pair once. Cells with many items are split by salt.
+   right item goes to every cell its r-ball touches (at most 2 per number), so every pair meets
+   in one cell. Cells with many items are cut into block pairs; a task compares one block pair
+   by a matrix product and returns the survivors only.
 4. Survivors fetch their vectors and the eight correlations decide.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assay.functions.vectors import SCAN_NAMES, VERIFY_NAMES, orbits, scan_orders, verify_orders
 from assay.session import cut_lineage, write_and_read
 
-CELL_ROWS = 4096       # items of one cell handled by one salt
+CELL_ROWS = 4096       # items per block of a cell
 MAX_CELL_COORDS = 6    # 2**6 cells per right item at most
 SLACK = 1e-9
 
@@ -121,21 +122,37 @@ def candidate_pairs(left: DataFrame, right: DataFrame, width: int, t: float, sam
     ends = [[F.floor((F.get("f", F.lit(i)) + d) / F.lit(2 * r)).cast("string") for d in (-r, r)] for i in coords]
     spots = F.array_distinct(F.array(*[F.concat_ws(",", *c) for c in itertools.product(*ends)])) if coords else F.array(F.lit(""))
     build = right.select(F.col("item").alias("b"), F.col("f").alias("fb"), F.explode(spots).alias("cell"))
-    # hot cells: as many salts as blocks of CELL_ROWS items; the other side visits each salt
-    hot = probe.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("salts")).where("salts > 1")
-    one = F.coalesce("salts", F.lit(1))
-    p = probe.join(hot, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("a"), one).cast("int")).drop("salts")
-    b = build.join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("salts")
-    gap = sum((_sq(i) for i in range(1, width)), _sq(0))
-    cond = gap <= F.lit(r * r)
-    if same:
-        cond = cond & (F.col("a") < F.col("b"))
-    return p.join(b, ["cell", "salt"]).where(cond).select("a", "b")
-
-
-def _sq(i: int) -> Column:
-    d = F.get("fa", F.lit(i)) - F.get("fb", F.lit(i))
-    return d * d
+    # a cell is cut into blocks of CELL_ROWS rows on both sides; each left block meets each right
+    # block once. The inner join with the other side's counts drops cells only one side uses.
+    def blocks(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name))
+
+    both = blocks(probe, "na").join(blocks(build, "nb"), "cell")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = probe.join(both, "cell").withColumn("i", own("a", "na")).withColumn("j", every("nb")).select("cell", "i", "j", "a", "fa")
+    q = build.join(both, "cell").withColumn("j", own("b", "nb")).withColumn("i", every("na")).select("cell", "i", "j", "b", "fb")
+    reach = r * r + SLACK
+
+    def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        a, b = left["a"].to_numpy(), right["b"].to_numpy()
+        fa, fb = np.stack(left["fa"].to_numpy()), np.stack(right["fb"].to_numpy())
+        sb = (fb * fb).sum(axis=1)
+        found = []
+        for s in range(0, len(a), 1024):
+            x = fa[s:s + 1024]
+            near = (x * x).sum(axis=1)[:, None] + sb[None, :] - 2 * x @ fb.T <= reach
+            if same:
+                near &= a[s:s + 1024, None] < b[None, :]
+            u, w = np.nonzero(near)
+            found.append(pd.DataFrame({"a": a[s + u], "b": b[w]}))
+        return pd.concat(found)
+
+    keys = ["cell", "i", "j"]
+    idt = dict(left.dtypes)["item"]
+    return p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(close, f"a {idt}, b {idt}")
 
 
 def _verify(orders: np.ndarray, turn_right: bool, side: int, names: tuple[str, ...]):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assay.functions.hashing import h32
 from assay.plans.registry import H, cte
+from assay.session import spread
 
 METHODS = (("proposed", 90), ("linear_probe", 88), ("vit_rf", 78))
 K = 4
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def preds(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold predictions of three methods, one row per (order, method)."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
     m = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.lit(hit).alias("hit")) for n, hit in METHODS]))
     d = o.withColumn("m", m).select("o_orderkey", "o_custkey", "m.*")
     d = d.withColumn("x", h32(F.concat_ws("|", "method", "o_orderkey"))).selectExpr(

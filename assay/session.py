@@ -65,3 +65,10 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
 def fits_broadcast(df: DataFrame, limit_rows: int) -> bool:
     """True when ``df`` has at most ``limit_rows`` rows; reads no more than that many."""
     return df.limit(limit_rows + 1).count() <= limit_rows
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan that has fewer partitions than the session has cores, ahead of
+    heavy row-wise work. Large tables already have more and are left alone."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want, *keys) if df.rdd.getNumPartitions() < want else df
