@@ -133,11 +133,12 @@ def ece(preds: DataFrame, keys: list[str], k: int, bins: int = 15) -> DataFrame:
     for e in edges:
         b = b + (F.col("conf") > F.lit(e)).cast("int")
     rows = preds.select(*keys, conf.alias("conf"), (argmax_lowest(F.col("p"), k) == F.col("y_true")).cast("int").alias("ok"))
-    per_bin = rows.where("conf > 0").withColumn("bin", b).groupBy(*keys, "bin").agg(
+    # a posterior of zero lies in no bin but counts as a row
+    b = F.when(F.col("conf") > 0, b).otherwise(F.lit(-1))
+    per_bin = rows.withColumn("bin", b).groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("m"), F.avg("ok").alias("acc"), F.avg("conf").alias("conf"))
-    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    return per_bin.join(total, keys).groupBy(*keys).agg(
-        F.sum(F.col("m") / F.col("total") * F.abs(F.col("acc") - F.col("conf"))).alias("ece"))
+    gap = F.when(F.col("bin") >= 0, F.col("m") * F.abs(F.col("acc") - F.col("conf"))).otherwise(F.lit(0.0))
+    return per_bin.groupBy(*keys).agg((F.sum(gap) / F.sum("m")).alias("ece"))
 
 
 def fold_metrics(preds: DataFrame, k: int) -> DataFrame:

@@ -159,26 +159,20 @@ def replicate_metrics(reps: DataFrame, methods: list[str], units: list[str], k:
 
     Row-wise arithmetic: the vector of a replicate already holds every cell.
     """
-    def rows(v: Column) -> Column:
-        out, base = [], 0
-        for m in methods:
-            for u in units:
-                c = [[F.get(v, F.lit(base + y * k + p)) for p in range(k)] for y in range(k)]
-                actual = [sum(c[y][1:], c[y][0]) for y in range(k)]
-                predicted = [sum((c[y][p] for y in range(1, k)), c[0][p]) for p in range(k)]
-                tp = [c[i][i] for i in range(k)]
-                rec = [me.ratio(tp[i], actual[i]) for i in range(k)]
-                f1 = [me.ratio(2 * tp[i], actual[i] + predicted[i]) for i in range(k)]
-                total = sum(actual[1:], actual[0])
-                out.append(F.struct(
-                    F.lit(m).alias("method"), F.lit(u).alias("unit"),
-                    (sum(tp[1:], tp[0]) / total).alias("accuracy"),
-                    (sum(rec[1:], rec[0]) / k).alias("balanced_accuracy"),
-                    (sum(f1[1:], f1[0]) / k).alias("macro_f1")))
-                base += k * k
-        return F.array(*out)
     cols = [c for c in reps.columns if c != "v"]
-    return reps.select(*cols, F.explode(rows(F.col("v"))).alias("m")).select(*cols, "m.*")
+    names = [(m, u) for m in methods for u in units]
+    parts = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(u).alias("unit"),
+                               F.slice("v", i * k * k + 1, k * k).alias("c")) for i, (m, u) in enumerate(names)])
+    d = reps.select(*cols, F.explode(parts).alias("m")).select(*cols, "m.*")
+    c = [[F.get("c", F.lit(y * k + p)) for p in range(k)] for y in range(k)]
+    actual = [sum(c[y][1:], c[y][0]) for y in range(k)]
+    predicted = [sum((c[y][p] for y in range(1, k)), c[0][p]) for p in range(k)]
+    tp = [c[i][i] for i in range(k)]
+    rec = [me.ratio(tp[i], actual[i]) for i in range(k)]
+    f1 = [me.ratio(2 * tp[i], actual[i] + predicted[i]) for i in range(k)]
+    return d.select(
+        *cols, "method", "unit", (sum(tp[1:], tp[0]) / sum(actual[1:], actual[0])).alias("accuracy"),
+        (sum(rec[1:], rec[0]) / k).alias("balanced_accuracy"), (sum(f1[1:], f1[0]) / k).alias("macro_f1"))
 
 
 def long_metrics(d: DataFrame, keys: list[str]) -> DataFrame:

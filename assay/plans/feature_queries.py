@@ -242,7 +242,7 @@ UNION ALL SELECT 'mcnemar', unit, p_exact_two_sided, a_correct_b_wrong::DOUBLE,
 @query("oof_analysis", SQL_OOF, ("repm", "pointm", "preds"))
 def _(spark, sf):
     from assay.plans.reports import oof_analysis
-    t = oof_analysis(fx.preds(spark, sf), "proposed", "linear_probe", K, B, SEED)
+    t = oof_analysis(fx.preds_table(spark, sf), "proposed", "linear_probe", K, B, SEED)
     a = t["metric_intervals"].select(F.lit("interval").alias("part"), F.concat_ws("|", "method", "unit", "metric").alias("key"),
                                      F.col("estimate").alias("value"), F.col("ci95_low").alias("low"), F.col("ci95_high").alias("high"))
     b = t["mcnemar"].select(F.lit("mcnemar").alias("part"), F.col("unit").alias("key"), F.col("p_exact_two_sided").alias("value"),
@@ -254,7 +254,7 @@ def _(spark, sf):
 LEFT JOIN ({SQL_FAMILY}) c ON c.baseline=m.method""", ("ptest", "preds"))
 def _(spark, sf):
     from assay.plans.reports import paired_comparison_report
-    t = paired_comparison_report(fx.preds(spark, sf), "proposed", COMPARISONS, K, B, SEED)
+    t = paired_comparison_report(fx.preds_table(spark, sf), "proposed", COMPARISONS, K, B, SEED)
     return r6(t["results"].select("method", "accuracy").join(
         t["comparisons"].select(F.col("baseline").alias("method"), "delta_accuracy", "p_holm"), "method", "left"))
 

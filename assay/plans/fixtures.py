@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assay.functions.hashing import h32
 from assay.plans.registry import H, cte
-from assay.session import spread
+from assay.session import spread, write_and_read
 
 METHODS = (("proposed", 90), ("linear_probe", 88), ("vit_rf", 78))
 K = 4
@@ -32,6 +32,11 @@ def preds(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("p", p).drop("top")
 
 
+def preds_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stored table, for reports that read it several times."""
+    return write_and_read(preds(spark, sf), "preds")
+
+
 _M = ",".join(f"('{n}',{h})" for n, h in METHODS)
 cte("preds0", f"""SELECT o_orderkey, o_custkey, method, hit, {H("method||'|'||o_orderkey")} AS x
 FROM orders, (VALUES {_M}) m(method, hit)""")

@@ -159,7 +159,7 @@ def _(spark, sf):
 @query("cv_summary", sql_mean_sd(), ("preds",))
 def _(spark, sf):
     from assay.plans.reports import cv_summary
-    return r6(cv_summary(fx.preds(spark, sf), K)["summary"])
+    return r6(cv_summary(fx.preds_table(spark, sf), K)["summary"])
 
 
 @query("group_majority_label", """SELECT patient_id, CAST(arg_min(y_pred, (-n, y_pred)) AS INT) AS y_pred FROM (
