@@ -469,11 +469,12 @@ def _(spark, sf):
     return audits.requested_vs_effective(e)
 
 
-@query("timing_summary", """SELECT fold, count(*) AS fits, round(avg(s),6) AS mean_fit_seconds, round(sum(s),6) AS sum_fit_seconds FROM (
+@query("timing_summary", """SELECT fold, count(*) AS fits, round(avg(s),9) AS mean_fit_seconds, round(sum(s),9) AS sum_fit_seconds FROM (
 SELECT fold, fit_id, max(fit_seconds) AS s FROM (SELECT candidate%5 AS fold, spec||learner||(candidate//10) AS fit_id, fit_seconds FROM grid) GROUP BY ALL) GROUP BY fold""", ("grid",))
 def _(spark, sf):
     g = fx.grid(spark, sf).select((F.col("candidate") % 5).alias("fold"), F.expr("concat(spec, learner, candidate div 10)").alias("fit_id"), "fit_seconds")
-    return r6(ma.timing_summary(g))
+    t = ma.timing_summary(g)
+    return t.select("fold", "fits", F.round("mean_fit_seconds", 9).alias("mean_fit_seconds"), F.round("sum_fit_seconds", 9).alias("sum_fit_seconds"))
 
 
 @query("group_disjoint_dataset", f"""SELECT f.split AS old_split, s.role, count(*) AS n, count(DISTINCT f.fam) AS families FROM fam f JOIN (
@@ -534,14 +535,14 @@ def _(spark, sf):
                     po.nanos(F.get("p", F.lit(0))).alias("p_0"), po.nanos(F.get("p", F.lit(3))).alias("p_3"))
 
 
-@query("scan_result_files_recursive", "SELECT spec, learner, count(*) AS n, round(sum(fit_seconds),4) AS seconds FROM grid GROUP BY ALL", ("grid",))
+@query("scan_result_files_recursive", "SELECT spec, learner, count(*) AS n, round(sum(fit_seconds),9) AS seconds FROM grid GROUP BY ALL", ("grid",))
 def _(spark, sf):
     root = scratch_path(spark, "results")
     g = fx.grid(spark, sf).select("spec", "learner", "fit_seconds")
     for i in range(3):
         sinks.write_new(g.where(F.pmod(ha.h32(F.col("spec")), F.lit(3)) == i), f"{root}/run{i}/selection_grid.csv", "csv", header=True)
     d = readers.scan_result_files(spark, root)
-    return d.groupBy("spec", "learner").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("recorded_fit_seconds"), 4).alias("seconds"))
+    return d.groupBy("spec", "learner").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("recorded_fit_seconds"), 9).alias("seconds"))
 
 
 @query("sink_ragged_csv", """SELECT spec, count(*) AS n, count(*) FILTER (WHERE learner='F') AS with_note, count(*) FILTER (WHERE learner<>'F') AS with_members FROM grid GROUP BY spec""", ("grid",))
