@@ -169,7 +169,10 @@ def ensemble_weight_search(preds: DataFrame, members: list[str], k: int, step: f
 
     points = [(-1, po.default_weights(members))] + [(code(w), w) for w in grid]
     lit = F.array(*[F.struct(F.lit(i).alias("wid"), F.array(*[F.lit(float(x)) for x in w]).alias("w")) for i, w in points])
-    rows = joins.member_posteriors(preds, members).select("path", "y_true", "ps", F.explode(lit).alias("g"))
+    # heavy work per row follows, so the rows of a path meet in a fixed number of partitions that
+    # is not merged afterwards; the grouping by path reuses this exchange
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = joins.member_posteriors(preds.repartition(parts, "path"), members).select("path", "y_true", "ps", F.explode(lit).alias("g"))
     mixed = F.array(*[
         po.round9(sum((F.col("g.w")[m] * F.col("ps")[m][c] for m in range(1, len(members))), F.col("g.w")[0] * F.col("ps")[0][c]))
         for c in range(k)])

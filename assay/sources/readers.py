@@ -14,7 +14,7 @@ PREDICTION_TYPES = {"fold": "int", "method": "string", "path": "string", "patien
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV with a header; reads no data beyond the first rows."""
     names = spark.read.csv(path, header=True).columns
-    return [n.lstrip("﻿").strip() for n in names]
+    return [n.lstrip("\ufeff").strip() for n in names]
 
 
 def read_csv_typed(spark: SparkSession, path: str, types: dict[str, str], optional_prefix: str = "") -> DataFrame:
