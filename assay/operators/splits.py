@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from assay.functions.hashing import seeded
 from assay.operators.metrics import group_majority_label
 from assay.operators.ranks import class_sizes, hash_rank, holdout_count, ordered_rank, running_sum
+from assay.session import write_and_read
 
 ROLES = ("train", "valid", "test")
 
@@ -96,7 +97,8 @@ def exact_count_carve(rows: DataFrame, want: DataFrame, seed: int = 42) -> DataF
     over once can never be placed later and no second pass is needed. Every
     round places at least one group, and hands the driver one row per class.
     """
-    order = rows.withColumn("_h", seeded(seed, "carve", F.col("grp")))
+    # one row per group, read once per round
+    order = write_and_read(rows.withColumn("_h", seeded(seed, "carve", F.col("grp"))), "carve")
     # room and position per class; classes are few
     state = {r["label"]: (int(r["want"]), "") for r in want.collect()}
     spark = rows.sparkSession

@@ -244,7 +244,7 @@ def _(spark, sf):
 FROM manifest m LEFT JOIN (SELECT * FROM walk WHERE take) w ON w.grp=m.grp AND w.label=m.label WHERE m.split IN ('train','test')""", ("walk", "manifest"))
 def _(spark, sf):
     from assay.plans.datasets import published_split_dataset
-    m = fx.manifest(spark, sf).where("split <> 'valid'")
+    m = fx.manifest_table(spark, sf).where("split <> 'valid'")
     counts = m.groupBy("split", "label").agg(F.count(F.lit(1)).alias("published")).withColumn("release", F.lit("v2"))
     return published_split_dataset(m, counts, 0.15, 42)["manifest"].select("path", "label", "role")
 
@@ -283,4 +283,4 @@ def _(spark, sf):
     from assay.functions.hashing import h32
     from assay.plans.datasets import balanced_and_subsampled_pair
     share = (1 + h32(F.col("label")) % 4) / F.lit(4.0)
-    return balanced_and_subsampled_pair(fx.manifest(spark, sf).where("split <> 'valid'"), 10, share, 42)
+    return balanced_and_subsampled_pair(fx.manifest_table(spark, sf).where("split <> 'valid'"), 10, share, 42)

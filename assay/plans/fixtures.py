@@ -61,11 +61,10 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-def manifest_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """The same rows with the role drawn per content group, so no group crosses roles."""
-    s = h32(F.concat_ws("|", F.lit("split"), "grp")) % 10
-    return manifest(spark, sf).withColumn(
-        "split", F.when(s < 2, "test").when(s == 2, "valid").otherwise("train"))
+def manifest_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest as a stored table: split operators read it several times, and the texts
+    behind its hashes should be read once."""
+    return write_and_read(manifest(spark, sf), "manifest")
 
 
 def manifest_flat(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +76,6 @@ _SPLIT = "CASE WHEN s<2 THEN 'test' WHEN s=2 THEN 'valid' ELSE 'train' END"
 cte("manifest", f"""SELECT path, label, {_SPLIT} AS split, grp, sha256 FROM (
 SELECT source||'/'||lang||'_'||doc_id||'__'||n_chars||'.txt' AS path, lang AS label,
 {H("'split|'||doc_id")}%10 AS s, md5(text) AS grp, sha256(text) AS sha256 FROM documents)""")
-cte("manifest_clean", f"""SELECT path, label, {_SPLIT} AS split, grp, sha256 FROM (
-SELECT path, label, {H("'split|'||grp")}%10 AS s, grp, sha256 FROM manifest)""", "manifest")
 cte("manifest_flat", "SELECT path, label, 'train' AS split, grp, sha256 FROM manifest", "manifest")
 
 

@@ -60,7 +60,7 @@ def _(spark, sf):
 
 @query("label_encode_sorted", """SELECT path, label, CAST(dense_rank() OVER (ORDER BY label)-1 AS INT) AS y FROM manifest""", ("manifest",))
 def _(spark, sf):
-    return ma.label_encode(fx.manifest(spark, sf)).select("path", "label", "y")
+    return ma.label_encode(fx.manifest_table(spark, sf)).select("path", "label", "y")
 
 
 def _classes(spark, sf) -> DataFrame:
@@ -121,7 +121,7 @@ cte("indexed", "SELECT *, row_number() OVER (PARTITION BY split ORDER BY label,
 
 @query("manifest_digest", sql_digest("indexed", "split", "pos", "path||chr(1)||label"), ("indexed",))
 def _(spark, sf):
-    return ma.manifest_digest(sp.manifest_row_index(fx.manifest(spark, sf)), ["split"])
+    return ma.manifest_digest(sp.manifest_row_index(fx.manifest_table(spark, sf)), ["split"])
 
 
 @query("rule_id_digest", """SELECT candidate, sha256('{"candidate":'||candidate||',"learner":"'||learner||'","spec":"'||spec||'"}') AS digest,
@@ -159,7 +159,7 @@ def _(spark, sf):
 @query("split_summary", """SELECT coalesce(split,'ALL') AS split, coalesce(label,'ALL') AS label, count(*) AS rows,
 CASE WHEN label IS NULL AND split IS NOT NULL THEN count(DISTINCT grp) END AS groups FROM manifest GROUP BY ROLLUP (split, label)""", ("manifest",))
 def _(spark, sf):
-    return ma.split_summary(fx.manifest(spark, sf))
+    return ma.split_summary(fx.manifest_table(spark, sf))
 
 
 def sql_dupgroups(src: str, key: str) -> str:
@@ -170,13 +170,13 @@ count(*) FILTER (WHERE l>1) AS n_cross_class_groups FROM (SELECT {key}, count(*)
 
 @query("duplicate_groups_report", sql_dupgroups("manifest", "sha256"), ("manifest",))
 def _(spark, sf):
-    return ma.duplicate_groups_report(fx.manifest(spark, sf), "sha256")
+    return ma.duplicate_groups_report(fx.manifest_table(spark, sf), "sha256")
 
 
 @query("duplicate_groups_examples", """SELECT sha256, count(*) AS copies, min(path) AS first_path FROM manifest GROUP BY sha256
 HAVING count(DISTINCT split)>1 ORDER BY sha256 LIMIT 200""", ("manifest",))
 def _(spark, sf):
-    return ma.duplicate_groups_examples(fx.manifest(spark, sf), "sha256", 200)
+    return ma.duplicate_groups_examples(fx.manifest_table(spark, sf), "sha256", 200)
 
 
 SQL_EXPECT = f"""(SELECT rel AS release, split, label, CASE rel WHEN 'v2' THEN n ELSE n+{H("label")}%3 END AS published FROM
@@ -187,7 +187,7 @@ SQL_EXPECT = f"""(SELECT rel AS release, split, label, CASE rel WHEN 'v2' THEN n
 SELECT e.release, e.split, e.label, o.n AS observed, e.published, o.n=e.published AS matches FROM {SQL_EXPECT} e
 JOIN (SELECT split, label, count(*) AS n FROM manifest GROUP BY ALL) o ON e.split=o.split AND e.label=o.label)""", ("manifest",))
 def _(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.manifest_table(spark, sf)
     n = m.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
     expected = n.withColumn("release", F.explode(F.array(F.lit("v1"), F.lit("v2")))).select(
         "release", "split", "label",
@@ -207,7 +207,7 @@ UNION ALL SELECT 'class_missing_in_split', count(DISTINCT label)*3-count(DISTINC
 
 @query("validate_manifest", SQL_VM.format(t="manifest"), ("manifest",))
 def _(spark, sf):
-    return audits.validate_manifest(fx.manifest(spark, sf))
+    return audits.validate_manifest(fx.manifest_table(spark, sf))
 
 
 SQL_VMD = """(SELECT path, CASE WHEN h%37=0 THEN ' ' ELSE label END AS label, CASE WHEN h%41=0 THEN 'holdout' ELSE split END AS split,
@@ -216,7 +216,7 @@ CASE WHEN h%43=0 THEN NULL ELSE grp END AS grp FROM (SELECT *, """ + H("path") +
 
 @query("validate_manifest_defects", SQL_VM.format(t=SQL_VMD), ("manifest",))
 def _(spark, sf):
-    m = fx.manifest(spark, sf).withColumn("h", ha.h32(F.col("path")))
+    m = fx.manifest_table(spark, sf).withColumn("h", ha.h32(F.col("path")))
     m = m.select("path", F.when(F.col("h") % 37 == 0, " ").otherwise(F.col("label")).alias("label"),
                  F.when(F.col("h") % 41 == 0, "holdout").otherwise(F.col("split")).alias("split"),
                  F.when(F.col("h") % 43 != 0, F.col("grp")).alias("grp"))
@@ -236,7 +236,7 @@ count(*) OVER (PARTITION BY k, label) AS n FROM folds, range(0,5) r(k) WHERE k<>
 
 
 def _folds(spark, sf):
-    return sp.grouped_stratified_folds(sp.group_labels(fx.manifest(spark, sf)), 5, 42)
+    return sp.grouped_stratified_folds(sp.group_labels(fx.manifest_table(spark, sf)), 5, 42)
 
 
 @query("grouped_stratified_kfold", "SELECT grp, label, fold FROM folds", ("folds",))
@@ -259,7 +259,9 @@ SQL_FROWS = f"""(SELECT fold, m.grp, path, CASE WHEN {H("path||'|'||fold")}%211=
 
 @query("validate_outer_folds", SQL_VF.format(t=SQL_FROWS), ("manifest", "holdout"))
 def _(spark, sf):
-    rows = fx.manifest(spark, sf).select("path", "grp").join(sp.validation_holdout(_folds(spark, sf), 5, 0.2, 42), "grp")
+    m = fx.manifest_table(spark, sf)
+    folds = sp.grouped_stratified_folds(sp.group_labels(m), 5, 42)
+    rows = m.select("path", "grp").join(sp.validation_holdout(folds, 5, 0.2, 42), "grp")
     h = ha.h32(F.concat_ws("|", "path", "fold"))
     rows = rows.withColumn("role", F.when(h % 211 == 0, "train").otherwise(F.col("role"))).where(h % 223 != 0)
     return audits.validate_outer_folds(rows)
@@ -294,7 +296,7 @@ def _(spark, sf):
 @query("nested_subsample", f"""SELECT path, label FROM (SELECT path, label, row_number() OVER (PARTITION BY label ORDER BY {sql_seed(43, 'subsample', 'path')}, path) AS rk,
 count(*) OVER (PARTITION BY label) AS n FROM manifest WHERE split='train') WHERE rk<=n//3""", ("manifest",))
 def _(spark, sf):
-    train = fx.manifest(spark, sf).where("split = 'train'").select("path", "label")
+    train = fx.manifest_table(spark, sf).where("split = 'train'").select("path", "label")
     targets = train.groupBy("label").agg(F.floor(F.count(F.lit(1)) / 3).alias("target"))
     return sp.nested_subsample(train, targets, 43)
 
@@ -305,18 +307,18 @@ FROM (SELECT grp, split, count(*) AS n FROM manifest GROUP BY ALL) GROUP BY grp"
 
 @query("reassign_straddling_groups", f"SELECT m.path, m.grp, m.split, s.role, s.straddled FROM manifest m JOIN ({SQL_STRADDLE}) s ON m.grp=s.grp", ("manifest",))
 def _(spark, sf):
-    return sp.reassign_straddling_groups(fx.manifest(spark, sf)).select("path", "grp", "split", "role", "straddled")
+    return sp.reassign_straddling_groups(fx.manifest_table(spark, sf)).select("path", "grp", "split", "role", "straddled")
 
 
 @query("manifest_row_index", "SELECT path, label, split, pos FROM indexed", ("indexed",))
 def _(spark, sf):
-    return sp.manifest_row_index(fx.manifest(spark, sf)).select("path", "label", "split", "pos")
+    return sp.manifest_row_index(fx.manifest_table(spark, sf)).select("path", "label", "split", "pos")
 
 
 @query("stratified_row_split", f"""SELECT path, label, CASE WHEN rk<=round_even(n*0.15::DOUBLE,0) THEN 'valid' ELSE 'train' END AS role FROM (
 SELECT path, label, row_number() OVER (PARTITION BY label ORDER BY {sql_seed(42, 'row', 'path')}, path) AS rk, count(*) OVER (PARTITION BY label) AS n FROM manifest)""", ("manifest",))
 def _(spark, sf):
-    return sp.stratified_row_split(fx.manifest(spark, sf).select("path", "label"), 0.15, 42)
+    return sp.stratified_row_split(fx.manifest_table(spark, sf).select("path", "label"), 0.15, 42)
 
 
 SQL_POOL = "(SELECT * FROM manifest WHERE split IN ('train','valid'))"
@@ -326,19 +328,20 @@ SQL_MAJOR = f"(SELECT grp, arg_min(label, (-n, label)) AS major FROM (SELECT grp
 @query("group_resplit", f"""SELECT p.path, p.grp, g.role FROM {SQL_POOL} p JOIN (SELECT grp, CASE WHEN rk<=greatest(1,round_even(n*0.2::DOUBLE,0)) THEN 'valid' ELSE 'train' END AS role FROM (
 SELECT grp, row_number() OVER (PARTITION BY major ORDER BY {sql_seed(42, 'resplit', 'grp')}, grp) AS rk, count(*) OVER (PARTITION BY major) AS n FROM {SQL_MAJOR})) g ON p.grp=g.grp""", ("manifest",))
 def _(spark, sf):
-    return sp.group_resplit(fx.manifest(spark, sf), 0.2, 42).select("path", "grp", "role")
+    return sp.group_resplit(fx.manifest_table(spark, sf), 0.2, 42).select("path", "grp", "role")
 
 
 @query("group_kfold_train_valid", f"""SELECT CAST(k AS INT) AS fold, p.path, p.label, p.grp, CASE WHEN f.own=k THEN 'valid' ELSE 'train' END AS role FROM {SQL_POOL} p JOIN (
 SELECT grp, (row_number() OVER (PARTITION BY major ORDER BY {sql_seed(42, 'fold', 'grp')}, grp)-1)%5 AS own FROM {SQL_MAJOR}) f ON p.grp=f.grp, range(0,5) r(k)""", ("manifest",))
 def _(spark, sf):
-    return sp.group_kfold_train_valid(fx.manifest(spark, sf), 5, 42)
+    return sp.group_kfold_train_valid(fx.manifest_table(spark, sf), 5, 42)
 
 
 @query("fold_pool_index", f"""SELECT path, pos FROM (SELECT path, row_number() OVER (PARTITION BY split ORDER BY label, path)-1 AS pos, split FROM manifest) WHERE split='train'""", ("manifest",))
 def _(spark, sf):
-    pool = sp.manifest_row_index(fx.manifest(spark, sf)).where("split = 'train'").select("path", "pos")
-    rows = fx.manifest(spark, sf).where("split = 'train'").select("path")
+    m = fx.manifest_table(spark, sf)
+    pool = sp.manifest_row_index(m).where("split = 'train'").select("path", "pos")
+    rows = m.where("split = 'train'").select("path")
     return joins.fold_pool_index(rows, pool).select("path", "pos")
 
 
@@ -354,14 +357,14 @@ def exact_leaks(m: DataFrame) -> DataFrame:
 
 @query("remove_leaked_rows", f"SELECT path, label FROM manifest WHERE split='train' AND path NOT IN (SELECT path FROM {SQL_LEAKED})", ("manifest",))
 def _(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.manifest_table(spark, sf)
     return ma.remove_leaked_rows(m.where("split = 'train'"), exact_leaks(m)).select("path", "label")
 
 
 @query("check_removal_mask", f"""SELECT 'unknown_row_in_mask' AS rule, count(*) AS violations FROM (SELECT path FROM {SQL_LEAKED} UNION SELECT path||'.gone' FROM {SQL_LEAKED}) WHERE path NOT IN (SELECT path FROM manifest WHERE split='train')
 UNION ALL SELECT 'empty_mask', 0""", ("manifest",))
 def _(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.manifest_table(spark, sf)
     leaks = exact_leaks(m).select("path")
     mask = leaks.unionByName(leaks.select(F.concat("path", F.lit(".gone")).alias("path")))
     return ma.check_mask(m.where("split = 'train'"), mask)
@@ -371,7 +374,7 @@ def _(spark, sf):
 round(count(l.partner)/count(*)::DOUBLE,6) AS removed_fraction, count(DISTINCT l.partner) AS partners, count(*) FILTER (WHERE l.partner_label<>p.label) AS cross_label
 FROM manifest p LEFT JOIN {SQL_LEAKED} l ON p.path=l.path WHERE p.split='train' GROUP BY ROLLUP (p.label)""", ("manifest",))
 def _(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.manifest_table(spark, sf)
     return r6(ma.dedup_removal_summary(m.where("split = 'train'"), exact_leaks(m)))
 
 
@@ -389,12 +392,12 @@ SELECT DISTINCT {key} FROM manifest WHERE split='{a}' INTERSECT SELECT DISTINCT
 
 @query("role_crossing_groups", sql_cross("grp"), ("manifest",))
 def _(spark, sf):
-    return ma.role_crossing_groups(fx.manifest(spark, sf))
+    return ma.role_crossing_groups(fx.manifest_table(spark, sf))
 
 
 @query("file_overlap", sql_cross("sha256"), ("manifest",))
 def _(spark, sf):
-    return ma.file_overlap(fx.manifest(spark, sf))
+    return ma.file_overlap(fx.manifest_table(spark, sf))
 
 
 @query("cohorts_identical", """SELECT (SELECT count(*) FROM manifest WHERE split='test')-count(*) AS only_in_a, 0::BIGINT AS only_in_b, count(*) FILTER (WHERE a.pos<>b.pos) AS moved,
@@ -403,7 +406,7 @@ def _(spark, sf):
 FROM (SELECT path, row_number() OVER (ORDER BY label, path)-1 AS pos FROM manifest WHERE split='test') a
 JOIN (SELECT path, row_number() OVER (ORDER BY label, path)-1 AS pos FROM manifest m WHERE split='test' AND grp NOT IN (SELECT grp FROM manifest WHERE split='train')) b ON a.path=b.path""", ("manifest",))
 def _(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.manifest_table(spark, sf)
     a = sp.manifest_row_index(m.where("split = 'test'"))
     unseen = m.where("split = 'test'").join(m.where("split = 'train'").select("grp"), "grp", "left_anti")
     return ma.cohorts_identical(a, sp.manifest_row_index(unseen))
@@ -411,7 +414,7 @@ def _(spark, sf):
 
 @query("partition_reconstructs_pool", """SELECT label, count(*) AS published, count(*) AS rebuilt, true AS reconstructs FROM manifest WHERE split='train' GROUP BY label""", ("manifest",))
 def _(spark, sf):
-    pool = fx.manifest(spark, sf).where("split = 'train'")
+    pool = fx.manifest_table(spark, sf).where("split = 'train'")
     return ma.partition_reconstructs_pool(sp.carve_validation(pool, 0.15, 42), pool)
 
 
@@ -423,7 +426,7 @@ UNION ALL SELECT w.label, g.rk, CASE WHEN g.n<=w.room THEN w.room-g.n ELSE w.roo
 
 @query("exact_count_carve", "SELECT label, grp, n FROM walk WHERE take", ("walk",))
 def _(spark, sf):
-    pool = fx.manifest(spark, sf).where("split = 'train'")
+    pool = fx.manifest_table(spark, sf).where("split = 'train'")
     sizes = pool.groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"))
     return sp.exact_count_carve(sizes, sp.carve_targets(pool, 0.15), 42)
 
@@ -433,7 +436,7 @@ count(*) FILTER (WHERE w.grp IS NOT NULL) AS valid_groups, CAST(coalesce(sum(c.n
 CAST(coalesce(sum(c.n) FILTER (WHERE w.grp IS NULL),0) AS BIGINT) AS train_rows, CAST(round_even(sum(c.n)*0.15::DOUBLE,0) AS BIGINT) AS target
 FROM cg c LEFT JOIN (SELECT * FROM walk WHERE take) w ON c.grp=w.grp AND c.label=w.label GROUP BY c.label""", ("walk",))
 def _(spark, sf):
-    pool = fx.manifest(spark, sf).where("split = 'train'")
+    pool = fx.manifest_table(spark, sf).where("split = 'train'")
     return ma.content_group_audit(sp.carve_validation(pool, 0.15, 42), sp.carve_targets(pool, 0.15))
 
 
@@ -522,7 +525,7 @@ def _(spark, sf):
 @query("scan_manifest_json", "SELECT split AS role, pos, path, label, grp FROM indexed", ("indexed",))
 def _(spark, sf):
     out = scratch_path(spark, "manifest-json")
-    sinks.write_manifest_documents(sp.manifest_row_index(fx.manifest(spark, sf)), out)
+    sinks.write_manifest_documents(sp.manifest_row_index(fx.manifest_table(spark, sf)), out)
     return readers.scan_manifest_documents(spark, out)
 
 
@@ -561,7 +564,7 @@ def _(spark, sf):
 def _(spark, sf):
     from pyspark.errors import AnalysisException
     out = scratch_path(spark, "once")
-    m = fx.manifest(spark, sf)
+    m = fx.manifest_table(spark, sf)
     sinks.write_new(m, out)
     try:
         sinks.write_new(m.limit(0), out)
@@ -573,7 +576,7 @@ def _(spark, sf):
 
 @query("run_artifact_record", """SELECT split, count(*) AS n, count(DISTINCT grp) AS n_groups, count(*) FILTER (WHERE label='en') AS n_en FROM manifest GROUP BY split""", ("manifest",))
 def _(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.manifest_table(spark, sf)
     dig = ma.manifest_digest(sp.manifest_row_index(m), ["split"])
     out = scratch_path(spark, "run-record")
     sinks.write_new(sinks.run_record(m, dig, {"seed": "42", "stage": "report"}), out, "json")
