@@ -6,14 +6,33 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assay.llm import bpe, decontaminate, exact
+from assay.llm import bpe, decontaminate, exact, langid, minhash, quality, substrings, suffixes, toxicity, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _classified(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "row.doc_id", training.held_out("row.doc_id").alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _classified(toxicity.score(docs, model), 0.5)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _classified(quality.score(docs, model), 0.3)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -28,9 +47,31 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest_columns(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_columns(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_bpe, op6_decontaminate)}
+    return {f.__name__: f for f in (
+        op1_toxicity, op2_quality, op3_exact_dedup, op5_bpe, op6_decontaminate, op7_language_id, op8_minhash_dedup,
+        op9_suffix_array_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.ORACLE}
+    return {"op3_exact_dedup": exact.ORACLE, "op8_minhash_dedup": minhash.ORACLE, "op9_suffix_array_dedup": suffixes.ORACLE,
+            "op10_substring_dedup": substrings.ORACLE}
