@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe, decontaminate, exact, langid, minhash, quality, substrings, suffixes, toxicity, training
+from assay.llm import bpe, decontaminate, exact, langid, lines, minhash, quality, substrings, suffixes, toxicity, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest_columns(lines.remove_repeated_chunks(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
@@ -68,10 +72,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_quality, op3_exact_dedup, op5_bpe, op6_decontaminate, op7_language_id, op8_minhash_dedup,
+        op1_toxicity, op2_quality, op3_exact_dedup, op4_line_dedup, op5_bpe, op6_decontaminate, op7_language_id, op8_minhash_dedup,
         op9_suffix_array_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.ORACLE, "op8_minhash_dedup": minhash.ORACLE, "op9_suffix_array_dedup": suffixes.ORACLE,
+    return {"op3_exact_dedup": exact.ORACLE, "op4_line_dedup": lines.ORACLE, "op8_minhash_dedup": minhash.ORACLE, "op9_suffix_array_dedup": suffixes.ORACLE,
             "op10_substring_dedup": substrings.ORACLE}

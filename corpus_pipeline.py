@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from assay.llm import stages
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", stages.language_id),
+    ("line_dedup", stages.line_dedup),
+    ("minhash_dedup", stages.minhash_dedup),
     ("decontaminate", stages.decontaminate),
     ("bpe", stages.bpe_encode),
 ]
