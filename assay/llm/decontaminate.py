@@ -176,3 +176,22 @@ def without_spans(leaks: DataFrame, text: str = "text") -> DataFrame:
     fields = leaks.schema["row"].dataType.names
     return leaks.select(*[
         (F.when(F.size("spans") > 0, kept).otherwise(F.col(f"row.{c}")) if c == text else F.col(f"row.{c}")).alias(c) for c in fields])
+
+
+ORACLE = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, k, array_to_string(ws[s + 1:s + k], ' ') AS t
+        FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(0, len(ws) - least(10, len(ws)) + 1)) AS s FROM bw WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM win),
+run AS (SELECT doc_id, s, k, array_to_string(ws[s + 1:s + k], ' ') AS t
+        FROM (SELECT doc_id, ws, k, unnest(range(0, len(ws) - k + 1)) AS s FROM dw, ks WHERE len(ws) >= k)),
+hit AS (SELECT doc_id, s, run.k, item FROM run JOIN win ON run.t = win.t AND run.k = win.k),
+words AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS i FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

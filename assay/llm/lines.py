@@ -86,10 +86,10 @@ def digest_columns(result: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-h AS (SELECT doc_id, ls, list_transform(ls, x -> ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d),
-a AS (SELECT doc_id, ls, list_transform(range(1, len(hs) + 1), i ->
+h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d),
+a AS (SELECT doc_id, ls, list_transform(range(1, len(hs) + 1), lambda i:
   (hs[i] + CASE WHEN i > 1 THEN {BASE} * hs[i - 1] ELSE 0 END + CASE WHEN i > 2 THEN {BASE ** 2} * hs[i - 2] ELSE 0 END) % {DIVISOR} = 0) AS at_ FROM h),
-e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), i -> i = len(ls) OR (i > 1 AND i < len(ls) - 1 AND at_[i] AND NOT at_[i - 1])) AS es FROM a),
+e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR (i > 1 AND i < len(ls) - 1 AND at_[i] AND NOT at_[i - 1])) AS es FROM a),
 c AS (SELECT doc_id, k, CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END AS a, es[k] AS z, ls FROM (SELECT *, unnest(range(1, len(es) + 1)) AS k FROM e)),
 x AS (SELECT doc_id, k, z - a + 1 AS n, array_to_string(ls[a:z], chr(10)) AS t FROM c),
 f AS (SELECT t, min((doc_id, k)) AS first FROM x WHERE n > 1 AND trim(regexp_replace(t, '\s+', ' ', 'g')) <> '' GROUP BY t),

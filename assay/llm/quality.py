@@ -88,9 +88,9 @@ class QualityModel:
     def features(self, stats: np.ndarray) -> np.ndarray:
         rng = np.random.default_rng(SEED)
         d = stats.shape[1]
-        freq = rng.normal(0, 1 / (WIDTH * np.sqrt(d)), (d, FEATURES))
-        phase = rng.uniform(0, 2 * np.pi, FEATURES)
-        z = np.sqrt(2 / FEATURES) * np.cos(np.clip((stats - self.centre) / self.scale, -8, 8) @ freq + phase)
+        freq = rng.normal(0, 1 / (WIDTH * np.sqrt(d)), (d, FEATURES // 2))
+        at = np.clip((stats - self.centre) / self.scale, -8, 8) @ freq
+        z = np.sqrt(2 / FEATURES) * np.concatenate([np.cos(at), np.sin(at)], axis=1)
         return np.concatenate([z, np.ones((len(z), 1))], axis=1)
 
     def ridge(self, stats: np.ndarray) -> np.ndarray:

@@ -77,5 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.ORACLE, "op4_line_dedup": lines.ORACLE, "op8_minhash_dedup": minhash.ORACLE, "op9_suffix_array_dedup": suffixes.ORACLE,
-            "op10_substring_dedup": substrings.ORACLE}
+    return {"op3_exact_dedup": exact.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_decontaminate": decontaminate.ORACLE,
+            "op8_minhash_dedup": minhash.ORACLE, "op9_suffix_array_dedup": suffixes.ORACLE, "op10_substring_dedup": substrings.ORACLE}

@@ -115,9 +115,9 @@ w AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1:s + 50], ' ')) AS h
       FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS s FROM d WHERE len(ws) >= 50)),
 first AS (SELECT h, min(doc_id) AS f FROM w GROUP BY h),
 hit AS (SELECT doc_id, list(s) AS hs FROM w JOIN first USING (h) WHERE f < doc_id GROUP BY doc_id),
-gone AS (SELECT doc_id, list_distinct(flatten(list_transform(hs, s -> range(s, s + 50)))) AS g FROM hit),
+gone AS (SELECT doc_id, list_distinct(flatten(list_transform(hs, lambda s: range(s, s + 50)))) AS g FROM hit),
 kept AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
-  CASE WHEN g IS NULL THEN ws ELSE list_transform(list_sort(list_filter(range(0, len(ws)), i -> NOT list_contains(g, i))), i -> ws[i + 1]) END AS k
+  CASE WHEN g IS NULL THEN ws ELSE list_transform(list_sort(list_filter(range(0, len(ws)), lambda i: NOT list_contains(g, i))), lambda i: ws[i + 1]) END AS k
   FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """

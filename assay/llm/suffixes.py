@@ -219,6 +219,6 @@ span AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS z FROM numbered GROUP BY do
 gone AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
 SELECT d.doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN a IS NULL THEN hx ELSE array_to_string(list_transform(range(1, len(a) + 2),
-    i -> substr(hx, CASE WHEN i = 1 THEN 1 ELSE 2 * z[i - 1] + 1 END, CASE WHEN i > len(a) THEN len(hx) ELSE 2 * a[i] - CASE WHEN i = 1 THEN 0 ELSE 2 * z[i - 1] END END)), '') END)) AS kept_sha256
+    lambda i: substr(hx, CASE WHEN i = 1 THEN 1 ELSE 2 * z[i - 1] + 1 END, CASE WHEN i > len(a) THEN len(hx) ELSE 2 * a[i] - CASE WHEN i = 1 THEN 0 ELSE 2 * z[i - 1] END END)), '') END)) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
 """
