@@ -22,8 +22,9 @@ from assay.operators import metrics as me
 from assay.operators.metrics import METRICS
 
 PRIME = 2147483647  # 2**31 - 1, so products of two residues fit 63 bits
-BUCKETS = 4096
 BLOCK_GROUPS = 50_000
+#: hash buckets of a stratum: this many for each block, so that a block never grows with the table
+BUCKETS_PER_BLOCK, LEAST_BUCKETS = 64, 4096
 
 
 def mix(seed: int, rep: np.ndarray, stratum: int, slot: np.ndarray) -> np.ndarray:
@@ -38,8 +39,8 @@ def mix(seed: int, rep: np.ndarray, stratum: int, slot: np.ndarray) -> np.ndarra
 def _block_plan(groups: DataFrame) -> tuple[dict[int, list[int]], DataFrame]:
     """Cut each stratum into blocks of about BLOCK_GROUPS groups along the group hash.
 
-    The driver sees strata x 4096 counts at most. Returns the block sizes per stratum and the
-    (stratum, bucket) -> block table of the same bound.
+    The driver sees one count per bucket. Returns the block sizes per stratum and the
+    (stratum, bucket) -> block table.
     """
     counts = groups.groupBy("stratum", "bucket").count().collect()
     sizes: dict[int, list[int]] = {}
@@ -62,7 +63,8 @@ def block_draws(seed: int, stratum: int, sizes: list[int], block: int, reps: np.
     """How many of the stratum's draws fall into ``block``, per replicate.
 
     The multinomial over blocks is split by halves with binomials seeded by the half, so all
-    blocks of a stratum agree without talking to each other.
+    blocks of a stratum agree without talking to each other. A draw depends on the seed, the
+    stratum, the half and the replicate alone, not on how replicates are dealt to tasks.
     """
     total = sum(sizes)
     n = np.full(len(reps), total, dtype=np.int64)
@@ -70,8 +72,8 @@ def block_draws(seed: int, stratum: int, sizes: list[int], block: int, reps: np.
     while hi - lo > 1:
         mid = (lo + hi) // 2
         share = sum(sizes[lo:mid]) / sum(sizes[lo:hi])
-        rng = np.random.default_rng([seed, stratum, lo, hi, int(reps[0])])
-        left = rng.binomial(n, share)
+        left = np.array([np.random.default_rng([seed, stratum, lo, hi, r]).binomial(k, share)
+                         for r, k in zip(reps.tolist(), n.tolist())], dtype=np.int64)
         if block < mid:
             n, hi = left, mid
         else:
@@ -95,7 +97,9 @@ def cluster_replicates(groups: DataFrame, n_rep: int = 2000, seed: int = 42, chu
     ``groups`` is (stratum INT, grp STRING, v ARRAY<DOUBLE>), one row per group. Within each
     stratum as many groups are drawn, with replacement, as it has.
     """
-    g = groups.withColumn("bucket", (h32(F.col("grp")) / F.lit(2**32 // BUCKETS)).cast("int"))
+    wanted = BUCKETS_PER_BLOCK * groups.count() // BLOCK_GROUPS
+    buckets = min(2**31, max(LEAST_BUCKETS, 1 << (wanted - 1).bit_length() if wanted else 1))
+    g = groups.withColumn("bucket", (h32(F.col("grp")) / F.lit(2**32 // buckets)).cast("int"))
     sizes, plan = _block_plan(g)
     n_blocks = sum(len(b) for b in sizes.values())
     # a few large blocks would leave cores idle, so replicates are cut too
@@ -312,10 +316,10 @@ def paired_group_sums(pairs: DataFrame, comparisons: list[str]) -> DataFrame:
 def sign_flip_nulls(groups: DataFrame, n_rep: int, seed: int, width: int) -> DataFrame:
     """(rep, nulls): sums of the group differences under random signs, shared by comparisons.
 
-    The sign of a group comes from its own hash, so any partition can do its groups alone; a
+    The sign of a group comes from its own 64-bit hash, so any partition can do its groups alone; a
     partition returns one vector per replicate.
     """
-    d = groups.select(h32(F.col("grp")).alias("g"), F.array(*[F.get("v", F.lit(2 * i)) for i in range(width)]).alias("s"))
+    d = groups.select(h32(F.col("grp")).alias("g"), h32(F.concat(F.lit("sign|"), F.col("grp"))).alias("g2"), F.array(*[F.get("v", F.lit(2 * i)) for i in range(width)]).alias("s"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n_rep, width))
@@ -326,9 +330,10 @@ def sign_flip_nulls(groups: DataFrame, n_rep: int, seed: int, width: int) -> Dat
                 continue
             seen = True
             g = pdf["g"].to_numpy(dtype=np.int64) % PRIME
+            g2 = pdf["g2"].to_numpy(dtype=np.int64) % PRIME
             s = np.stack(pdf["s"].to_numpy()).astype(np.float64)
             for a in range(0, len(g), 2000):
-                bits = mix(seed, reps[:, None], 5, g[None, a:a + 2000]) // 1024 % 2
+                bits = (mix(seed, reps[:, None], 5, g[None, a:a + 2000]) // 1024 + mix(seed, reps[:, None], 6, g2[None, a:a + 2000]) // 1024) % 2
                 total += (1 - 2 * bits) @ s[a:a + 2000]
         if seen:
             yield pd.DataFrame({"rep": reps.astype(np.int32), "v": list(total)})

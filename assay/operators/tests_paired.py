@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assay.operators import joins, metrics
 
 
+def _stirling_error(n: Column) -> Column:
+    """log n! minus Stirling's formula, for n of 16 and more."""
+    n2 = n * n
+    return (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - (F.lit(1 / 1680) - F.lit(1 / 1188) / n2) / n2) / n2) / n2) / n
+
+
+def _log_half_binomial(x: Column, n: Column) -> Column:
+    """log of C(n, x) / 2^n for large n; differences of logs are taken of ratios near one, so that
+    no digits are lost when n is in the billions."""
+    y = n - x
+    away = (y - x) / n  # x = n (1 - away) / 2
+    deviance = x * F.log1p(-away) + y * F.log1p(away)
+    return (F.log(n / (2 * math.pi * x * y)) / 2 + _stirling_error(n) - _stirling_error(x) - _stirling_error(y) - deviance)
+
+
+#: above this many discordant rows, and 16 on either side, the closed form is used
+CLOSED_FORM = 1000
+
+
 def binomial_two_sided(lo: Column, n: Column) -> Column:
     """min(1, 2 * sum_{i<=lo} C(n, i) / 2^n), by the ratio of neighbouring terms in logs.
 
-    The terms are added around the largest one (i = lo), so nothing underflows.
+    The terms are added from the largest one (i = lo) down, so nothing underflows. They shrink at
+    least as fast as a normal tail, so 10 sqrt(n) + 50 of them hold all digits of the sum.
     """
-    i_max = lo.cast("int")
+    lo, n = lo.cast("bigint"), n.cast("bigint")
     # log C(n, lo) = sum of log((n - j + 1) / j)
-    log_top = F.aggregate(
-        F.when(i_max > 0, F.sequence(F.lit(1), i_max)).otherwise(F.array().cast("array<int>")),
-        F.lit(0.0), lambda s, j: s + F.log((n - j + 1) / j)) - n * F.log(F.lit(2.0))
+    steps = lambda upto: F.when(upto > 0, F.sequence(F.lit(1).cast("bigint"), upto)).otherwise(F.array().cast("array<bigint>"))
+    x, m = lo.cast("double"), n.cast("double")
+    far = (n > CLOSED_FORM) & (lo >= 16)
+    log_top = F.when(far, _log_half_binomial(x, m)).otherwise(F.aggregate(
+        steps(F.when(far, F.lit(0).cast("bigint")).otherwise(lo)), F.lit(0.0), lambda s, j: s + F.log((n - j + 1) / j)) - n * F.log(F.lit(2.0)))
     # going down from i = lo: term(i-1) = term(i) * i / (n - i + 1)
+    terms = F.least(lo, (F.lit(10.0) * F.sqrt(m) + 50).cast("bigint"))
     down = F.aggregate(
-        F.when(i_max > 0, F.sequence(i_max, F.lit(1))).otherwise(F.array().cast("array<int>")),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda s, i: F.struct((s["term"] * i / (n - i + 1)).alias("term"),
-                              (s["total"] + s["term"] * i / (n - i + 1)).alias("total")),
+        steps(terms), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+        lambda s, j: F.struct((s["term"] * (lo - j + 1) / (n - lo + j)).alias("term"),
+                              (s["total"] + s["term"] * (lo - j + 1) / (n - lo + j)).alias("total")),
         lambda s: s["total"])
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * F.exp(log_top) * down))
 

@@ -91,8 +91,11 @@ def _(spark, sf):
 
 cte("pdelta", """SELECT b.method AS baseline, a.patient_id, sum((a.y_pred=a.y_true)::INT-(b.y_pred=a.y_true)::INT) AS d, count(*) AS n
 FROM preds a JOIN preds b ON a.path=b.path WHERE a.method='proposed' AND b.method<>'proposed' GROUP BY ALL""", "preds")
-cte("flips", f"""SELECT rep, baseline, sum(CASE WHEN m//1024%2=0 THEN d ELSE -d END) AS nul FROM
-{sql_mixed(f"(SELECT baseline, d, {H('patient_id')}%{P} AS g, rep FROM pdelta, range(0,{B}) r(rep))", "rep, baseline, d, g", SEED, "rep", "5", "g", "m")} GROUP BY ALL""", "pdelta")
+cte("flip1", f"""SELECT * FROM
+{sql_mixed(f"(SELECT baseline, patient_id, d, {H('patient_id')}%{P} AS g, rep FROM pdelta, range(0,{B}) r(rep))", "rep, baseline, patient_id, d, g", SEED, "rep", "5", "g", "m1")}""", "pdelta")
+_SIGN = H("concat('sign|', patient_id)")
+cte("flips", f"""SELECT rep, baseline, sum(CASE WHEN (m1//1024+m2//1024)%2=0 THEN d ELSE -d END) AS nul FROM
+{sql_mixed(f"(SELECT *, {_SIGN}%{P} AS g2 FROM flip1)", "rep, baseline, d, m1, g2", SEED, "rep", "6", "g2", "m2")} GROUP BY ALL""", "flip1")
 cte("ptest", f"""SELECT baseline, any_value(od)/any_value(o_n)::DOUBLE AS delta_accuracy, quantile_cont(ba,0.025) AS ci_low, quantile_cont(ba,0.975) AS ci_high,
 (sum((abs(nul)>=abs(od)-1e-12)::INT)+1)/({B}+1)::DOUBLE AS p_raw, (SELECT count(*) FROM gt) AS n_groups FROM
 (SELECT rep, baseline, sum(w*d)/sum(w*n)::DOUBLE AS ba FROM pdelta JOIN wts0 USING (patient_id) GROUP BY ALL) JOIN flips USING (rep, baseline)

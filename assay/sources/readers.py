@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assay.functions.text import IMAGE_PATTERN, normalize_split
@@ -51,7 +54,10 @@ def scan_class_folders(spark: SparkSession, root: str, pattern: str = IMAGE_PATT
     Two folders for one role are an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    rel = F.regexp_extract("path", "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/(.*)$", 1)
+    # file paths are complete URIs: what follows the root's own path below its scheme and host
+    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    below = below if below.startswith("/") else "/" + below
+    rel = F.substr("path", F.locate(below, F.col("path")) + len(below))
     d = files.where(F.lower("path").rlike(pattern)).withColumn("rel", rel).where(~F.col("rel").rlike(r"(^|/)\."))
     part = lambda i: F.regexp_replace(F.get(F.split("rel", "/"), F.lit(i)), "^[^=]*=", "")
     role = normalize_split(part(0), strict=False)
@@ -111,9 +117,39 @@ def scan_feature_table(spark: SparkSession, path: str, backbone: str, role: str,
 
 
 def scan_result_files(spark: SparkSession, root: str, name: str = "selection_grid.csv") -> DataFrame:
-    """All result CSVs called ``name`` below a root (single files or Spark output folders), with
-    the source file and the recorded seconds."""
-    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root, header=True)
-    src = F.col("_metadata.file_path")
-    d = d.where(src.contains("/" + name))
-    return d.select(src.alias("source"), "spec", "learner", F.col("fit_seconds").cast("double").alias("recorded_fit_seconds"))
+    """All result CSVs called ``name`` below a root (single files or Spark output folders of that
+    name): source file, row number within the file, spec, learner and the recorded seconds.
+
+    Every distinct header is read on its own; columns that a file lacks are null. Only files of
+    that name are listed. They are small, so a file is one row until its lines are cut.
+    """
+    base = root.rstrip("/")
+    seen = [_csv_below(spark, base, {"pathGlobFilter": name}), _csv_below(spark, f"{base}/**/{name}", {"pathGlobFilter": "*.csv"})]
+    lines = [d for d in seen if d is not None]
+    if not lines:
+        raise ValueError(f"no {name} below {root}")
+    line = lines[0] if len(lines) == 1 else lines[0].union(lines[1]).distinct()
+    first = line.where("row = 0")
+    headers = [r[0] for r in first.select("value").distinct().collect()]  # one for each layout
+    out = None
+    for h in headers:
+        names = [c.lstrip("\ufeff").strip().strip('"') for c in h.split(",")]
+        mine = line.join(first.where(F.col("value") == h).select("source"), "source", "left_semi").where("row > 0")
+        parsed = mine.select("source", "row", F.from_csv("value", ", ".join(f"`{c}` string" for c in names)).alias("r"))
+        cell = lambda c: F.col(f"r.`{c}`") if c in names else F.lit(None).cast("string")
+        part = parsed.select("source", F.col("row").alias("source_row"), cell("spec").alias("spec"), cell("learner").alias("learner"),
+                             cell("fit_seconds").cast("double").alias("recorded_fit_seconds"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _csv_below(spark: SparkSession, root: str, options: dict[str, str]) -> DataFrame | None:
+    """(source, row, value): the lines of the matching files; None without any."""
+    try:
+        text = spark.read.format("text").options(recursiveFileLookup="true", wholetext="true", **options).load(root)
+        if text.isEmpty():
+            return None
+    except AnalysisException:
+        return None
+    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: x != "")
+    return text.select(F.col("_metadata.file_path").alias("source"), F.posexplode(lines).alias("row", "value"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import vectors as ve
-from assay.operators import dedup as dd, heads, resample as rs
+from assay.operators import dedup as dd, heads, resample as rs, splits as sp, tests_paired as tp
 
 
 def brute_pairs(rows, t, orders):
@@ -134,3 +134,34 @@ def test_knn_equals_brute_force(spark, monkeypatch, block):
     for name, _, v in q:
         d = sorted((round(float(((np.asarray(v) - np.asarray(t)) ** 2).sum()), 9), p) for p, _, t in rows)
         assert [got[name][i + 1] for i in range(4)] == [p for _, p in d[:4]]
+
+
+def test_bootstrap_draws_do_not_depend_on_the_deal(spark, monkeypatch):
+    """Equal bits however replicates and groups are dealt to tasks; several blocks per stratum."""
+    monkeypatch.setattr(rs, "BLOCK_GROUPS", 40)
+    groups = spark.createDataFrame([(i % 2, f"g{i}", [float(i), 1.0]) for i in range(300)], "stratum int, grp string, v array<double>")
+    runs = [{r["rep"]: tuple(r["v"]) for r in rs.cluster_replicates(g, 60, 3, chunk).collect()}
+            for g, chunk in ((groups, 250), (groups.repartition(7), 7), (groups.coalesce(1), 1))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 60
+    assert all(v[1] == 300 for v in runs[0].values())
+
+
+def test_mcnemar_of_large_counts(spark):
+    from math import comb, erfc, sqrt
+
+    cases = [(4, 11), (78, 184), (480, 1001), (400, 1001), (5, 2000), (900, 2000), (0, 0), (0, 5000), (10 ** 9, 2 * 10 ** 9 + 60_000), (3 * 10 ** 9, 6 * 10 ** 9)]
+    d = spark.createDataFrame(cases, "lo long, n long")
+    got = {(r.lo, r.n): r.p for r in d.select("lo", "n", tp.binomial_two_sided(d.lo, d.n).alias("p")).collect()}
+    for lo, n in cases:
+        if n < 10 ** 6:
+            want = min(1.0, 2 * sum(comb(n, i) for i in range(lo + 1)) / 2 ** n) if n else 1.0
+            assert got[lo, n] == pytest.approx(want, rel=1e-10)
+        else:
+            assert got[lo, n] == pytest.approx(min(1.0, erfc((n / 2 - lo - 0.5) / sqrt(n / 2))), rel=1e-4)
+
+
+def test_split_names_beyond_sixteen(spark):
+    rows = [(f"p{i}", "a", s, f"g{i}") for i, s in enumerate([f"name{j}" for j in range(40)] + ["train"] * 30 + ["test"] * 5)]
+    d = spark.createDataFrame(rows, "path string, label string, split string, grp string")
+    out, made = sp.carve_missing_splits(d)
+    assert made == ["valid"] and out.where("split = 'test'").count() == 5

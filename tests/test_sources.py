@@ -45,3 +45,22 @@ def test_predictions_without_probabilities(spark, tmp_path):
     write(tmp_path / "q.csv", "fold,method,path,patient_id,y_true,y_pred,p_0,p_2\n1,a,f,007,0,1,0.5,0.5\n")
     with pytest.raises(ValueError, match="incomplete"):
         readers.scan_predictions(spark, str(tmp_path / "q.csv"))
+
+
+@pytest.mark.parametrize("root", ["brain+mri", "data/x/data", "a.b(c)"])
+def test_class_folders_by_whole_prefix(spark, tmp_path, root):
+    write(tmp_path / root / "test/cat/3.png", "x")
+    write(tmp_path / root / "dog/4.png", "x")
+    got = sorted((r["label"], r["split"]) for r in readers.scan_class_folders(spark, str(tmp_path / root)).collect())
+    assert got == [("cat", "test"), ("dog", "train")]
+
+
+def test_result_files_with_own_headers(spark, tmp_path):
+    write(tmp_path / "r/a/selection_grid.csv", "spec,learner,fit_seconds\nA,svm,1.5\n\"B,b\",rf,2\n")
+    write(tmp_path / "r/b/selection_grid.csv", "\ufefffit_seconds,extra,spec\n3.5,q,C\n")
+    write(tmp_path / "r/b/other.csv", "spec,learner\nno,no\n")
+    write(tmp_path / "r/c/selection_grid.csv/part-0.csv", "spec,learner,fit_seconds\nD,nn,\n")
+    got = sorted(tuple(r)[1:] for r in readers.scan_result_files(spark, str(tmp_path / "r")).collect())
+    assert got == [(1, "A", "svm", 1.5), (1, "C", None, 3.5), (1, "D", "nn", None), (2, "B,b", "rf", 2.0)]
+    with pytest.raises(ValueError, match="no nothing.csv"):
+        readers.scan_result_files(spark, str(tmp_path / "r"), "nothing.csv")
