@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assay.functions.text import NORMAL_ALIASES_ANY, NORMAL_ALIASES_RANKED, normalize_class_name
+from assay.operators.ranks import ordered_rank
 
 DIGEST_FAN_IN = 4096
 
 
-def class_table(rows: DataFrame, label: str = "label", max_classes: int = 10_000) -> DataFrame:
-    """(label, idx): index in the sorted distinct labels.
-
-    The window runs over the distinct labels only; more than ``max_classes`` is an error,
-    since a class table is broadcast.
-    """
-    d = rows.select(label).distinct()
-    t = d.withColumn("idx", (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    over = F.raise_error(F.lit("too many classes for a class table")).cast("int")
-    return t.withColumn("idx", F.when(F.col("idx") >= max_classes, over).otherwise(F.col("idx")))
+def class_table(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(label, idx): index in the sorted distinct labels, however many there are."""
+    ranked = ordered_rank(rows.select(label).distinct().withColumn("_all", F.lit(0)), ["_all"], label, "_rank")
+    return ranked.select(label, (F.col("_rank") - 1).cast("int").alias("idx"))
 
 
 def label_encode(rows: DataFrame, label: str = "label", out: str = "y") -> DataFrame:
     """Adds the 0-based index of the label in sorted order."""
-    return rows.join(F.broadcast(class_table(rows, label).withColumnRenamed("idx", out)), label)
+    return rows.join(class_table(rows, label).withColumnRenamed("idx", out), label)
 
 
 def find_normal_class(classes: DataFrame, requested: str | None = None, ranked: bool = True) -> DataFrame:

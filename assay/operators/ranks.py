@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assay.session import write_and_read
+
 HASH_BUCKET_DIGITS = 3  # 4096 buckets per key group
 
 
@@ -21,24 +23,14 @@ def hash_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], out:
     return _bucket_rank(d, keys, order, ties, out)
 
 
-def ordered_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank",
-                 rows_per_bucket: int = 2_000_000, max_buckets: int = 512) -> DataFrame:
+def ordered_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank") -> DataFrame:
     """1-based rank within ``keys`` by a unique string column.
 
-    Bucket bounds are literal values taken from a hash-ordered sample of at most
-    ``max_buckets`` values, so a retried task sees the same bounds.
+    The rows are dealt by ranges of (keys, order) and written once with the number of their range,
+    so that the counts and the ranks see the same ranges, also when a task is retried.
     """
-    from assay.functions.hashing import h32
-
-    n = df.count()
-    want = min(max_buckets, n // rows_per_bucket)
-    if want < 1:
-        d = df.withColumn("_b", F.lit(0))
-    else:
-        sample = df.select(F.col(order).alias("o")).orderBy(h32(F.col("o")), "o").limit(want).collect()
-        bounds = F.array(*[F.lit(r["o"]) for r in sorted(sample, key=lambda r: r["o"])])
-        d = df.withColumn("_b", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
-    return _bucket_rank(d, keys, order, [], out)
+    ranged = df.repartitionByRange(*keys, order).withColumn("_b", F.spark_partition_id())
+    return _bucket_rank(write_and_read(ranged, "ranges"), keys, order, [], out)
 
 
 def block_rank(df: DataFrame, keys: list[str], order: str, width: int, out: str = "rank") -> DataFrame:

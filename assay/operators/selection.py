@@ -98,27 +98,58 @@ def threshold_bin(p: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(len(THRESHOLD_GRID)), b)).cast("int")
 
 
+def _passed(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and candidate i with threshold t: rows of either kind (P, N) and those at or above t (tp, fp)."""
+    at = hist.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLD_GRID) - 1))))
+    passed = F.col("bin") > F.col("i")
+    d = at.groupBy(*keys, "i").agg(
+        F.sum("np").alias("P"), F.sum("nn").alias("N"),
+        F.sum(F.when(passed, F.col("np")).otherwise(0)).alias("tp"),
+        F.sum(F.when(passed, F.col("nn")).otherwise(0)).alias("fp"))
+    return d.withColumn("t", F.get(F.array(*[F.lit(t) for t in THRESHOLD_GRID]), F.col("i")))
+
+
+def _tune_two(rows: DataFrame, keys: list[str], metric: str, min_recall: float, normal_idx: int | None) -> DataFrame:
+    """The positive class's threshold; the other keeps 0.5. The score of a search by the positive
+    F1 is the balanced accuracy at the threshold found."""
+    pos = 1 - normal_idx if normal_idx in (0, 1) else 1
+    hit = (F.col("y_true") == pos).cast("int")
+    hist = rows.select(*keys, threshold_bin(po.round9(F.get("p", F.lit(pos)))).alias("bin"), hit.alias("pos")).groupBy(
+        *keys, "bin").agg(F.sum("pos").alias("np"), F.sum(1 - F.col("pos")).alias("nn"))
+    d = _passed(hist, keys)
+    P, N, tp, fp = (F.col(c) for c in ("P", "N", "tp", "fp"))
+    tn, fn = N - fp, P - tp
+    share = lambda a, b: F.when(b > 0, a / b)
+    f1 = lambda hits, wrong: metrics.ratio(2 * hits, 2 * hits + wrong)
+    balanced = F.coalesce((share(tp, P) + share(tn, N)) / 2, share(tp, P), share(tn, N))
+    value = {"accuracy": (tp + tn) / (P + N), "f1_pos": f1(tp, fp + fn), "f1_macro": (f1(tp, fp + fn) + f1(tn, fp + fn)) / 2}.get(metric, balanced)
+    enough = F.coalesce(share(tp, P), F.lit(0.0)) >= min_recall if min_recall > 0 else F.lit(True)
+    d = d.withColumn("v", F.when(enough, value)).withColumn("shown", balanced if metric == "f1_pos" else value)
+    rank = F.when(F.col("v").isNotNull(), F.struct(F.round("v", 12).alias("v"), (-F.col("t")).alias("nt")))
+    # nothing reaches the recall: 0.5, which is on the grid
+    half = lambda c: F.max(F.when(F.abs(F.col("t") - 0.5) < 1e-9, F.col(c)))
+    best = d.groupBy(*keys).agg(F.coalesce(F.max_by("t", rank), F.lit(0.5)).alias("t"), F.coalesce(F.max_by("shown", rank), half("shown")).alias("score"))
+    both = F.array(*[F.struct(F.lit(c).alias("cls"), (F.col("t") if c == pos else F.lit(0.5)).alias("threshold")) for c in (0, 1)])
+    return best.select(*keys, "score", F.explode(both).alias("b")).select(*keys, "b.cls", "b.threshold", "score")
+
+
 def tune_thresholds(rows: DataFrame, keys: list[str], k: int, metric: str = "bal_acc",
                     min_recall: float = 0.0, normal_idx: int | None = None) -> DataFrame:
     """(keys, cls, threshold, score): best one-vs-rest threshold on the 37-point grid, the
     smallest on ties, 0.5 where a class has no rows or nothing reaches ``min_recall``.
 
     Rows shrink to a histogram (keys, class, bin, hit) in one pass; the 37 candidates are
-    then running sums over 38 bins.
+    then running sums over 38 bins. With two classes only the one that isn't normal (the second
+    without a normal class) is tuned, on the decisions of both.
     """
+    if k == 2:
+        return _tune_two(rows, keys, metric, min_recall, normal_idx)
     sides = F.array(*[
         F.struct(F.lit(c).alias("cls"), threshold_bin(po.round9(F.get("p", F.lit(c)))).alias("bin"),
                  (F.col("y_true") == c).cast("int").alias("pos")) for c in range(k)])
     hist = (rows.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
             .groupBy(*keys, "cls", "bin").agg(F.sum("pos").alias("np"), F.sum(1 - F.col("pos")).alias("nn")))
-    top = len(THRESHOLD_GRID) - 1
-    at = hist.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    passed = F.col("bin") > F.col("i")
-    d = at.groupBy(*keys, "cls", "i").agg(
-        F.sum("np").alias("P"), F.sum("nn").alias("N"),
-        F.sum(F.when(passed, F.col("np")).otherwise(0)).alias("tp"),
-        F.sum(F.when(passed, F.col("nn")).otherwise(0)).alias("fp"))
-    d = d.withColumn("t", F.get(F.array(*[F.lit(t) for t in THRESHOLD_GRID]), F.col("i")))
+    d = _passed(hist, [*keys, "cls"])
     P, N = F.col("P"), F.col("N")
     tp, fp = F.col("tp"), F.col("fp")
     rec = F.when(P > 0, tp / P).otherwise(F.lit(0.0))

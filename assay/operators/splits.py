@@ -85,12 +85,13 @@ def carve_missing_splits(manifest: DataFrame, val_fraction: float = 0.2, test_fr
     return out, made
 
 
-def exact_count_carve(rows: DataFrame, want: DataFrame, seed: int = 42) -> DataFrame:
+def exact_count_carve(rows: DataFrame, want: DataFrame, seed: int = 42, exact: bool = False) -> DataFrame:
     """Per class take whole groups in shuffled order until exactly ``want`` rows are placed,
     passing over groups that do not fit.
 
     ``rows`` is (label, grp, n): one row per group with its size; ``want`` is (label, want).
-    Returns the groups taken as (label, grp, n).
+    Returns the groups taken as (label, grp, n). With ``exact``, a class whose groups can't fill
+    its count that way is an error; without, it gets fewer rows.
 
     Each round takes the longest prefix that fits, as a running sum over hash buckets. The
     group after it does not fit, so the room left is smaller than that group; the next round
@@ -104,13 +105,15 @@ def exact_count_carve(rows: DataFrame, want: DataFrame, seed: int = 42) -> DataF
     state = {r["label"]: (int(r["want"]), "") for r in want.collect()}
     spark = rows.sparkSession
     taken: list[DataFrame] = []
+    unfilled: dict[str, int] = {}
     while live := [(c, room, pos) for c, (room, pos) in state.items() if room > 0]:
         st = spark.createDataFrame(live, "label string, room bigint, pos string")
         fit = order.join(F.broadcast(st), "label").where(
             (F.concat("_h", "grp") > F.col("pos")) & (F.col("n") <= F.col("room")))
         cum = running_sum(fit, ["label"], "_h", ["grp"], "n", "cum")
-        take = cum.where(F.col("cum") <= F.col("room"))
-        taken.append(take.select("label", "grp", "n"))
+        # written: the next round and the result read it, neither plans it again
+        cum = write_and_read(cum.select("label", "grp", "n", "_h", "cum", "room"), "carve-round")
+        taken.append(cum.where(F.col("cum") <= F.col("room")).select("label", "grp", "n"))
         over = F.col("cum") > F.col("room")
         here = F.concat("_h", "grp")
         steps = cum.groupBy("label").agg(
@@ -119,10 +122,14 @@ def exact_count_carve(rows: DataFrame, want: DataFrame, seed: int = 42) -> DataF
         seen = {r["label"]: r for r in steps}
         for c, room, _pos in live:
             r = seen.get(c)
-            if r is None or r["next_pos"] is None:
-                state[c] = (0, "")  # every fitting group is placed
+            if r is None or r["next_pos"] is None:  # every fitting group is placed
+                if left := room - (int(r["placed"]) if r else 0):
+                    unfilled[c] = left
+                state[c] = (0, "")
             else:
                 state[c] = (room - int(r["placed"]), r["next_pos"])
+    if exact and unfilled:
+        raise ValueError(f"whole groups cannot fill the counts: {unfilled}")
     if not taken:
         return rows.limit(0).select("label", "grp", "n")
     out = taken[0]
@@ -137,10 +144,10 @@ def carve_targets(rows: DataFrame, fraction: float, label: str = "label") -> Dat
         label, F.bround(F.col("size") * F.lit(float(fraction)), 0).cast("bigint").alias("want"))
 
 
-def carve_validation(pool: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+def carve_validation(pool: DataFrame, fraction: float, seed: int = 42, exact: bool = False) -> DataFrame:
     """Training pool (path, label, grp) with a role column: valid groups are whole content groups."""
     sizes = pool.groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"))
-    picked = exact_count_carve(sizes, carve_targets(pool, fraction), seed).select(
+    picked = exact_count_carve(sizes, carve_targets(pool, fraction), seed, exact).select(
         "label", "grp", F.lit("valid").alias("role"))
     return pool.join(picked, ["label", "grp"], "left").withColumn("role", F.coalesce("role", F.lit("train")))
 

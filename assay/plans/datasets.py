@@ -39,9 +39,10 @@ def group_disjoint_dataset(rows: DataFrame, unit: str) -> DataFrame:
 
 
 def published_split_dataset(rows: DataFrame, expected: DataFrame, valid_fraction: float = 0.15, seed: int = 42,
-                            strict: bool = True) -> dict[str, DataFrame]:
+                            strict: bool = True, exact: bool = True) -> dict[str, DataFrame]:
     """Adopt the published train and test rows, check them against the published counts, carve
-    valid out of train per class with content groups (``grp``) kept whole.
+    valid out of train per class with content groups (``grp``) kept whole. Unless ``exact`` is off, a
+    class whose groups can't give the exact count is an error.
 
     ``rows`` is (path, label, split, grp), ``expected`` (release, split, label, published).
     """
@@ -54,7 +55,7 @@ def published_split_dataset(rows: DataFrame, expected: DataFrame, valid_fraction
     thin = sp.carve_targets(pool, valid_fraction).where("want < 2").limit(1).count()
     if thin:
         raise ValueError("a class would get fewer than two valid rows")
-    carved = sp.carve_validation(pool, valid_fraction, seed)
+    carved = sp.carve_validation(pool, valid_fraction, seed, exact)
     tests = rows.where("split = 'test'").withColumn("role", F.lit("test"))
     out = carved.select("path", "label", "grp", "role").unionByName(tests.select("path", "label", "grp", "role"))
     return {
@@ -64,7 +65,8 @@ def published_split_dataset(rows: DataFrame, expected: DataFrame, valid_fraction
     }
 
 
-def deduplicated_dataset(rows: DataFrame, side: int, valid_fraction: float = 0.15, seed: int = 42) -> DataFrame:
+def deduplicated_dataset(rows: DataFrame, side: int, valid_fraction: float = 0.15, seed: int = 42,
+                         exact: bool = True) -> DataFrame:
     """The same test rows; train rows that are the same picture as a test row are removed, then
     valid is carved from the survivors by whole components of the duplicate relation.
 
@@ -80,19 +82,19 @@ def deduplicated_dataset(rows: DataFrame, side: int, valid_fraction: float = 0.1
     relation = dd.strict_pairs(kept.select("id", "v"), side)
     comp = write_and_read(dd.duplicate_components(relation, kept.select("id")), "components")
     carve = kept.select("id", "label").join(comp.select("id", F.col("component").cast("string").alias("grp")), "id")
-    done = sp.carve_validation(carve, valid_fraction, seed)
+    done = sp.carve_validation(carve, valid_fraction, seed, exact)
     gone = pool.join(leaked.select("id"), "id", "left_semi").select("id", "label", F.lit("removed").alias("role"))
     return done.select("id", "label", "role").unionByName(gone).unionByName(test.select("id", "label", "role"))
 
 
-def balanced_and_subsampled_pair(rows: DataFrame, valid_per_class: int, share, seed: int = 42) -> DataFrame:
+def balanced_and_subsampled_pair(rows: DataFrame, valid_per_class: int, share, seed: int = 42, exact: bool = True) -> DataFrame:
     """Two datasets with the same valid and test rows: one with class-balanced train rows, one
     with a nested per-class subsample of them. ``share`` is a column over the label.
     """
     pool = rows.where("split = 'train'")
     sizes = pool.groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"))
     want = sizes.groupBy("label").agg(F.lit(valid_per_class).cast("bigint").alias("want"))
-    picked = sp.exact_count_carve(sizes, want, seed).select("label", "grp", F.lit(True).alias("v"))
+    picked = sp.exact_count_carve(sizes, want, seed, exact).select("label", "grp", F.lit(True).alias("v"))
     marked = pool.join(picked, ["label", "grp"], "left").withColumn("v", F.coalesce("v", F.lit(False)))
     rest = marked.where(~F.col("v")).select("path", "label")
     per_class = rest.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -154,15 +154,15 @@ def _(spark, sf):
 
 
 cte("leak", f"""SELECT a AS id, b AS partner, corr, t, residual FROM (SELECT l.*, row_number() OVER (PARTITION BY l.a ORDER BY round(s.screen,9) DESC, l.b) AS best FROM (
-SELECT * FROM ({sql_strict("true").replace("FROM vturned x JOIN vu y ON true", "FROM (SELECT * FROM vturned WHERE id IN (SELECT id FROM vu WHERE role='train')) x JOIN (SELECT * FROM vu WHERE role='test') y ON true")}) WHERE residual<=3.0) l
-JOIN (SELECT p.id AS sa, q.id AS sb, max(list_dot_product(list_select(p.g, ord), q.g)) AS screen FROM (SELECT * FROM cu WHERE id IN (SELECT id FROM vu WHERE role='train')) p JOIN (SELECT * FROM cu WHERE id IN (SELECT id FROM vu WHERE role='test')) q ON true, scan_ord4 GROUP BY ALL) s
+SELECT * FROM ({sql_strict("true").replace("FROM vturned x JOIN vu y ON true", "FROM (SELECT * FROM vturned WHERE id IN (SELECT id FROM vu WHERE role<>'test')) x JOIN (SELECT * FROM vu WHERE role='test') y ON true")}) WHERE residual<=3.0) l
+JOIN (SELECT p.id AS sa, q.id AS sb, max(list_dot_product(list_select(p.g, ord), q.g)) AS screen FROM (SELECT * FROM cu WHERE id IN (SELECT id FROM vu WHERE role<>'test')) p JOIN (SELECT * FROM cu WHERE id IN (SELECT id FROM vu WHERE role='test')) q ON true, scan_ord4 GROUP BY ALL) s
 ON s.sa=l.a AND s.sb=l.b) WHERE best=1""", "vu", "vturned", "cu", "scan_ord4")
 
 
 @query("leaked_rows_best_partner", f"SELECT id, partner, round(corr,6) AS corr, {sql_names(ve.VERIFY_NAMES)}[t+1] AS transform, round(residual,6) AS residual FROM leak", ("leak",))
 def _(spark, sf):
     v = fx.vectors(spark, sf)
-    return r6(dd.leaked_rows_best_partner(v.where("role = 'train'").select("id", "v"), v.where("role = 'test'").select("id", "v"), SIDE))
+    return r6(dd.leaked_rows_best_partner(v.where("role <> 'test'").select("id", "v"), v.where("role = 'test'").select("id", "v"), SIDE))
 
 
 @query("examples_per_category", f"""SELECT role_pair, a, b FROM (SELECT role_pair, a, b, row_number() OVER (PARTITION BY role_pair ORDER BY a, b) AS rk FROM (
@@ -240,16 +240,27 @@ def _(spark, sf):
 
 # ---- dataset builders ----
 
+def _train_and_test(spark, sf):
+    """The manifest with its own valid rows as training rows: valid is carved anew."""
+    return fx.manifest_table(spark, sf).withColumn("split", F.when(F.col("split") == "test", "test").otherwise("train"))
+
+
+cte("cgp", f"""SELECT label, grp, n, row_number() OVER (PARTITION BY label ORDER BY {sql_seed(42, 'carve', 'grp')}, grp) AS rk FROM (
+SELECT label, grp, count(*) AS n FROM manifest WHERE split<>'test' GROUP BY ALL)""", "manifest")
+cte("walkp", """/* RECURSIVE_STEP */ SELECT label, 0::BIGINT AS rk, CAST(round_even(sum(n)*0.15::DOUBLE,0) AS BIGINT) AS room, NULL::VARCHAR AS grp, false AS take, 0::BIGINT AS n FROM cgp GROUP BY label
+UNION ALL SELECT w.label, g.rk, CASE WHEN g.n<=w.room THEN w.room-g.n ELSE w.room END, g.grp, g.n<=w.room, g.n FROM walkp w JOIN cgp g ON g.label=w.label AND g.rk=w.rk+1""", "cgp")
+
+
 @query("published_split_dataset", """SELECT m.path, m.label, CASE WHEN m.split='test' THEN 'test' WHEN w.grp IS NOT NULL THEN 'valid' ELSE 'train' END AS role
-FROM manifest m LEFT JOIN (SELECT * FROM walk WHERE take) w ON w.grp=m.grp AND w.label=m.label WHERE m.split IN ('train','test')""", ("walk", "manifest"))
+FROM manifest m LEFT JOIN (SELECT * FROM walkp WHERE take) w ON w.grp=m.grp AND w.label=m.label""", ("walkp", "manifest"))
 def _(spark, sf):
     from assay.plans.datasets import published_split_dataset
-    m = fx.manifest_table(spark, sf).where("split <> 'valid'")
+    m = _train_and_test(spark, sf)
     counts = m.groupBy("split", "label").agg(F.count(F.lit(1)).alias("published")).withColumn("release", F.lit("v2"))
     return published_split_dataset(m, counts, 0.15, 42)["manifest"].select("path", "label", "role")
 
 
-cte("surv", "SELECT id, label::VARCHAR AS label FROM vu WHERE role='train' AND id NOT IN (SELECT id FROM leak)", "vu", "leak")
+cte("surv", "SELECT id, label::VARCHAR AS label FROM vu WHERE role<>'test' AND id NOT IN (SELECT id FROM leak)", "vu", "leak")
 cte("dsym", "SELECT a, b FROM spairs WHERE a IN (SELECT id FROM surv) AND b IN (SELECT id FROM surv) UNION SELECT b, a FROM spairs WHERE a IN (SELECT id FROM surv) AND b IN (SELECT id FROM surv)", "spairs", "surv")
 cte("dreach", "/* RECURSIVE_STEP */ SELECT id, id AS r FROM surv UNION SELECT dreach.id, dsym.b FROM dreach JOIN dsym ON dsym.a=dreach.r", "dsym", "surv")
 cte("dgrp", "SELECT s.id, s.label, min(r)::VARCHAR AS grp FROM dreach d JOIN surv s ON s.id=d.id GROUP BY s.id, s.label", "dreach", "surv")
@@ -260,16 +271,17 @@ UNION ALL SELECT w.label, g.rk, CASE WHEN g.n<=w.room THEN w.room-g.n ELSE w.roo
 
 
 @query("deduplicated_dataset", """SELECT v.id, v.label::VARCHAR AS label, CASE WHEN v.role='test' THEN 'test' WHEN l.id IS NOT NULL THEN 'removed' WHEN w.grp IS NOT NULL THEN 'valid' ELSE 'train' END AS role
-FROM vu v LEFT JOIN leak l ON l.id=v.id AND v.role='train' LEFT JOIN dgrp g ON g.id=v.id LEFT JOIN (SELECT * FROM dwalk WHERE take) w ON w.grp=g.grp AND w.label=g.label WHERE v.role<>'valid'""", ("dwalk", "dgrp", "leak", "vu"))
+FROM vu v LEFT JOIN leak l ON l.id=v.id AND v.role<>'test' LEFT JOIN dgrp g ON g.id=v.id LEFT JOIN (SELECT * FROM dwalk WHERE take) w ON w.grp=g.grp AND w.label=g.label""", ("dwalk", "dgrp", "leak", "vu"))
 def _(spark, sf):
     from assay.plans.datasets import deduplicated_dataset
-    v = fx.vectors(spark, sf).where("role <> 'valid'").withColumn("label", F.col("label").cast("string"))
+    v = fx.vectors(spark, sf).withColumn("label", F.col("label").cast("string")).withColumn(
+        "role", F.when(F.col("role") == "test", "test").otherwise("train"))
     return deduplicated_dataset(v, SIDE, 0.15, 42).select("id", "label", "role")
 
 
-cte("bwalk", """/* RECURSIVE_STEP */ SELECT label, 0::BIGINT AS rk, 10::BIGINT AS room, NULL::VARCHAR AS grp, false AS take, 0::BIGINT AS n FROM cg GROUP BY label
-UNION ALL SELECT w.label, g.rk, CASE WHEN g.n<=w.room THEN w.room-g.n ELSE w.room END, g.grp, g.n<=w.room, g.n FROM bwalk w JOIN cg g ON g.label=w.label AND g.rk=w.rk+1""", "cg")
-cte("bpool", "SELECT m.path, m.label, w.grp IS NOT NULL AS v FROM manifest m LEFT JOIN (SELECT * FROM bwalk WHERE take) w ON w.grp=m.grp AND w.label=m.label WHERE m.split='train'", "bwalk", "manifest")
+cte("bwalk", """/* RECURSIVE_STEP */ SELECT label, 0::BIGINT AS rk, 10::BIGINT AS room, NULL::VARCHAR AS grp, false AS take, 0::BIGINT AS n FROM cgp GROUP BY label
+UNION ALL SELECT w.label, g.rk, CASE WHEN g.n<=w.room THEN w.room-g.n ELSE w.room END, g.grp, g.n<=w.room, g.n FROM bwalk w JOIN cgp g ON g.label=w.label AND g.rk=w.rk+1""", "cgp")
+cte("bpool", "SELECT m.path, m.label, w.grp IS NOT NULL AS v FROM manifest m LEFT JOIN (SELECT * FROM bwalk WHERE take) w ON w.grp=m.grp AND w.label=m.label WHERE m.split<>'test'", "bwalk", "manifest")
 cte("bbal", f"""SELECT path, label FROM (SELECT path, label, row_number() OVER (PARTITION BY label ORDER BY {sql_seed(43, 'subsample', 'path')}, path) AS rk FROM bpool WHERE NOT v)
 WHERE rk<=(SELECT min(n) FROM (SELECT count(*) AS n FROM bpool WHERE NOT v GROUP BY label))""", "bpool")
 cte("bsub", f"""SELECT path, label FROM (SELECT path, label, row_number() OVER (PARTITION BY label ORDER BY {sql_seed(44, 'subsample', 'path')}, path) AS rk, count(*) OVER (PARTITION BY label) AS n FROM bbal)
@@ -283,4 +295,4 @@ def _(spark, sf):
     from assay.functions.hashing import h32
     from assay.plans.datasets import balanced_and_subsampled_pair
     share = (1 + h32(F.col("label")) % 4) / F.lit(4.0)
-    return balanced_and_subsampled_pair(fx.manifest_table(spark, sf).where("split <> 'valid'"), 10, share, 42)
+    return balanced_and_subsampled_pair(_train_and_test(spark, sf), 10, share, 42)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from assay.functions import posterior as po
 from assay.operators import features as fe, heads, joins, metrics as me, resample as rs, splits as sp
 from assay.plans import fixtures as fx, modelling as mo
-from assay.plans.metric_queries import K, SQL_MCUNIT, r6, sql_mean_sd
+from assay.plans.metric_queries import K, SQL_FOLDS, SQL_MCUNIT, SQL_MEANP, SQL_VOTE, r6, sql_mean_sd
 from assay.plans.registry import NA, cte, query
-from assay.plans.resample_queries import B, COMPARISONS, SEED, SQL_FAMILY, sql_long
+from assay.plans.resample_queries import B, COMPARISONS, SEED, SQL_FAMILY, SQL_PAIRED, sql_long
 from assay.session import scratch_path, write_and_read
 from assay.sources import readers, sinks
 
@@ -236,18 +236,33 @@ def _(spark, sf):
 
 SQL_OOF = f"""SELECT 'interval' AS part, method||'|'||unit||'|'||metric AS key, round(value,6) AS value, round(lo,6) AS low, round(hi,6) AS high FROM ({sql_long("pointm", "method, unit")}) p
 JOIN (SELECT method, unit, metric, quantile_cont(value,0.025) AS lo, quantile_cont(value,0.975) AS hi FROM ({sql_long("repm", "method, unit")}) GROUP BY ALL) c USING (method, unit, metric)
-UNION ALL SELECT 'mcnemar', unit, p_exact_two_sided, a_correct_b_wrong::DOUBLE, a_wrong_b_correct::DOUBLE FROM ({SQL_MCUNIT})"""
+UNION ALL SELECT 'mcnemar', unit, p_exact_two_sided, a_correct_b_wrong::DOUBLE, a_wrong_b_correct::DOUBLE FROM ({SQL_MCUNIT})
+UNION ALL SELECT 'difference', unit||'|'||metric, difference, ci95_low, ci95_high FROM ({SQL_PAIRED})
+UNION ALL SELECT 'group', pooling||'|'||v.method||'|'||v.patient_id, v.y_pred::DOUBLE, g.st::DOUBLE, v.slices::DOUBLE FROM (
+SELECT 'majority_vote' AS pooling, method, patient_id, y_pred, slices FROM ({SQL_VOTE}) UNION ALL SELECT 'mean_probability', method, patient_id, y_pred, slices FROM ({SQL_MEANP})) v JOIN gt g ON g.patient_id=v.patient_id
+UNION ALL SELECT 'fold', method||'|'||fold, accuracy, balanced_accuracy, macro_f1 FROM ({SQL_FOLDS})
+UNION ALL SELECT 'mean_sd', method, accuracy_mean, accuracy_sd, accuracy_pooled_oof FROM ({sql_mean_sd()})"""
 
 
-@query("oof_analysis", SQL_OOF, ("repm", "pointm", "preds"))
+@query("oof_analysis", SQL_OOF, ("repm", "pointm", "preds", "gt"))
 def _(spark, sf):
     from assay.plans.reports import oof_analysis
     t = oof_analysis(fx.preds_table(spark, sf), "proposed", "linear_probe", K, B, SEED)
-    a = t["metric_intervals"].select(F.lit("interval").alias("part"), F.concat_ws("|", "method", "unit", "metric").alias("key"),
-                                     F.col("estimate").alias("value"), F.col("ci95_low").alias("low"), F.col("ci95_high").alias("high"))
-    b = t["mcnemar"].select(F.lit("mcnemar").alias("part"), F.col("unit").alias("key"), F.col("p_exact_two_sided").alias("value"),
-                            F.col("a_correct_b_wrong").cast("double").alias("low"), F.col("a_wrong_b_correct").cast("double").alias("high"))
-    return r6(a.unionByName(b))
+
+    def part(name, table, key, value, low, high):
+        return t[table].select(F.lit(name).alias("part"), F.concat_ws("|", *key).alias("key"),
+                               *[F.col(c).cast("double").alias(n) for c, n in ((value, "value"), (low, "low"), (high, "high"))])
+
+    tables = [part("interval", "metric_intervals", ("method", "unit", "metric"), "estimate", "ci95_low", "ci95_high"),
+              part("mcnemar", "mcnemar", ("unit",), "p_exact_two_sided", "a_correct_b_wrong", "a_wrong_b_correct"),
+              part("difference", "paired_differences", ("unit", "metric"), "difference", "ci95_low", "ci95_high"),
+              part("group", "group_decisions", ("pooling", "method", "patient_id"), "y_pred", "y_true", "slices"),
+              part("fold", "fold_metrics", ("method", "fold"), "accuracy", "balanced_accuracy", "macro_f1"),
+              part("mean_sd", "fold_mean_sd", ("method",), "accuracy_mean", "accuracy_sd", "accuracy_pooled_oof")]
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return r6(out)
 
 
 @query("paired_comparison_report", f"""SELECT method, round(accuracy,6) AS accuracy, delta_accuracy, p_holm FROM (SELECT method, avg((y_true=y_pred)::INT) AS accuracy FROM preds GROUP BY method) m

@@ -136,10 +136,13 @@ def _(spark, sf):
     return r6(me.ece(fx.preds(spark, sf), ["method"], K))
 
 
-@query("fold_metrics", f"""SELECT m.method, m.fold, round(accuracy,6) AS accuracy, round(balanced_accuracy,6) AS balanced_accuracy,
+SQL_FOLDS = f"""SELECT m.method, m.fold, round(accuracy,6) AS accuracy, round(balanced_accuracy,6) AS balanced_accuracy,
 round(macro_f1,6) AS macro_f1, images, patients FROM ({sql_metrics(CMF, "method, fold")}) m
 JOIN (SELECT method, fold, count(*) AS images, count(DISTINCT patient_id) AS patients FROM preds GROUP BY ALL) s
-ON m.method=s.method AND m.fold=s.fold""", ("preds",))
+ON m.method=s.method AND m.fold=s.fold"""
+
+
+@query("fold_metrics", SQL_FOLDS, ("preds",))
 def _(spark, sf):
     return r6(me.fold_metrics(fx.preds(spark, sf), K))
 
@@ -415,6 +418,34 @@ def _(spark, sf):
     return r6(selection.tune_thresholds(fx.preds(spark, sf), ["method"], K))
 
 
+def sql_two(value: str, shown: str, enough: str) -> str:
+    """Thresholds of two classes, class 0 normal: presence against absence."""
+    return f"""SELECT method, cls, CASE WHEN cls=1 THEN t ELSE 0.5 END::DOUBLE AS threshold, round(shown,6) AS score FROM (
+SELECT method, arg_max(t, (round({value},12), -t)) FILTER (WHERE {enough}) AS t, arg_max({shown}, (round({value},12), -t)) FILTER (WHERE {enough}) AS shown FROM (
+SELECT method, t, count(*) FILTER (WHERE y_true>0)::DOUBLE AS p_, count(*) FILTER (WHERE y_true=0)::DOUBLE AS n_, count(*) FILTER (WHERE y_true>0 AND pc>=t)::DOUBLE AS tp, count(*) FILTER (WHERE y_true=0 AND pc>=t)::DOUBLE AS fp
+FROM (SELECT method, y_true, round(p[2]+p[3]+p[4],9) AS pc FROM preds), """ + SQL_GRIDT + f""" GROUP BY method, t) GROUP BY method), (VALUES (0),(1)) c(cls)"""
+
+
+_F1P, _F1N = "coalesce(2*tp/nullif(p_+tp+fp,0),0)", "coalesce(2*(n_-fp)/nullif(2*(n_-fp)+fp+p_-tp,0),0)"
+_BAL = "(tp/p_+(n_-fp)/n_)/2"
+
+
+def _presence(spark, sf):
+    q = F.get("p", F.lit(1)) + F.get("p", F.lit(2)) + F.get("p", F.lit(3))
+    return fx.preds(spark, sf).select("method", (F.col("y_true") > 0).cast("int").alias("y_true"), F.array(1 - q, q).alias("p"))
+
+
+@query("threshold_tune_two_classes", " UNION ALL ".join(f"SELECT '{m}' AS metric, * FROM ({sql_two(v, s_, e)})" for m, v, s_, e in (
+    ("bal_acc", _BAL, _BAL, "true"), ("f1_macro", f"({_F1P}+{_F1N})/2", f"({_F1P}+{_F1N})/2", "true"), ("f1_pos", _F1P, _BAL, "tp/p_>=0.97"))), ("preds",))
+def _(spark, sf):
+    d = _presence(spark, sf)
+    out = None
+    for metric, least in (("bal_acc", 0.0), ("f1_macro", 0.0), ("f1_pos", 0.97)):
+        one = selection.tune_thresholds(d, ["method"], 2, metric, least, 0).withColumn("metric", F.lit(metric))
+        out = one if out is None else out.unionByName(one)
+    return r6(out.select("metric", "method", "cls", "threshold", "score"))
+
+
 @query("early_stop_epoch", """SELECT run, arg_max(epoch, (score, -epoch)) AS chosen_epoch, round(max(score),6) AS best_score,
 min(stop_epoch) AS stop_epoch FROM (SELECT *, min(CASE WHEN stale>=8 THEN epoch END) OVER (PARTITION BY run) AS stop_epoch FROM (
 SELECT *, rn - max(CASE WHEN improved THEN rn ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch) AS stale FROM (

@@ -55,10 +55,13 @@ def _(spark, sf):
 SQL_D = ", ".join(f"a.{m}-b.{m} AS {m}" for m in me.METRICS)
 
 
-@query("paired_difference_ci", f"""SELECT p.unit, p.metric, round(p.value,6) AS difference, round(lo,6) AS ci95_low, round(hi,6) AS ci95_high, 'proposed minus linear_probe' AS comparison FROM (
+SQL_PAIRED = f"""SELECT p.unit, p.metric, round(p.value,6) AS difference, round(lo,6) AS ci95_low, round(hi,6) AS ci95_high, 'proposed minus linear_probe' AS comparison FROM (
 {sql_long(f"(SELECT unit, {SQL_D} FROM pointm a JOIN pointm b USING (unit) WHERE a.method='proposed' AND b.method='linear_probe')", "unit")}) p
 JOIN (SELECT unit, metric, quantile_cont(value,0.025) AS lo, quantile_cont(value,0.975) AS hi FROM (
-{sql_long(f"(SELECT rep, unit, {SQL_D} FROM repm a JOIN repm b USING (rep, unit) WHERE a.method='proposed' AND b.method='linear_probe')", "unit")}) GROUP BY ALL) c USING (unit, metric)""", ("repm", "pointm"))
+{sql_long(f"(SELECT rep, unit, {SQL_D} FROM repm a JOIN repm b USING (rep, unit) WHERE a.method='proposed' AND b.method='linear_probe')", "unit")}) GROUP BY ALL) c USING (unit, metric)"""
+
+
+@query("paired_difference_ci", SQL_PAIRED, ("repm", "pointm"))
 def _(spark, sf):
     return r6(rs.paired_difference_ci(fx.preds(spark, sf), "proposed", "linear_probe", K, B, SEED))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import vectors as ve
-from assay.operators import dedup as dd, heads, resample as rs, splits as sp, tests_paired as tp
+from assay.operators import dedup as dd, heads, manifests as ma, resample as rs, selection as se, splits as sp, tests_paired as tp
 
 
 def brute_pairs(rows, t, orders):
@@ -165,3 +165,35 @@ def test_split_names_beyond_sixteen(spark):
     d = spark.createDataFrame(rows, "path string, label string, split string, grp string")
     out, made = sp.carve_missing_splits(d)
     assert made == ["valid"] and out.where("split = 'test'").count() == 5
+
+
+def test_exact_counts_that_whole_groups_cannot_give(spark):
+    rows = spark.createDataFrame([("a", f"g{i}", 3) for i in range(5)], "label string, grp string, n long")
+    want = spark.createDataFrame([("a", 7)], "label string, want long")
+    assert sum(r.n for r in sp.exact_count_carve(rows, want).collect()) == 6
+    with pytest.raises(ValueError, match="cannot fill"):
+        sp.exact_count_carve(rows, want, exact=True)
+
+
+def test_two_class_thresholds_by_hand(spark):
+    rows = [(0, [0.9, 0.1]), (0, [0.6, 0.4]), (1, [0.55, 0.45]), (1, [0.2, 0.8])]
+    d = spark.createDataFrame([("m", y, p) for y, p in rows], "m string, y_true int, p array<double>")
+    got = {r.cls: r for r in se.tune_thresholds(d, ["m"], 2, "f1_macro", normal_idx=0).collect()}
+    assert got[0].threshold == 0.5 and got[1].threshold == pytest.approx(0.425) and got[1].score == 1.0
+    got = {r.cls: r for r in se.tune_thresholds(d, ["m"], 2, "bal_acc", normal_idx=1).collect()}
+    assert got[1].threshold == 0.5 and got[0].threshold == pytest.approx(0.55 + 0.025)
+
+
+def test_ranks_of_many_labels(spark):
+    d = spark.range(30_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("label"), "id")
+    assert ma.label_encode(d).where("y <> id").count() == 0
+
+
+def test_fresh_groups(spark):
+    rows = [(f"p{i}", "ab"[i % 20 // 10], f"g{i // 2}") for i in range(80)]
+    m = spark.createDataFrame(rows, "path string, label string, grp string")
+    got = sp.fresh_group_split(m, 3).collect()
+    role = {}
+    for r in got:
+        assert role.setdefault(r.grp, r.role) == r.role
+    assert len(got) == 80 and {x: list(role.values()).count(x) for x in ("train", "valid", "test")} == {"train": 22, "valid": 8, "test": 10}
