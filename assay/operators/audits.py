@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions.posterior import valid_posterior
+from assay.session import write_and_read
 
 PREDICTION_COLUMNS = ("fold", "method", "path", "patient_id", "y_true", "y_pred")
 
@@ -129,15 +130,14 @@ def ledger_audit(events: DataFrame, max_reads: int = 1) -> DataFrame:
     before the freeze, reads beyond the limit per purpose.
 
     ``events`` is (run, seq, kind in decision/freeze/read/note, split_used, purpose). The
-    freeze position is aggregated first and joined back, so that a run holding a large part
-    of all events is never sorted in one task.
+    freeze positions, one row per run, are written first: their size is known when the join is
+    planned, and a run holding a large part of all events can be split.
     """
-    freeze = events.where("kind = 'freeze'").groupBy("run").agg(F.min("seq").alias("freeze_seq"))
-    tagged = events.where("kind in ('decision', 'read')").groupBy("run", "kind", "split_used", "purpose", "seq").agg(
-        F.count(F.lit(1)).alias("n")).join(freeze, "run", "left")
+    freeze = write_and_read(events.where("kind = 'freeze'").groupBy("run").agg(F.min("seq").alias("freeze_seq")), "freeze")
+    tagged = events.where("kind in ('decision', 'read')").select("run", "kind", "split_used", "purpose", "seq").join(freeze, "run", "left")
     before = F.col("freeze_seq").isNull() | (F.col("seq") < F.col("freeze_seq"))
     dec, read = F.col("kind") == "decision", F.col("kind") == "read"
-    n = F.col("n")
+    n = F.lit(1)
     per_purpose = tagged.groupBy("run", "kind", "purpose").agg(
         F.sum(F.when(dec & before, n).otherwise(0)).alias("decisions_before_freeze"),
         F.sum(F.when(dec & ~before, n).otherwise(0)).alias("decisions_after_freeze"),

@@ -48,12 +48,14 @@ def view_average(views: DataFrame, keys: list[str]) -> DataFrame:
     return v.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("features"))
 
 
-def view_setting_classifier(norms: DataFrame) -> DataFrame:
+def view_setting_classifier(norms: DataFrame, single: dict[tuple[str, str], str] | None = None, strict: bool = True) -> DataFrame:
     """Which tables of a (backbone, role) hold plain features and which a mean over views.
 
     ``norms`` is (backbone, role, variant, rows, mean_row_norm), a row per table. The mean over
     views has the smaller norm. Tables within 0.2% of each other are the same table. A single
-    train table is plain; another single table stays undetermined, and so do three different ones.
+    train table is plain; ``single`` fixes the setting of other single tables by (backbone,
+    role), else they stay undetermined. Three different tables are an error: a norm orders a pair
+    only. Without ``strict`` they are undetermined.
     """
     w = Window.partitionBy("backbone", "role")
     by_norm = w.orderBy(F.desc("mean_row_norm"), "variant")
@@ -61,8 +63,13 @@ def view_setting_classifier(norms: DataFrame) -> DataFrame:
     d = norms.withColumn("gap", (prev - F.col("mean_row_norm")) / F.greatest(prev, F.lit(1e-12)))
     new = (F.col("gap") > SAME_TABLE_GAP).cast("int")
     d = d.withColumn("step", F.sum(F.coalesce(new, F.lit(0))).over(by_norm)).withColumn("tables", F.max("step").over(w) + 1)
-    setting = (F.when(F.col("tables") == 2, F.when(F.col("step") == 0, "plain").otherwise("view mean"))
-               .when((F.col("tables") == 1) & (F.col("role") == "train"), "plain").otherwise("undetermined"))
+    one = F.col("tables") == 1
+    many = F.raise_error(F.concat_ws(" ", F.lit("more than two tables for"), "backbone", "role")).cast("string") if strict else F.lit("undetermined")
+    setting = F.when(F.col("tables") == 2, F.when(F.col("step") == 0, "plain").otherwise("view mean")).when(
+        one & (F.col("role") == "train"), "plain")
+    for (backbone, role), name in (single or {}).items():
+        setting = setting.when(one & (F.col("backbone") == backbone) & (F.col("role") == role), name)
+    setting = setting.when(F.col("tables") > 2, many).otherwise("undetermined")
     return d.select("backbone", "role", "variant", F.col("tables").cast("int").alias("tables"), setting.alias("setting"))
 
 

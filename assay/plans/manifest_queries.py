@@ -460,6 +460,19 @@ def _(spark, sf):
     return ma.frozen_config_digest(fx.ledger(spark, sf).where("kind = 'decision'"))
 
 
+_KEPT = "NOT (CAST(run AS BIGINT)%7=0 AND seq%2=0) AND CAST(run AS BIGINT)%11<>3"
+
+
+@query("frozen_config_mismatch", f"""SELECT coalesce(a.run,b.run) AS run, a.digest AS recorded, b.digest AS recomputed FROM (
+{sql_digest(f"(SELECT * FROM ledger WHERE kind='decision' AND {_KEPT})", "run", "seq", "knob||chr(1)||value")}) a
+FULL JOIN ({sql_digest("(SELECT * FROM ledger WHERE kind='decision')", "run", "seq", "knob||chr(1)||value")}) b ON a.run=b.run
+WHERE a.digest IS DISTINCT FROM b.digest""", ("ledger",))
+def _(spark, sf):
+    now = fx.ledger(spark, sf).where("kind = 'decision'")
+    then = now.where(_KEPT)
+    return ma.digest_mismatch(ma.frozen_config_digest(then), ma.frozen_config_digest(now), "run")
+
+
 @query("requested_vs_effective", """SELECT role, count(*) AS binds, count(*) FILTER (WHERE requested<>effective) AS substituted, min(effective)=max(effective) AS uniform,
 string_agg(DISTINCT requested::VARCHAR, ';' ORDER BY requested::VARCHAR) AS requested, string_agg(DISTINCT effective::VARCHAR, ';' ORDER BY effective::VARCHAR) AS effective,
 string_agg(DISTINCT note, ';' ORDER BY note) AS note FROM (SELECT event_type AS role, 1+event_id%2*2 AS requested, CASE WHEN event_type='view' OR event_id%3=0 THEN 1 ELSE 1+event_id%2*2 END AS effective,

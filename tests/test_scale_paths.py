@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import vectors as ve
-from assay.operators import dedup as dd, heads, manifests as ma, resample as rs, selection as se, splits as sp, tests_paired as tp
+from assay.operators import dedup as dd, features as fe, heads, manifests as ma, resample as rs, selection as se, splits as sp, tests_paired as tp
 
 
 def brute_pairs(rows, t, orders):
@@ -197,3 +197,14 @@ def test_fresh_groups(spark):
     for r in got:
         assert role.setdefault(r.grp, r.role) == r.role
     assert len(got) == 80 and {x: list(role.values()).count(x) for x in ("train", "valid", "test")} == {"train": 22, "valid": 8, "test": 10}
+
+
+def test_single_and_ambiguous_tables(spark):
+    d = spark.createDataFrame([("b", "valid", "a", 5, 1.0), ("b", "train", "a", 5, 1.0), ("c", "valid", "a", 5, 1.0)],
+                              "backbone string, role string, variant string, rows long, mean_row_norm double")
+    got = {(r.backbone, r.role): r.setting for r in fe.view_setting_classifier(d, {("b", "valid"): "view mean"}).collect()}
+    assert got == {("b", "valid"): "view mean", ("b", "train"): "plain", ("c", "valid"): "undetermined"}
+    three = spark.createDataFrame([("b", "valid", v, 5, n) for v, n in (("a", 1.0), ("b", 0.9), ("c", 0.8))], d.schema)
+    with pytest.raises(Exception, match="more than two tables"):
+        fe.view_setting_classifier(three).collect()
+    assert {r.setting for r in fe.view_setting_classifier(three, strict=False).collect()} == {"undetermined"}
