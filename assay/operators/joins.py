@@ -147,15 +147,30 @@ def fuse_blocks(features: DataFrame, spec: str) -> DataFrame:
 
 
 def duplicate_pairs_roles(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Role and class on both ends of each edge; edges with an unclaimed end drop out.
+    """Role and class on both ends of all duplicate pairs, copies included.
 
-    ``members`` is (id, role, label).
+    ``pairs`` is (a, b) over items, a = b for an item whose copies duplicate each other;
+    ``members`` is (id, item, role, label). Members of an item that agree in role and label are
+    counted, not listed: a row (a, b, role_a, label_a, role_b, label_b, pairs, first_a, first_b)
+    stands for all its pairs of members, and names the first of them. Members without a role drop
+    out. The rows per pair are bounded by roles and classes, not by copies.
     """
-    a = members.select(F.col("id").alias("a"), F.col("role").alias("role_a"), F.col("label").alias("label_a"))
-    b = members.select(F.col("id").alias("b"), F.col("role").alias("role_b"), F.col("label").alias("label_b"))
-    j = pairs.join(a, "a").join(b, "b")
-    return j.withColumn("role_pair", F.concat_ws("_", F.array_sort(F.array("role_a", "role_b")))).withColumn(
-        "cross_class", F.col("label_a") != F.col("label_b"))
+    g = members.where("role is not null").groupBy("item", "role", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    # the second smallest id of a group names a pair inside it
+    more = members.join(g, ["item", "role", "label"]).where("id <> first").groupBy("item", "role", "label").agg(F.min("id").alias("second"))
+    g = g.join(more, ["item", "role", "label"], "left")
+    side = lambda x: g.select(*[F.col(c).alias(c2) for c, c2 in (("item", x), ("role", f"role_{x}"), ("label", f"label_{x}"), ("n", f"n_{x}"), ("first", f"first_{x}"), ("second", f"second_{x}"))])
+    j = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    same = (F.col("a") == F.col("b"))
+    one, two = F.struct("role_a", "label_a"), F.struct("role_b", "label_b")
+    alike = same & (one == two)
+    j = j.where(~same | (one <= two)).withColumn(
+        "pairs", F.when(alike, (F.col("n_a") * (F.col("n_a") - 1) / 2).cast("bigint")).otherwise(F.col("n_a") * F.col("n_b"))).where("pairs > 0")
+    return j.withColumn("first_b", F.when(alike, F.col("second_b")).otherwise(F.col("first_b"))).withColumn(
+        "role_pair", F.concat_ws("_", F.array_sort(F.array("role_a", "role_b")))).withColumn(
+        "cross_class", F.col("label_a") != F.col("label_b")).select(
+        "a", "b", "role_a", "label_a", "role_b", "label_b", "role_pair", "cross_class", "pairs", "first_a", "first_b")
 
 
 def fold_pool_index(fold_rows: DataFrame, pool: DataFrame) -> DataFrame:

@@ -123,11 +123,23 @@ SQL_SR = "(SELECT p.*, x.role AS ra, y.role AS rb, x.label AS la, y.label AS lb
 SQL_RP = "least(ra,rb)||'_'||greatest(ra,rb)"
 
 
-@query("duplicate_pairs_roles", f"SELECT a, b, {SQL_RP} AS role_pair, la<>lb AS cross_class FROM {SQL_SR} WHERE a IN (SELECT item FROM sitems) AND b IN (SELECT item FROM sitems)", ("spairs", "sitems"))
+cte("sitem_of", """SELECT id, min(id) OVER (PARTITION BY k) AS item FROM (SELECT id, list_transform(c, lambda x: round(x*1e6)::BIGINT) AS k FROM vu)""", "vu")
+# member pairs, turned so that the first end has the smaller item, then the smaller role and class
+cte("srole", f"""SELECT CASE WHEN s THEN b ELSE a END AS a, CASE WHEN s THEN a ELSE b END AS b, CASE WHEN s THEN ib ELSE ia END AS ia, CASE WHEN s THEN ia ELSE ib END AS ib,
+CASE WHEN s THEN rb ELSE ra END AS ra, CASE WHEN s THEN ra ELSE rb END AS rb, CASE WHEN s THEN lb ELSE la END AS la, CASE WHEN s THEN la ELSE lb END AS lb
+FROM (SELECT *, (ia,ra,la)>(ib,rb,lb) AS s FROM (SELECT p.a, p.b, p.ra, p.rb, p.la, p.lb, x.item AS ia, y.item AS ib FROM {SQL_SR} p JOIN sitem_of x ON x.id=p.a JOIN sitem_of y ON y.id=p.b))""", "spairs", "sitem_of", "vu")
+
+
+@query("duplicate_pairs_roles", f"""SELECT ia AS a, ib AS b, ra AS role_a, la AS label_a, rb AS role_b, lb AS label_b, {SQL_RP.replace("ra", "r.ra").replace("rb", "r.rb")} AS role_pair, la<>lb AS cross_class,
+count(*) AS pairs FROM srole r GROUP BY ALL""", ("srole",))
 def _(spark, sf):
+    return _roles(spark, sf).drop("first_a", "first_b")
+
+
+def _roles(spark, sf):
     v = fx.vectors(spark, sf)
-    p = dd.strict_pairs(v.select("id", "v"), SIDE)["pairs"].where("a <> b")
-    return joins.duplicate_pairs_roles(p.select("a", "b"), v.select("id", "role", "label")).select("a", "b", "role_pair", "cross_class")
+    p = dd.strict_pairs(v, SIDE)
+    return joins.duplicate_pairs_roles(p["pairs"], p["members"].select("id", "item", "role", "label"))
 
 
 @query("leakage_audit", f"""SELECT {SQL_RP} AS role_pair, count(*) FILTER (WHERE la=lb) AS same_class, count(*) FILTER (WHERE la<>lb) AS cross_class FROM {SQL_SR} GROUP BY 1""", ("spairs",))
@@ -165,19 +177,22 @@ def _(spark, sf):
     return r6(dd.leaked_rows_best_partner(v.where("role <> 'test'").select("id", "v"), v.where("role = 'test'").select("id", "v"), SIDE))
 
 
-@query("examples_per_category", f"""SELECT role_pair, a, b FROM (SELECT role_pair, a, b, row_number() OVER (PARTITION BY role_pair ORDER BY a, b) AS rk FROM (
-SELECT a, b, {SQL_RP} AS role_pair FROM {SQL_SR} WHERE a IN (SELECT item FROM sitems) AND b IN (SELECT item FROM sitems))) WHERE rk<=5""", ("spairs", "sitems"))
+@query("examples_per_category", """SELECT role_pair, ra AS role_a, rb AS role_b, ia AS a, ib AS b, first_a, first_b FROM (SELECT *, row_number() OVER (PARTITION BY role_pair ORDER BY ia, ib, ra, rb, la, lb) AS rk FROM (
+SELECT ia, ib, ra, rb, la, lb, least(ra,rb)||'_'||greatest(ra,rb) AS role_pair, min(a) AS first_a, min(b) AS first_b FROM (
+SELECT ia, ib, ra, rb, la, lb, CASE WHEN (ia,ra,la)=(ib,rb,lb) THEN least(a,b) ELSE a END AS a, CASE WHEN (ia,ra,la)=(ib,rb,lb) THEN greatest(a,b) ELSE b END AS b FROM srole WHERE ra<>rb)
+GROUP BY ALL)) WHERE rk<=5""", ("srole",))
 def _(spark, sf):
-    v = fx.vectors(spark, sf)
-    p = dd.strict_pairs(v.select("id", "v"), SIDE)["pairs"].where("a <> b").select("a", "b")
-    j = joins.duplicate_pairs_roles(p, v.select("id", "role", "label"))
-    return selection.examples_per_category(j.select("role_pair", "a", "b"), "role_pair", ["a", "b"], 5)
+    cross = _roles(spark, sf).where("role_a <> role_b")
+    return selection.examples_per_category(cross, "role_pair", ["a", "b", "role_a", "role_b", "label_a", "label_b"], 5).select(
+        "role_pair", "role_a", "role_b", "a", "b", "first_a", "first_b")
 
 
-@query("topk_candidates", """SELECT a, b, round(corr,6) AS corr, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(corr,9) DESC, b) AS rk FROM ipairs WHERE corr>=0.9-1e-12) WHERE rk<=2""", ("ipairs",))
+@query("topk_candidates", """SELECT a, b, round(corr,6) AS corr, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(corr,9) DESC, b) AS rk FROM (
+SELECT a, b, corr FROM ipairs WHERE corr>=0.9-1e-12 UNION ALL SELECT b, a, corr FROM ipairs WHERE corr>=0.9-1e-12)) WHERE rk<=2""", ("ipairs",))
 def _(spark, sf):
     p = dd.near_duplicate_pairs(fx.vectors(spark, sf).select("id", "v"), SIDE, 0.90)["pairs"].where("a <> b").select("a", "b", F.round("corr", 9).alias("corr"))
-    return r6(selection.topk_candidates(p, "a", "corr", "b", 2))
+    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    return r6(selection.topk_candidates(both, "a", "corr", "b", 2))
 
 
 cte("pool", "SELECT id, label FROM vu WHERE role<>'test'", "vu")
