@@ -47,7 +47,8 @@ def logreg_head(train, evalu, k, c=1.0, max_iter=3000, balance=True) -> DataFram
     return score(logreg_model(train, c, max_iter, balance), evalu)
 
 
-def random_forest_head(train, evalu, k, trees=500, min_leaf=1, max_depth=15, seed=42) -> DataFrame:
+def random_forest_head(train, evalu, k, trees=500, min_leaf=1, max_depth=30, seed=42) -> DataFrame:
+    """A forest of full trees; 30 levels are the most that Spark's trees can have."""
     rf = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, minInstancesPerNode=min_leaf,
                                 maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
     return score(rf.fit(_vec(train)), evalu)
@@ -58,7 +59,7 @@ def _ovr_raw(model, rows: DataFrame) -> DataFrame:
     return out.select("path", "y", vector_to_array("rawPrediction").alias("features"))
 
 
-def linear_svm_head(train, evalu, k, c=1.0, max_iter=30, folds=3) -> DataFrame:
+def linear_svm_head(train, evalu, k, c=1.0, max_iter=100, folds=3) -> DataFrame:
     """Linear SVM per class; posteriors by a logistic model on out-of-fold margins.
 
     The classes are fitted side by side; every iteration of a class is one pass over the rows.
@@ -74,7 +75,7 @@ def linear_svm_head(train, evalu, k, c=1.0, max_iter=30, folds=3) -> DataFrame:
     for f in range(folds):
         m = _ovr_raw(fit(tagged.where(F.col("_cut") != f).drop("_cut")), tagged.where(F.col("_cut") == f).drop("_cut"))
         margins = m if margins is None else margins.unionByName(m)
-    platt = logreg_model(margins, c=1.0, max_iter=200, balance=False)
+    platt = logreg_model(margins, c=1.0, balance=False)
     return score(platt, _ovr_raw(fit(train), evalu))
 
 
@@ -117,7 +118,7 @@ def rbf_head_approx(train, evalu, k, c=1.0, size=256, seed=42) -> DataFrame:
     var = float((sd ** 2).mean() + ((mean - mean.mean()) ** 2).mean())
     gamma = 1.0 / (len(mean) * var) if var > 0 else 1.0
     a, b = (fourier_features(d, len(mean), gamma, size, seed) for d in (train, evalu))
-    return logreg_head(a, b, k, c=c, max_iter=300)
+    return logreg_head(a, b, k, c=c)
 
 
 def _pivots(train: DataFrame) -> np.ndarray:

@@ -188,9 +188,9 @@ BASELINES = [
     mo.Baseline("block_rbf", "alpha", "rbf", kwargs={"c": 1.0}),
     mo.Baseline("block_knn", "alpha", "knn", kwargs={"neighbours": 5}),
     mo.Baseline("wide_rbf", "beta", "rbf", kwargs={"c": 1.0}),
-    mo.Baseline("fused_logreg_pca", SPEC, "logreg", pca=0.95, kwargs={"c": 1.0, "max_iter": 200}),
-    mo.Baseline("block_forest", "gamma", "rf", pca=0.95, kwargs={"trees": 100, "min_leaf": 1}),
-    mo.Baseline("linear_probe", SPEC, "logreg", kwargs={"c": 1.0, "max_iter": 200}),
+    mo.Baseline("fused_logreg_pca", SPEC, "logreg", pca=0.95, kwargs={"c": 1.0}),
+    mo.Baseline("block_forest", "gamma", "rf", pca=0.95, kwargs={"min_leaf": 1}),
+    mo.Baseline("linear_probe", SPEC, "logreg", kwargs={"c": 1.0}),
     mo.Baseline("missing_block", "alpha+delta", "logreg"),
 ]
 
@@ -202,7 +202,7 @@ def _(spark, sf):
 
 @query("grid_selection")
 def _(spark, sf):
-    return mo.grid_selection(fx.features(spark, sf), ["alpha", "beta", SPEC], {"logreg": {"max_iter": 100}, "knn": {"neighbours": 5}},
+    return mo.grid_selection(fx.features(spark, sf), ["alpha", "beta", SPEC], {"logreg": {}, "knn": {"neighbours": 5}},
                              [0.0], [0.1, 1.5], fx.CLASSES, normal_idx=0).drop("thresholds")
 
 
