@@ -331,6 +331,14 @@ def _(spark, sf):
     return sp.group_resplit(fx.manifest_table(spark, sf), 0.2, 42).select("path", "grp", "role")
 
 
+@query("fresh_group_split", f"""SELECT m.path, m.grp, g.role FROM manifest m JOIN (SELECT grp, CASE WHEN rk<=greatest(1,round_even(n*0.25::DOUBLE,0)) THEN 'test'
+WHEN rk<=greatest(1,round_even(n*0.25::DOUBLE,0))+greatest(1,round_even(n*0.2::DOUBLE,0)) THEN 'valid' ELSE 'train' END AS role FROM (
+SELECT grp, row_number() OVER (PARTITION BY label ORDER BY {sql_seed(42, 'fresh', 'grp')}, grp) AS rk, count(*) OVER (PARTITION BY label) AS n FROM (
+SELECT grp, arg_min(label, (-n, label)) AS label FROM (SELECT grp, label, count(*) AS n FROM manifest GROUP BY ALL) GROUP BY grp))) g ON m.grp=g.grp""", ("manifest",))
+def _(spark, sf):
+    return sp.fresh_group_split(fx.manifest_table(spark, sf), 42).select("path", "grp", "role")
+
+
 @query("group_kfold_train_valid", f"""SELECT CAST(k AS INT) AS fold, p.path, p.label, p.grp, CASE WHEN f.own=k THEN 'valid' ELSE 'train' END AS role FROM {SQL_POOL} p JOIN (
 SELECT grp, (row_number() OVER (PARTITION BY major ORDER BY {sql_seed(42, 'fold', 'grp')}, grp)-1)%5 AS own FROM {SQL_MAJOR}) f ON p.grp=f.grp, range(0,5) r(k)""", ("manifest",))
 def _(spark, sf):

@@ -89,6 +89,36 @@ def scan_manifest_documents(spark: SparkSession, path: str, verify: bool = True)
         "path", F.when(F.col("digest") == F.col("now"), F.col("path")).otherwise(stop)).drop("digest", "now", "first_pos")
 
 
+ROLE_DOCUMENT = ("struct<bed: string, role: string, root: string, class_names: array<string>, files: array<string>, labels: array<int>, "
+                 "source_bed: string, source_splits: array<string>, source_rows: array<bigint>, group_unit: string, groups: array<string>, digest: string>")
+DOCUMENT = f"bed string, root string, class_names array<string>, group_unit string, seed bigint, built_at string, builder string, splits map<string, {ROLE_DOCUMENT}>"
+
+
+def scan_whole_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Whole manifest documents (one JSON object per file, pretty-printed or not, each role with its
+    parallel arrays) -> a row per file entry: the header's bed, root, group unit, seed and builder, the
+    role, its position, path, label index and name, group, and the split and row it came from.
+
+    Arrays of unequal length and labels outside the class names are errors.
+    """
+    docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+    head = ["bed", "root", "group_unit", "seed", "built_at", "builder"]
+    each = docs.select(*head, F.explode("splits").alias("role", "s"))
+    n = F.size("s.files")
+    uneven = F.lit(False)
+    for c in ("labels", "source_splits", "source_rows", "groups"):
+        uneven = uneven | (F.size(f"s.{c}") != n)
+    stop = F.raise_error(F.concat(F.lit("arrays of unequal length: "), F.col("role"))).cast("string")
+    rows = each.withColumn("role", F.when(uneven, stop).otherwise(F.col("role"))).select(
+        *head, "role", F.col("s.source_bed").alias("source_bed"), F.col("s.class_names").alias("names"), F.col("s.digest").alias("recorded_digest"),
+        F.posexplode(F.arrays_zip(*[F.col(f"s.{c}").alias(c) for c in ("files", "labels", "groups", "source_splits", "source_rows")])).alias("pos", "r"))
+    off = F.raise_error(F.concat(F.lit("label outside the classes: "), F.col("r.files"))).cast("string")
+    return rows.select(
+        *head, "role", F.col("pos").cast("bigint").alias("pos"), F.col("r.files").alias("path"), F.col("r.labels").alias("y"),
+        F.coalesce(F.get("names", F.col("r.labels")), off).alias("label"), F.col("r.groups").alias("grp"), "source_bed",
+        F.col("r.source_splits").alias("source_split"), F.col("r.source_rows").alias("source_row"), "recorded_digest")
+
+
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction CSV: ids as strings, ``p_*`` columns optional and gathered into ``p``."""
     d = read_csv_typed(spark, path, PREDICTION_TYPES, "p_")

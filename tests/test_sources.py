@@ -64,3 +64,21 @@ def test_result_files_with_own_headers(spark, tmp_path):
     assert got == [(1, "A", "svm", 1.5), (1, "C", None, 3.5), (1, "D", "nn", None), (2, "B,b", "rf", 2.0)]
     with pytest.raises(ValueError, match="no nothing.csv"):
         readers.scan_result_files(spark, str(tmp_path / "r"), "nothing.csv")
+
+
+def test_whole_manifest_document(spark, tmp_path):
+    import json
+
+    role = lambda r, files: {"bed": "b", "role": r, "root": "/d", "class_names": ["cat", "dog"], "files": files, "labels": [i % 2 for i in range(len(files))],
+                             "source_bed": "raw", "source_splits": ["Training"] * len(files), "source_rows": list(range(10, 10 + len(files))), "group_unit": "id",
+                             "groups": ["g" + f for f in files], "recipe": {"x": 1}, "digest": "d" + r}
+    doc = {"bed": "b", "root": "/d", "class_names": ["cat", "dog"], "group_unit": "id", "seed": 7, "built_at": "t", "builder": "me",
+           "splits": {"train": role("train", ["a", "b", "c"]), "test": role("test", ["z"])}, "audit": {}}
+    write(tmp_path / "m.json", json.dumps(doc, indent=2))
+    got = {(r["role"], r["pos"]): r for r in readers.scan_whole_manifest(spark, str(tmp_path / "m.json")).collect()}
+    r = got["train", 2]
+    assert len(got) == 4 and (r["path"], r["y"], r["label"], r["grp"], r["source_split"], r["source_row"], r["seed"]) == ("c", 0, "cat", "gc", "Training", 12, 7)
+    doc["splits"]["test"]["source_rows"] = []
+    write(tmp_path / "n.json", json.dumps(doc))
+    with pytest.raises(Exception, match="unequal length"):
+        readers.scan_whole_manifest(spark, str(tmp_path / "n.json")).collect()
