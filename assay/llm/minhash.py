@@ -4,9 +4,10 @@ Each document's set of word shingles gets many minima of universal hash function
 equal sets are one class. Classes that agree on a band of minima share a bucket. In each bucket all
 members are paired with the smallest one; signatures drop hopeless pairs, full sets confirm the
 rest, and alternating large-star and small-star give the components. Buckets that still hold several
-components are looked at again: signatures are compared block by block inside tasks, the best pairs
-between two components are confirmed first, and rounds go on until no pair is left that the
-signatures allow. So a group of m copies costs about m confirmations, and no link is lost.
+components are looked at again, equal buckets once: blocks of members meet inside tasks, pairs of
+different components are taken from the likeliest signatures down and confirmed on the full sets,
+and each confirmed one joins two components there. So a task returns fewer links than it has
+members, whatever the number of pairs, and no pair that signatures allow is left out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from assay.session import write_and_read
 BANDS, PER_BAND = 28, 4
 #: signatures may understate the similarity by this much (over five standard deviations)
 SLACK = 0.2
-#: members of a bucket compared at once; pairs of two components confirmed in the first round
-BLOCK, FIRST_PAIRS, MORE = 512, 8, 8
+#: members of a bucket in one block; a task meets two blocks at a time
+BLOCK = 1024
 
 
 @cache
@@ -114,62 +115,72 @@ def _by_signature(pairs: DataFrame, classes: DataFrame, least: float) -> DataFra
             .join(sig.withColumnsRenamed({"key": "a", "minima": "x"}), "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, counted on the full sets."""
+    """Pairs that are linked by their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), dtype=U64), np.frombuffer(y.as_py(), dtype=U64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            ok = pa.array(ok, pa.bool_())
+            ok = pa.array([_linked(np.frombuffer(x.as_py(), dtype=U64), np.frombuffer(y.as_py(), dtype=U64), percent)
+                           for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return (pairs.join(sets.withColumnsRenamed({"key": "b", "members": "y"}), "b")
             .join(sets.withColumnsRenamed({"key": "a", "members": "x"}), "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
 
 
-def _across(mixed: DataFrame, classes: DataFrame, least: float, most: int) -> DataFrame:
-    """From buckets with several components: for each two of them the ``most`` pairs with the best
-    signatures, and ``cut`` if there were more. ``mixed`` has bucket, n, key, comp."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (mixed.join(classes.select("key", "minima"), "key")
-             .withColumn("blk", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int, block: int) -> DataFrame:
+    """Confirmed links between components that share a bucket: enough to join all components that
+    any pair in the bucket links. ``mixed`` has bucket, n, key, comp."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = (mixed.withColumn("blk", F.pmod(F.xxhash64("key"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")))
+             .withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
+             .join(classes.select("key", "minima"), "key").join(sets, "key"))
 
     def compare(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         key, comp = table.column("key").to_pylist(), table.column("comp").to_pylist()
         blk = table.column("blk").to_numpy()
         sig = np.frombuffer(b"".join(table.column("minima").to_pylist()), dtype="<u4").reshape(len(key), -1)
-        number = {c: i for i, c in enumerate(sorted(set(comp)))}
+        full = [np.frombuffer(x.as_py(), dtype=U64) for x in table.column("members")]
+        size = np.array([len(x) for x in full])
+        number = {c: i for i, c in enumerate(dict.fromkeys(comp))}
         group = np.array([number[c] for c in comp])
-        x = np.flatnonzero(blk == lo)
-        y = np.flatnonzero(blk == hi)
-        found: list[tuple[float, int, int]] = []
-        for i in x.tolist():
-            other = y[y > i] if lo == hi else y
-            other = other[group[other] != group[i]]
+        root = list(range(len(number)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        found = []
+        for i in left.tolist():
+            other = right[right > i] if lo == hi else right
+            other = other[(group[other] != group[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
             same = (sig[other] == sig[i]).mean(axis=1)
             good = same >= least
-            found += zip((-same[good]).tolist(), [i] * int(good.sum()), other[good].tolist())
-        taken: dict[tuple[int, int], int] = {}
-        out: list[tuple[bytes, bytes, bool]] = []
-        for _, i, j in sorted(found):
-            g = (min(group[i], group[j]), max(group[i], group[j]))
-            taken[g] = taken.get(g, 0) + 1
-            if taken[g] <= most:
-                out.append((min(key[i], key[j]), max(key[i], key[j]), False))
-        if any(n > most for n in taken.values()) and out:
-            out[0] = (*out[0][:2], True)
-        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("cut", pa.bool_())))})
-
-    return (dealt.select("bucket", "lo", "hi", "key", "comp", "blk", "minima").groupBy("bucket", "lo", "hi")
-            .applyInArrow(compare, "a binary, b binary, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")))
+            found.append(np.stack([np.full(int(good.sum()), i), other[good], (same[good] * 1e6).astype(np.int64)]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0], -pairs[2]))]
+        out = []
+        for i, j in zip(pairs[0].tolist(), pairs[1].tolist()):
+            a, b = find(int(group[i])), find(int(group[j]))
+            if a != b and _linked(full[i], full[j], percent):
+                root[a] = b
+                out.append((min(key[i], key[j]), max(key[i], key[j])))
+        return pa.table({c: pa.array([r[i] for r in out], pa.binary()) for i, c in enumerate(("a", "b"))})
+
+    return (dealt.select("bucket", "lo", "hi", "key", "comp", "blk", "minima", "members").groupBy("bucket", "lo", "hi")
+            .applyInArrow(compare, "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -198,25 +209,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     edges = write_and_read(_confirmed(_by_signature(checked, classes, least), sets, percent), "minhash-edges")
     stars = connected_components(edges)
 
-    most = FIRST_PAIRS
-    while True:
-        comp = F.coalesce("v", "key")
-        now = members.where("n > 2").join(stars.withColumnRenamed("u", "key"), "key", "left").select("bucket", "n", "key", comp.alias("comp"))
-        several = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
-        pairs = write_and_read(_across(now.join(several, "bucket", "left_semi"), classes, least, most), "minhash-across")
-        fresh = write_and_read(pairs.select("a", "b").join(checked, ["a", "b"], "left_anti"), "minhash-fresh")
-        if fresh.isEmpty():
-            if pairs.where("cut").isEmpty():
-                break
-            most *= MORE
-            continue
-        checked = checked.union(fresh)
-        more = write_and_read(_confirmed(fresh, sets, percent), "minhash-more")
-        if more.isEmpty():
-            most *= MORE
-        else:
-            edges = edges.union(more)
-            stars = connected_components(edges)
+    comp = F.coalesce("v", "key")
+    now = members.where("n > 2").join(stars.withColumnRenamed("u", "key"), "key", "left").select("bucket", "n", "key", comp.alias("comp"))
+    # several components; of buckets with equal members one is enough
+    several = (now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bit_xor(F.xxhash64("key")).alias("h"),
+                                         F.min("key").alias("first"), F.max("key").alias("last"), F.max("n").alias("n"))
+               .where("x != y").groupBy("h", "first", "last", "n").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    more = write_and_read(_across(now.join(several, "bucket", "left_semi"), classes, sets, least, percent, BLOCK), "minhash-more")
+    if not more.isEmpty():
+        stars = connected_components(edges.union(more))
 
     named = classes.select("key", "rep").join(stars.withColumnRenamed("u", "key"), "key", "left").select("key", "rep", F.coalesce("v", "key").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))

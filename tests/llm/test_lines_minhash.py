@@ -81,7 +81,6 @@ def groups_by_hand(rows, k, percent):
 @pytest.mark.parametrize("block", [512, 4])
 def test_minhash(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "FIRST_PAIRS", 1)
     rng = np.random.default_rng(6)
     text = lambda n: [str(x) for x in rng.integers(0, 5000, n)]
     rows = []
