@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from assay.llm.training import hash_place, smallest_hashes
 from assay.llm.words import U64, WORDS, mix, slices
 
 #: n-gram lengths; documents a language is learned from at most; n-grams of one filter at most
@@ -112,8 +113,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     Of each language, the ``SAMPLE_DOCS`` documents with the smallest id hashes are read (ties by id).
     """
     rows = labelled.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_l"), F.col(text).cast("string").alias("_t"))
-    first = W.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (rows.where("_l IS NOT NULL AND _id IS NOT NULL").select("_id", "_l")
+    first = W.partitionBy("_l").orderBy(hash_place("_id"), F.xxhash64("_id"), "_id")
+    ids = rows.where("_l IS NOT NULL AND _id IS NOT NULL").select("_id", "_l")
+    # of a frequent language only about twice the wanted ids are dealt to the task that picks them
+    wide = ids.join(F.broadcast(ids.groupBy("_l").agg(F.count(F.lit(1)).alias("_of"))), "_l")  # one row a language
+    chosen = (wide.where(smallest_hashes("_id", SAMPLE_DOCS, F.col("_of"))).select("_id", "_l")
               .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SAMPLE_DOCS).select("_id", "_l").distinct())
     # SAMPLE_DOCS ids for each language
     sample = rows.join(F.broadcast(chosen), ["_id", "_l"], "left_semi")

@@ -18,15 +18,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: hashes are first compared by these leading places
+PLACES = 1 << 30
+
+
+def hash_place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(PLACES))
+
+
+def smallest_hashes(column: str, wanted: int, of: int | Column) -> Column:
+    """Holds for about twice ``wanted`` of ``of`` rows, among them those with the smallest places."""
+    of = F.lit(of) if isinstance(of, int) else of
+    return hash_place(column) < F.ceil(F.lit(PLACES) * F.least(F.lit(1.0), F.lit(2.0 * wanted) / F.greatest(of, F.lit(1))))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", doc_id: str = "doc_id",
            rows: int = SAMPLE_ROWS) -> DataFrame:
     """``_t, label, part`` of the labelled rows with the smallest id hashes; ``part`` is 0 to 9.
 
     An id with several labels takes the smallest; ids and labels that are null are left out.
     """
-    chosen = (labels.where(~held_out(doc_id) & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-              .groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("double").alias("label"))
-              .orderBy(F.xxhash64("_id"), "_id").limit(rows))
+    usable = labels.where(~held_out(doc_id) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), label)
+    # of a large table only about twice the wanted rows are dealt to the one task that picks them
+    chosen = (usable.where(smallest_hashes("_id", rows, usable.count()))
+              .groupBy("_id").agg(F.min(label).cast("double").alias("label"))
+              .orderBy(hash_place("_id"), F.xxhash64("_id"), "_id").limit(rows))
     return (docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").cast("binary").alias("_t"))
             .join(F.broadcast(chosen), "_id")  # SAMPLE_ROWS short rows
             .select("_t", "label", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(10)).alias("part")))
