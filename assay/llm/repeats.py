@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.words import U64
+from assay.llm.words import U64, slices
 from assay.session import write_and_read
 
 #: variants of one minimiser that one task compares
@@ -80,6 +80,13 @@ Sorter = Callable[[list[bytes], list[int], list[int]], list[list[tuple[int, int,
 Digests = Callable[[bytes, int], np.ndarray]
 
 
+def small(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of little text; ``texts`` is the column that holds it."""
+    for batch in batches:
+        for lo, hi in slices(pc.binary_length(batch.column(texts)).fill_null(0).to_pylist()):
+            yield batch.slice(lo, hi - lo)
+
+
 def all_pieces(docs: DataFrame, pieces: Pieces, batches_of: Callable[[list[int]], Iterator[tuple[int, int]]]) -> DataFrame:
     """``m`` minimiser, ``p`` hash of the piece, ``d``, ``th``, ``at`` first window, ``n`` windows."""
 
@@ -133,13 +140,15 @@ def _packed(lists: DataFrame, pack: Pack) -> DataFrame:
     """One row for each variant, with its string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 0):
+            rows, strings = [], []
             for text, pieces in zip(batch.column(0), batch.column(1)):
-                rows = pieces.as_py()
-                strings = pack(text.as_py(), [(r["at"], r["n"]) for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([r[c] for r in rows], t) for c, t in (("m", pa.int64()), ("p", pa.int64()), ("v", pa.int64()), ("k", pa.int64()), ("n", pa.int32()))],
-                     pa.array(strings, pa.binary())], ["m", "p", "v", "k", "n", "packed"])
+                mine = pieces.as_py()
+                rows += mine
+                strings += pack(text.as_py(), [(r["at"], r["n"]) for r in mine])
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([r[c] for r in rows], t) for c, t in (("m", pa.int64()), ("p", pa.int64()), ("v", pa.int64()), ("k", pa.int64()), ("n", pa.int32()))],
+                 pa.array(strings, pa.binary())], ["m", "p", "v", "k", "n", "packed"])
 
     # rows alike in id and text give the same strings: one of them is enough
     return lists.select("_t", "list").mapInArrow(run, "m long, p long, v long, k long, n int, packed binary")

@@ -89,7 +89,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, text:
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in repeats.small(batches, 1):
             total, removed, kept = [], [], []
             for t, s in zip(batch.column(1), batch.column(2)):
                 words = t.as_py().split()

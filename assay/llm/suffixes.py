@@ -22,7 +22,7 @@ WINDOW, GRAM = 200, 64
 #: bytes ordered by quicksort; segments below SMALL are ordered by one sort of these bytes
 SHALLOW, SMALL = 32, 2048
 #: a longer text is cut into parts that overlap by a window less one byte
-PART = 1 << 22
+PART = 1 << 20
 
 
 def pieces(texts: list[bytes], width: int = WINDOW, gram: int = GRAM, part: int = PART) -> tuple[np.ndarray, ...]:
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, text:
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in repeats.small(batches, 1):
             removed, kept = [], []
             for t, s in zip(batch.column(1), batch.column(2)):
                 t, s = t.as_py(), repeats.joined([(x["from"], x["to"]) for x in s.as_py() or []], width)

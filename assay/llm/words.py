@@ -120,7 +120,7 @@ def inside(first: np.ndarray, k: int, n: int) -> np.ndarray:
     return ok
 
 
-def slices(sizes: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes each, or one row."""
     lo = total = 0
     for i, n in enumerate(sizes):
