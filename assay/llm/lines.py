@@ -5,6 +5,9 @@ is divisible by ``DIVISOR``, so the same lines give the same cuts wherever they
 neighbouring lines the first holds, and none leaves a first or last chunk of one line, so all chunks
 have at least two lines in texts that do. Chunks whose digest occurs more than once are compared by
 their bytes, equal ones partly grouped before the shuffle; all but the first go.
+
+``remove_repeated_runs`` needs no cuts: it looks at every two neighbouring lines, so that a repeated
+passage goes wherever it begins and ends.
 """
 
 from __future__ import annotations
@@ -80,6 +83,47 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "d
                 F.size("lines").cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed")))
 
 
+def remove_repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The columns of ``remove_repeated_chunks``; ``kept`` is the text without any line that lies in two
+    neighbouring lines which an earlier place has too, so without all repeated runs of two lines or more.
+
+    Earlier is a smaller id, then a smaller hash of the text, then a smaller place; a missing id comes
+    last. Two blank lines don't count as repeated. A line that goes is still there at an earlier place.
+    Null texts, rows that repeat an id and text, digests (128 bits here) and other columns are treated
+    as there.
+    """
+    base = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("t"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(F.col(text)).alias("th"))
+    split, digest = F.split(F.coalesce("t", F.lit("")), "\n", -1), ["h1", "h2"]
+    pairs = write_and_read(
+        base.select("d", "th", split.alias("lines"))
+        .select("d", "th", F.posexplode(F.arrays_zip(F.slice("lines", 1, F.size("lines") - 1).alias("a"), F.slice("lines", 2, F.size("lines") - 1).alias("b"))).alias("k", "c"))
+        .select("d", "th", "k", F.concat_ws("\n", "c.a", "c.b").alias("x")).where(F.col("x").rlike(r"\S"))
+        .select("d", "th", "k", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2")), "lines-pairs")
+    again = pairs.groupBy(*digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest)
+    pairs = write_and_read(pairs.join(again, digest, "left_semi"), "lines-repeated")
+
+    # comparison of bytes
+    wanted = pairs.groupBy("d", "th").agg(F.collect_set(F.struct("k", *digest)).alias("wanted"))
+    texts = (base.select("d", "th", "t").join(wanted, ["d", "th"]).withColumn("lines", split)
+             .select("d", "th", F.explode(F.transform("wanted", lambda c: F.struct(
+                 c["k"].alias("k"), c["h1"].alias("h1"), c["h2"].alias("h2"), F.array_join(F.slice("lines", c["k"] + 1, 2), "\n").alias("x")))).alias("c"))
+             .select("d", "th", "c.*"))
+    equal = texts.groupBy(*digest, "x").agg(F.min(F.struct("d", "th", "k")).alias("first"))
+    sure = equal.groupBy(*digest).agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).where("texts = 1").select(*digest, "first")
+    sure = write_and_read(sure, "lines-sure")
+
+    judged = (pairs.join(sure, digest).where(F.struct("d", "th", "k") != F.col("first"))
+              .groupBy("d", "th").agg(F.array_sort(F.collect_set("k")).alias("ks")))
+    n = F.size("lines")
+    after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("ks", i - 1) + 2)
+    stay = F.flatten(F.transform(F.array_append("ks", n), lambda k, i: F.slice("lines", after(i) + 1, F.greatest(k - after(i), F.lit(0)))))
+    return (base.join(judged, ["d", "th"], "left").withColumn("lines", split).withColumn("stay", stay)
+            .select("row", F.when(F.col("ks").isNull(), F.col("t")).otherwise(F.array_join("stay", "\n")).alias("kept"),
+                    n.cast("long").alias("n_lines"), F.when(F.col("ks").isNull(), 0).otherwise(n - F.size("stay")).cast("long").alias("n_removed")))
+
+
 def digest_columns(result: DataFrame) -> DataFrame:
     return result.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -32,9 +32,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that an earlier document has are cut out; a document of which nothing is left
-    was a copy and goes, one that had no text stays."""
-    done = lines.remove_repeated_chunks(docs)
+    """Runs of two lines or more that an earlier place has are cut out; a document of which nothing is
+    left was a copy and goes, one that had no text stays."""
+    done = lines.remove_repeated_runs(docs)
     return _with(docs, done.where((F.col("n_removed") == 0) | (F.col("kept") != "")), F.col("kept"))
 
 

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from assay.llm import components, lines, minhash
+from assay.llm import components, lines, minhash, stages
 
 
 def chunks_by_hand(rows):
@@ -54,6 +54,41 @@ def test_lines(spark):
     assert lines.digest_columns(lines.remove_repeated_chunks(docs.limit(0))).count() == 0
 
 
+def runs_by_hand(rows):
+    """(id, lines, removed, kept text) of rows with different ids."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        ls, gone = (t or "").split("\n"), set()
+        for k in range(len(ls) - 1):
+            if (ls[k] + ls[k + 1]).strip():
+                gone |= {k, k + 1} if (ls[k], ls[k + 1]) in seen else set()
+                seen.add((ls[k], ls[k + 1]))
+        out.append((i, len(ls), len(gone), t if not gone else "\n".join(x for k, x in enumerate(ls) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_runs(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: f"line {rng.integers(0, 10**6)} é" if rng.integers(0, 8) else " " * int(rng.integers(0, 2))
+    shared = [word() for _ in range(12)]
+    rows = []
+    for i in range(60):
+        ls = [word() for _ in range(int(rng.integers(0, 15)))]
+        if i % 2:
+            at, lo = int(rng.integers(0, len(ls) + 1)), int(rng.integers(0, 10))
+            ls[at:at] = shared[lo:lo + int(rng.integers(2, 6))]
+        rows.append((i, "\n".join(ls)))
+    rows += [(200, rows[3][1]), (202, "\n\n\n\n"), (203, "\n\n\n\n"), (204, None), (205, ""), (206, "a\nb"), (207, "a\nb"), (208, "a\nb\n"),
+             (209, "\n".join(shared * 2000)), (210, "one"), (211, "one"), (212, "b\nb\nb\nb"), (213, "x\na\nb\ny"), (None, rows[5][1])]
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, lines int")
+    got = lines.remove_repeated_runs(docs)
+    out = sorted(((r.row.doc_id, r.n_lines, r.n_removed, r.kept) for r in got.collect()), key=repr)
+    assert out == runs_by_hand(rows)
+    assert (213, 4, 2, "x\ny") in out and (207, 2, 2, "") in out  # a cut by hashes leaves the first: its ends are no cuts
+    assert {r.doc_id: r.text for r in stages.line_dedup(spark, docs, "").collect()}[213] == "x\ny"
+    assert lines.remove_repeated_runs(docs.limit(0)).count() == 0
+
+
 def groups_by_hand(rows, k, percent):
     sets = []
     for _, t in rows:
