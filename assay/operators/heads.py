@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from assay.functions.hashing import h32
 from assay.operators.metrics import class_balance_weights
+from assay.session import scratch_root
 
 ML_PARALLELISM = 8  # one-vs-rest fits submitted together
 KNN_BLOCK = 4096
@@ -82,8 +83,11 @@ def linear_svm_head(train, evalu, k, c=1.0, max_iter=100, folds=3) -> DataFrame:
 def boosted_trees_head(train, evalu, k, rounds=20, depth=3, weights: DataFrame | None = None, seed=42) -> DataFrame:
     """Boosted trees per class; posteriors are the normalised sigmoids of the class scores.
 
-    ``weights`` is (path, weight) and optional.
+    ``weights`` is (path, weight) and optional. Spark cuts the lineage of the rounds by checkpoints.
     """
+    sc = train.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch_root(train.sparkSession))
     d = train.join(weights, "path") if weights is not None else train.withColumn("weight", F.lit(1.0))
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed)
     ovr = OneVsRest(classifier=gbt, featuresCol="x", labelCol="label", weightCol="weight", rawPredictionCol="rawPrediction",

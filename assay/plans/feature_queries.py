@@ -170,9 +170,13 @@ def _(spark, sf):
     return _scores(heads.fit_head("rbf", *_split(spark, sf), fx.CLASSES))
 
 
+#: the published settings: the most rounds of the three libraries that this head stands for
+BOOSTING = {"rounds": 1200, "depth": 6}
+
+
 @query("boosted_trees_head")
 def _(spark, sf):
-    return _scores(heads.fit_head("gbt", *_split(spark, sf), fx.CLASSES, rounds=10))
+    return _scores(heads.fit_head("gbt", *_split(spark, sf), fx.CLASSES, **BOOSTING))
 
 
 @query("knn_head", f"""SELECT path, y, {", ".join(f"count(*) FILTER (WHERE ny={c}) AS votes_{c}" for c in range(fx.CLASSES))} FROM (
@@ -200,10 +204,13 @@ def _(spark, sf):
     return mo.baseline_table(fx.features(spark, sf), BASELINES, fx.CLASSES, fx.DIMS)[0]
 
 
+SPECS = ["alpha", "beta", "gamma", "alpha+beta", "alpha+gamma", "beta+gamma", SPEC]
+LEARNERS = {"logreg": {}, "knn": {"neighbours": 5}, "rbf": {}, "gbt": BOOSTING}
+
+
 @query("grid_selection")
 def _(spark, sf):
-    return mo.grid_selection(fx.features(spark, sf), ["alpha", "beta", SPEC], {"logreg": {}, "knn": {"neighbours": 5}},
-                             [0.0], [0.1, 1.5], fx.CLASSES, normal_idx=0).drop("thresholds")
+    return mo.grid_selection(fx.features(spark, sf), SPECS, LEARNERS, [0.0, 0.95], [0.1, 1.5, 10.0], fx.CLASSES, normal_idx=0).drop("thresholds")
 
 
 def _cv_folds(d):
@@ -214,7 +221,7 @@ def _cv_folds(d):
 @query("cv_evaluate")
 def _(spark, sf):
     d = _fused(spark, sf)
-    return mo.cv_evaluate(d.select("path", "y", "features"), _cv_folds(d), fx.CLASSES, "logreg", {"max_iter": 100}, normal_idx=0)
+    return mo.cv_evaluate(d.select("path", "y", "features"), _cv_folds(d), fx.CLASSES, "logreg", normal_idx=0)
 
 
 @query("save_pipeline_artifact", "SELECT count(*) AS scored, true AS same FROM ffu WHERE role<>'train'", ("ffu",))
@@ -222,7 +229,7 @@ def _(spark, sf):
     d = _fused(spark, sf)
     rep = fe.fit_representation(d.where("role = 'train'"), "per_dim", 0.95)
     train, rest = rep.apply(d.where("role = 'train'")), rep.apply(d.where("role <> 'train'"))
-    model = heads.logreg_model(train, max_iter=50)
+    model = heads.logreg_model(train)
     out = scratch_path(spark, "artifact")
     mo.save_artifact(spark, out, rep, model, [0.5] * fx.CLASSES, {"spec": SPEC, "normal_idx": "0"})
     rep2, model2, thr, meta = mo.load_artifact(spark, out)
