@@ -10,7 +10,7 @@ import tiktoken
 import corpus_pipeline
 from assay.llm import bpe, langid, minhash, quality, registry, stages, toxicity, training
 from tests.llm.test_bpe_leaks_exact import leaks_by_hand
-from tests.llm.test_lines_minhash import groups_by_hand
+from tests.llm.test_lines_minhash import groups_by_hand, runs_by_hand
 from tests.oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +109,11 @@ def test_pipeline(spark):
             assert docs.columns == cols
         if name == "language_id":
             assert [r for r in before if r not in after and any(c.isalpha() for c in r.text or "")] == []
+        elif name == "line_dedup":
+            by_hand = runs_by_hand([(r.doc_id, r.text) for r in before])
+            assert {r.doc_id: r.text for r in after} == {d: t for d, n, gone, t in by_hand if t or not gone}
+            assert len(after) < len(before) and any(gone and t for d, n, gone, t in by_hand)
+            assert all(r.n_chars == len(r.text) for r in after)
         elif name == "minhash_dedup":
             pairs = [(r.doc_id, r.text) for r in before]
             assert {r.doc_id for r in after} == {d for d, n, c, kept in groups_by_hand(pairs, 5, 80) if kept or not n}
