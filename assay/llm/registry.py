@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe, decontaminate, exact, langid, lines, minhash, quality, substrings, suffixes, toxicity, training
+from assay.llm import bpe, conversations, decontaminate, exact, langid, lines, minhash, quality, substrings, suffixes, toxicity, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +70,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_columns(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"), damaged=True).drop("repaired")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_quality, op3_exact_dedup, op4_line_dedup, op5_bpe, op6_decontaminate, op7_language_id, op8_minhash_dedup,
-        op9_suffix_array_dedup, op10_substring_dedup)}
+        op9_suffix_array_dedup, op10_substring_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
