@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe, conversations, decontaminate, exact, langid, lines, minhash, quality, substrings, suffixes, topk, toxicity, training
+from assay.llm import bpe, conversations, decontaminate, exact, langid, lines, minhash, quality, substrings, suffixes, topk, toxicity, training, treap
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_columns(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -81,10 +85,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_quality, op3_exact_dedup, op4_line_dedup, op5_bpe, op6_decontaminate, op7_language_id, op8_minhash_dedup,
-        op9_suffix_array_dedup, op10_substring_dedup, op12_exact_top_k, op13_conversation_repair)}
+        op9_suffix_array_dedup, op10_substring_dedup, op11_ranked_search, op12_exact_top_k, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_exact_dedup": exact.ORACLE, "op4_line_dedup": lines.ORACLE, "op6_decontaminate": decontaminate.ORACLE,
             "op8_minhash_dedup": minhash.ORACLE, "op9_suffix_array_dedup": suffixes.ORACLE, "op10_substring_dedup": substrings.ORACLE,
-            "op12_exact_top_k": topk.ORACLE}
+            "op11_ranked_search": treap.ORACLE, "op12_exact_top_k": topk.ORACLE}
