@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm import identity
 from assay.session import write_and_read
 
 ROLL, BASE, DIVISOR = 3, 31, 4
+NO_ID = (1 << 63) - 1
 
 
 def _line_hash(line: Column) -> Column:
@@ -42,6 +44,13 @@ def _text(lines: Column | str, c: Column) -> Column:
     return F.array_join(F.slice(lines, c["from"] + 1, c["to"] - c["from"]), "\n")
 
 
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``row``, ``t``, and ``d`` and ``th`` that name a row."""
+    name = lambda c: F.col(f"`{c}`")
+    base = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), name(text).cast("string").alias("t"), name(doc_id).alias("_key"))
+    return identity.ordered(base, "_key", NO_ID).select("row", "t", "d", F.xxhash64(F.col("_key").isNull(), "t").alias("th"))
+
+
 def remove_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every row of ``docs``: ``row`` (a struct of its columns), ``kept`` (its text without the chunks
     that an earlier chunk equals), ``n_lines``, ``n_removed`` (lines).
@@ -51,9 +60,7 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "d
     text get the same verdict. Should different texts share a digest, all of them stay. An empty table
     gives an empty table; other columns stay inside ``row``.
     """
-    base = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("t"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(F.col(text)).alias("th"))
+    base = _keyed(docs, text, doc_id)
     cut = _cut(base.select("d", "th", "t"))
     chunks = write_and_read(
         cut.select("d", "th", F.explode(F.transform("chunks", lambda c, k: F.struct(
@@ -92,9 +99,7 @@ def remove_repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc
     Null texts, rows that repeat an id and text, digests (128 bits here) and other columns are treated
     as there.
     """
-    base = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("t"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(F.col(text)).alias("th"))
+    base = _keyed(docs, text, doc_id)
     split, digest = F.split(F.coalesce("t", F.lit("")), "\n", -1), ["h1", "h2"]
     pairs = write_and_read(
         base.select("d", "th", split.alias("lines"))

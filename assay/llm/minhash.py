@@ -18,9 +18,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm import identity
 from assay.llm.components import connected_components
 from assay.llm.words import NOT_SPACE, U64, WORDS, Words, inside, mix, slices
 from assay.session import write_and_read
@@ -75,11 +76,11 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
             for lo, hi in slices(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
                 sets = shingle_sets(batch.column(1)[lo:hi].to_pylist(), k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()),
-                     pa.array([minima(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n_shingles", "key", "minima"])
+                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()),
+                     pa.array([minima(s).tobytes() for s in sets], pa.binary())], ["doc_id", "th", "n_shingles", "key", "minima"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, key binary, minima binary")
+    return docs.select("doc_id", "_t", "th").mapInArrow(run, f"doc_id {id_type}, th binary, n_shingles long, key binary, minima binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -183,26 +184,33 @@ def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, least: float,
             .applyInArrow(compare, "a binary, b binary").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``doc_id``, ``th`` (digest of the text; both name a row), ``_t``."""
+    t = F.col(f"`{text}`").cast("string").cast("binary")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), identity.digest(t).alias("th"), t.alias("_t"))
 
-    Sets of ``shingle`` consecutive words are linked when 100 * intersection >= percent * union;
-    words are cut at ASCII white space, A-Z lower-cased, and a shorter text is one shingle. The
-    smallest id of a component stays. Null, empty and blank texts have no shingles and stay alone.
-    Rows that repeat an id and text get the same verdict. A row without an id joins the rows whose
-    set equals its own; it is kept only if its component has no id at all. Empty tables give empty
-    tables; other columns are not read.
-    """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("_t"))
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+
+
+def _row() -> Column:
+    """Name of a row; the order is by id, rows without one last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+
+
+def _components(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id, th, n_shingles, key``) and classes (``key, rep``: first row of the component). Classes are named by
+    their sets' keys throughout, so whether their rows have ids changes no link."""
     rows = write_and_read(_sketches(docs, shingle), "minhash-rows")
-    classes = write_and_read(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("minima").alias("minima")), "minhash-classes")
+    classes = write_and_read(rows.where("n_shingles > 0").groupBy("key").agg(F.min(_row()).alias("rep"), F.min("minima").alias("minima")), "minhash-classes")
     least = percent / 100 - SLACK
 
     bands = _bands(classes)
     buckets = write_and_read(bands.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-buckets")
     members = write_and_read(bands.join(buckets, "bucket"), "minhash-members")  # bucket, key, hub, n
-    wanted = classes.join(members.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = write_and_read(_sets(docs.join(wanted.distinct(), "doc_id", "left_semi"), shingle)
+    wanted = classes.join(members.select("key").distinct(), "key", "left_semi").select("rep.doc_id", "rep.th")
+    sets = write_and_read(_sets(docs.join(wanted, _same(docs, wanted), "left_semi"), shingle)
                           .groupBy("key").agg(F.min("members").alias("members")), "minhash-sets")
 
     checked = write_and_read(members.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "minhash-pairs")
@@ -220,12 +228,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
         stars = connected_components(edges.union(more))
 
     named = classes.select("key", "rep").join(stars.withColumnRenamed("u", "key"), "key", "left").select("key", "rep", F.coalesce("v", "key").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    verdict = write_and_read(named.join(smallest, "comp").select("key", "component_id"), "minhash-verdict")
-    alone = F.col("n_shingles") == 0
+    first = named.groupBy("comp").agg(F.min("rep").alias("first"))
+    return rows, write_and_read(named.join(first, "comp").select("key", F.col("first").alias("rep")), "minhash-verdict")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+
+    Sets of ``shingle`` consecutive words are linked when 100 * intersection >= percent * union;
+    words are cut at ASCII white space, A-Z lower-cased, and a shorter text is one shingle. The
+    smallest id of a component stays. Null, empty and blank texts have no shingles and stay alone.
+    Rows that repeat an id and text get the same verdict; an id on several texts has one for each. Rows without an
+    id link like others; they are kept only if their component has no id at all (use ``one_of_each`` to get
+    one row of those too). Ids may be of any orderable type. Empty tables give empty tables; other columns are not read.
+    """
+    rows, verdict = _components(_keyed(docs, text, doc_id), shingle, percent)
+    alone, component = F.col("n_shingles") == 0, F.col("rep.doc_id")
     return rows.join(verdict, "key", "left").select(
-        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(component).alias("component_id"),
+        (alone | F.col("doc_id").eqNullSafe(component)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows of ``docs``, whole: one of each component of ``near_duplicates`` (of smallest id, those without one last, then
+    smallest digest of the text), and all without shingles. Rows are judged by id and text, so of two texts under one id one may
+    go; of rows that repeat both one stays."""
+    rows, verdict = _components(_keyed(docs, text, doc_id), shingle, percent)
+    judged = write_and_read(rows.where("n_shingles > 0").join(verdict, "key").select("doc_id", "th", (_row() == F.col("rep")).alias("stays")), "minhash-judged")
+    goes = judged.where("NOT stays").select("doc_id", "th").distinct()
+    repeated = write_and_read(judged.where("stays").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*columns).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), identity.digest(F.col(f"`{text}`").cast("string").cast("binary")).alias("th"))
+    out = named.join(goes, _same(named, goes), "left_anti")
+    if not repeated.isEmpty():
+        out = out.join(repeated, _same(out, repeated), "left_anti").union(
+            out.join(repeated, _same(out, repeated), "left_semi").dropDuplicates(["doc_id", "th"]))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

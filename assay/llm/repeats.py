@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm import identity
 from assay.llm.words import U64, slices
 from assay.session import write_and_read
 
@@ -68,10 +69,10 @@ def pieces_of(grams: np.ndarray, span: int, lows: np.ndarray, highs: np.ndarray)
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``d`` (NO_ID for a missing id) and ``th`` name a row; rows alike in both are alike in all that counts here."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.hash(t, F.lit(5)).alias("th"),
-                       F.col(doc_id).alias("doc_id"), t.cast("binary").alias("_t"))
+    """``d`` (NO_ID for a missing id) and ``th`` (128 bits) name a row; rows alike in both are alike in all that counts here."""
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("_t"))
+    return identity.ordered(docs, "doc_id", NO_ID).select("d", identity.digest("_t").alias("th"), "doc_id", "_t")
 
 
 Pieces = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -99,7 +100,7 @@ def all_pieces(docs: DataFrame, pieces: Pieces, batches_of: Callable[[list[int]]
                     [pa.array(m.view(np.int64)), pa.array(p.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
                      pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["m", "p", "d", "th", "at", "n"])
 
-    return docs.select("d", "th", "_t").mapInArrow(run, "m long, p long, d long, th int, at int, n int")
+    return docs.select("d", "th", "_t").mapInArrow(run, "m long, p long, d long, th binary, at int, n int")
 
 
 def repeated_windows(docs: DataFrame, every: DataFrame, *, by_document: bool, pack: Pack, sorter: Sorter, digests: Digests,

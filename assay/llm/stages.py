@@ -39,10 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays. Rows
-    that repeat an id share its fate."""
-    goes = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, with or without ids; two
+    texts under one id are judged apart."""
+    return minhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assay.llm import components, lines, minhash, stages
 
@@ -104,7 +105,7 @@ def groups_by_hand(rows, k, percent):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and 100 * len(a & b) >= percent * len(a | b) and (None not in (rows[i][0], rows[j][0]) or a == b):
+            if a and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     out = []
     for i, (d, _) in enumerate(rows):
@@ -138,6 +139,34 @@ def test_minhash(spark, monkeypatch, block):
     assert minhash.near_duplicates(docs.limit(0), 4).count() == 0
 
 
+def test_bridge_without_id(spark):
+    """A row without an id links its neighbours as one with an id does."""
+    w = [f"w{i}" for i in range(76)]
+    for middle, out in ((2, {(1, 1), (2, 1), (3, 1)}), (None, {(1, 1), (None, 1), (3, 1)})):
+        docs = spark.createDataFrame([(1, " ".join(w[:60])), (middle, " ".join(w[:68])), (3, " ".join(w))], "doc_id long, text string")
+        assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()} == out
+        assert [r.doc_id for r in minhash.one_of_each(docs).collect()] == [1]
+
+
+def test_one_of_each(spark):
+    """Copies without ids go, clean texts that share an id with a copy stay, repeated rows leave one."""
+    t, u, v = (" ".join(f"{x}{i}" for i in range(40)) for x in "tuv")
+    rows = [(1, t, "a"), (None, t, "a"), (None, t, "b"), (5, u, "a"), (5, t, "a"), (6, v, "a"), (6, v, "a"), (None, "no id", "c"), (None, "no id", "c"), (8, "", "a"), (9, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `th.x` string").withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
+    out = minhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, t), (5, u), (6, v), (None, "no id"), (8, ""), (9, None)], key=repr)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.component_id for r in minhash.near_duplicates(named).where("n_shingles > 0").collect()} == {"d1", "d5", "d6", None}
+
+
+def test_lines_of_text_ids(spark):
+    t = "one line\ntwo lines\nthree lines\nfour lines"
+    docs = spark.createDataFrame([("b", t), ("a", t), (None, t)], "doc_id string, text string").withColumn("ids.x", F.lit(1))
+    for f in (lines.remove_repeated_chunks, lines.remove_repeated_runs):
+        assert sorted((r.row.doc_id or "", r.n_removed) for r in f(docs).collect()) == [("", 4), ("a", 0), ("b", 4)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     path = rng.permutation(40).tolist()

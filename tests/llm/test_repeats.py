@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assay.llm import repeats, substrings, suffixes
 
@@ -79,6 +80,28 @@ def test_missing_ids(spark):
     assert {r.n_removed for r in suffixes.digest_columns(suffixes.remove_repeats(docs, 4, 2)).collect()} == {13}
 
 
+def test_texts_that_share_a_short_hash(spark):
+    """Rows without an id, and rows under one id, are told apart by more than 32 bits of their texts."""
+    texts = spark.range(200_000).select(F.concat(*[F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(i))) for i in range(10)]).alias("t"))
+    pair = texts.groupBy(F.hash("t", F.lit(5))).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").first().ts[:2]
+    a, b = pair
+    for i in (None, 3):
+        docs = spark.createDataFrame([(i, a), (i, b), (7, a)], "doc_id long, text string")
+        got = {(r.doc_id, bytes(r.kept).decode()) for r in suffixes.remove_repeats(docs).collect()}
+        assert got == {(i, ""), (i, b), (7, "")}
+        words = spark.createDataFrame([(i, " ".join(a)), (i, " ".join(b)), (7, " ".join(a))], "doc_id long, text string")
+        got = {(r.doc_id, bytes(r.kept).decode().replace(" ", "")) for r in substrings.remove_repeats(words).collect()}
+        assert got == {(i, a), (i, b), (7, "")}
+
+
+def test_text_ids_and_odd_names(spark):
+    docs = spark.createDataFrame([("b", "x y z w v", 1), ("a", "x y z w v", 1), (None, "q x y z w", 2), ("c", None, 3)], "`my.id` string, `the.text` string, th int")
+    got = substrings.remove_repeats(docs, 4, 2, text="the.text", doc_id="my.id")
+    assert sorted((r.doc_id or "", r.kept.decode()) for r in got.collect()) == [("", "q x y z w"), ("a", "v"), ("b", ""), ("c", "")]
+    got = suffixes.remove_repeats(docs, 5, 3, text="the.text", doc_id="my.id")
+    assert sorted((r.doc_id or "", len(r.kept)) for r in got.collect()) == [("", 2), ("a", 0), ("b", 0), ("c", 0)]
+
+
 def test_order_and_parts():
     rng = np.random.default_rng(4)
     for letters, n, width in ((2, 9000, 70), (26, 6000, 45), (1, 500, 20), (3, 5000, 12)):
