@@ -8,13 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assay.functions.hashing import h32
+from assay.operators import boosting
 from assay.operators.metrics import class_balance_weights
-from assay.session import scratch_root
 
 ML_PARALLELISM = 8  # one-vs-rest fits submitted together
 KNN_BLOCK = 4096
@@ -80,22 +80,11 @@ def linear_svm_head(train, evalu, k, c=1.0, max_iter=100, folds=3) -> DataFrame:
     return score(platt, _ovr_raw(fit(train), evalu))
 
 
-def boosted_trees_head(train, evalu, k, rounds=20, depth=3, weights: DataFrame | None = None, seed=42) -> DataFrame:
-    """Boosted trees per class; posteriors are the normalised sigmoids of the class scores.
-
-    ``weights`` is (path, weight) and optional. Spark cuts the lineage of the rounds by checkpoints.
-    """
-    sc = train.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_root(train.sparkSession))
+def boosted_trees_head(train, evalu, k, rounds=1200, depth=6, weights: DataFrame | None = None, seed=42, **settings) -> DataFrame:
+    """Softmax boosting over histograms, all classes together. ``weights`` is (path, weight) and optional."""
     d = train.join(weights, "path") if weights is not None else train.withColumn("weight", F.lit(1.0))
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed)
-    ovr = OneVsRest(classifier=gbt, featuresCol="x", labelCol="label", weightCol="weight", rawPredictionCol="rawPrediction",
-                    parallelism=ML_PARALLELISM)
-    raw = _ovr_raw(ovr.fit(_vec(d)), evalu)
-    s = F.transform("features", lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * x)))
-    q = raw.select("path", "y", s.alias("s")).withColumn("t", F.aggregate("s", F.lit(0.0), lambda a, x: a + x))
-    return q.select("path", "y", F.transform("s", lambda x: x / F.col("t")).alias("p"))
+    one = lambda x: x.withColumn("candidate", F.lit(0))
+    return boosting.boosted_posteriors(one(d), one(evalu), k, boosting.Settings(rounds=rounds, depth=depth, seed=seed, **settings)).drop("candidate")
 
 
 def fourier_features(rows: DataFrame, dim: int, gamma: float, size: int, seed: int) -> DataFrame:
