@@ -8,15 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assay.functions.hashing import h32
-from assay.operators import boosting
+from assay.operators import boosting, linear
 from assay.operators.metrics import class_balance_weights
 
-ML_PARALLELISM = 8  # one-vs-rest fits submitted together
 KNN_BLOCK = 4096
 KNN_PIVOTS = 256
 
@@ -55,29 +54,11 @@ def random_forest_head(train, evalu, k, trees=500, min_leaf=1, max_depth=30, see
     return score(rf.fit(_vec(train)), evalu)
 
 
-def _ovr_raw(model, rows: DataFrame) -> DataFrame:
-    out = model.transform(_vec(rows))
-    return out.select("path", "y", vector_to_array("rawPrediction").alias("features"))
-
-
-def linear_svm_head(train, evalu, k, c=1.0, max_iter=100, folds=3) -> DataFrame:
-    """Linear SVM per class; posteriors by a logistic model on out-of-fold margins.
-
-    The classes are fitted side by side; every iteration of a class is one pass over the rows.
-    """
-    n = train.count()
-    def fit(rows):
-        svc = LinearSVC(featuresCol="x", labelCol="label", regParam=1.0 / (c * n), maxIter=max_iter, standardization=False)
-        return OneVsRest(classifier=svc, featuresCol="x", labelCol="label", rawPredictionCol="rawPrediction",
-                         parallelism=ML_PARALLELISM).fit(_vec(rows))
-    cut = F.pmod(h32(F.concat_ws("|", F.lit("platt"), "path")), F.lit(folds))
-    tagged = train.withColumn("_cut", cut)
-    margins = None
-    for f in range(folds):
-        m = _ovr_raw(fit(tagged.where(F.col("_cut") != f).drop("_cut")), tagged.where(F.col("_cut") == f).drop("_cut"))
-        margins = m if margins is None else margins.unionByName(m)
-    platt = logreg_model(margins, c=1.0, balance=False)
-    return score(platt, _ovr_raw(fit(train), evalu))
+def linear_svm_head(train, evalu, k, c=1.0, folds=3, gap=1e-3) -> DataFrame:
+    """Linear machines of all classes and folds, fitted together on their duals; posteriors are the folds' mean of sigmoids of
+    the margins, each sigmoid fitted on the rows that its machine hasn't seen."""
+    one = lambda x: x.withColumn("candidate", F.lit(0)).withColumn("weight", F.lit(1.0))
+    return linear.many_posteriors(one(train), one(evalu), linear.LinearSvm(k, [c], folds, gap)).select("path", "y", "p")
 
 
 def boosted_trees_head(train, evalu, k, rounds=1200, depth=6, weights: DataFrame | None = None, seed=42, **settings) -> DataFrame:
