@@ -80,11 +80,11 @@ class Logistic:
         def value_and_gradient(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             def part(b: Block) -> np.ndarray:
                 x, w = with_one(b.x), (b.w * weight[b.y])
-                z = np.einsum("nd,mkd->mnk", x, theta)
+                z = (x @ theta.reshape(-1, dim + 1).T).reshape(len(x), len(cs), k).transpose(1, 0, 2)
                 p = softmax(z)
                 loss = -(np.log(np.maximum(p[:, np.arange(len(b.y)), b.y], 1e-300)) * w).sum(axis=1)
                 p[:, np.arange(len(b.y)), b.y] -= 1
-                g = np.einsum("mnk,nd->mkd", p * w[None, :, None], x)
+                g = (p * w[None, :, None]).transpose(1, 0, 2).reshape(len(x), -1).T @ x
                 return np.concatenate([loss[:, None], g.reshape(len(cs), -1)], axis=1)
 
             r = through(part)

@@ -205,12 +205,30 @@ def _(spark, sf):
 
 
 SPECS = ["alpha", "beta", "gamma", "alpha+beta", "alpha+gamma", "beta+gamma", SPEC]
-LEARNERS = {"logreg": {}, "knn": {"neighbours": 5}, "rbf": {}, "gbt": BOOSTING}
+LEARNERS = {"logreg": {}, "knn": {"neighbours": 5}, "rbf": {}, "gbt": BOOSTING, "linsvm": {}}
 
 
 @query("grid_selection")
 def _(spark, sf):
-    return mo.grid_selection(fx.features(spark, sf), SPECS, LEARNERS, [0.0, 0.95], [0.1, 1.5, 10.0], fx.CLASSES, normal_idx=0).drop("thresholds")
+    return mo.grid_selection(fx.features(spark, sf), SPECS, LEARNERS, [0.0, 0.95], [0.1, 1.5, 10.0], fx.CLASSES, normal_idx=0)
+
+
+# distances of a spec are sums over its blocks
+SQL_GRID_KNN = """SELECT * FROM (WITH st AS (SELECT backbone, i, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT backbone, unnest(f) AS x, unnest(range(1,len(f)+1)) AS i FROM features WHERE role='train') GROUP BY ALL),
+z AS (SELECT path, role, y, v.backbone, v.i, (x-m)/CASE WHEN s>1e-14 THEN s ELSE 1 END AS x FROM (SELECT path, role, y, backbone, unnest(f) AS x, unnest(range(1,len(f)+1)) AS i FROM features WHERE role<>'test') v JOIN st USING (backbone, i)),
+d AS (SELECT a.path, a.y, b.path AS near, b.y AS ny, a.backbone, sum((a.x-b.x)*(a.x-b.x)) AS d2 FROM z a JOIN z b USING (backbone, i) WHERE a.role='valid' AND b.role='train' GROUP BY ALL),
+sp AS (SELECT spec, unnest(string_split(spec,'+')) AS backbone FROM (VALUES ('alpha'),('beta'),('gamma'),('alpha+beta'),('alpha+gamma'),('beta+gamma'),('alpha+beta+gamma')) s(spec)),
+r AS (SELECT spec, path, y, ny, row_number() OVER (PARTITION BY spec, path ORDER BY round(sum(d2),9), near) AS rk FROM sp JOIN d USING (backbone) GROUP BY spec, path, y, near, ny),
+v AS (SELECT spec, path, y, ny, count(*) AS n FROM r WHERE rk<=5 GROUP BY ALL),
+p AS (SELECT spec, path, y, first(ny ORDER BY n DESC, ny) AS y_pred FROM v GROUP BY ALL),
+c AS (SELECT spec, y, count(*) AS n, count(*) FILTER (WHERE y=y_pred) AS hit FROM p GROUP BY ALL)
+SELECT spec, 'knn' AS learner, round(sum(hit)/sum(n),6) AS valid_acc, round(avg(hit/n),6) AS valid_bal_acc FROM c GROUP BY spec)"""
+
+
+@query("grid_selection_knn", SQL_GRID_KNN, ("features",))
+def _(spark, sf):
+    g = mo.grid_selection(fx.features(spark, sf), SPECS, {"knn": LEARNERS["knn"]}, [0.0], [1.5], fx.CLASSES, normal_idx=0)
+    return r6(g.select("spec", "learner", "valid_acc", "valid_bal_acc"))
 
 
 def _cv_folds(d):

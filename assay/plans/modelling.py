@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assay.functions import posterior as po
-from assay.operators import joins, metrics as me, selection
+from assay.operators import boosting, joins, linear, metrics as me, selection
+from assay.operators.ensemble import weight_search
 from assay.operators.features import fit_representation
 from assay.operators.heads import fit_head
 from assay.session import write_and_read
@@ -51,68 +52,124 @@ def prepared(rows: DataFrame, mode: str, pca: float, dims: list[int] | None, fit
     return rep, z
 
 
-def rule_scores(post: DataFrame, k: int, normal_idx: int | None, thresholds: list[float], temperature: float) -> DataFrame:
-    """(rule, accuracy, bal_acc, f1, fnr_macro, fnr_presence, exp_risk) of the four rules."""
-    d = selection.decision_rules(post.withColumn("method", F.lit("m")), thresholds, k, normal_idx, temperature)
-    d = write_and_read(d.select("rule", "y_true", F.col("decision").alias("y_pred")).groupBy("rule", "y_true", "y_pred").agg(
-        F.count(F.lit(1)).alias("n")), "rules")
-    rep = me.metrics_full_report(d, ["rule"], k).select(
-        "rule", "accuracy", F.col("balanced_accuracy").alias("bal_acc"), F.col("f1_macro").alias("f1"), "fnr_macro")
-    cost = selection.cost_table(d.select("y_true").distinct().unionByName(d.select(F.col("y_pred").alias("y_true")).distinct()).distinct(), normal_idx)
-    risk = me.expected_risk(d, ["rule"], cost).withColumnRenamed("expected_risk", "exp_risk")
-    y, p = F.col("y_true"), F.col("y_pred")
-    pres = d.groupBy("rule").agg((F.sum(F.when((y != normal_idx) & (p == normal_idx), F.col("n")).otherwise(0))
-                                  / F.sum(F.when(y != normal_idx, F.col("n")).otherwise(0))).alias("fnr_presence"))
-    return rep.join(risk, "rule").join(pres, "rule")
-
-
-def grid_row(post: DataFrame, k: int, normal_idx: int | None) -> dict:
-    """Thresholds, temperature, calibration and the scores of the four rules for one
-    configuration's validation posteriors (path, y, p)."""
-    d = write_and_read(post.select("path", F.col("y").alias("y_true"), "p"), "posteriors")
-    thr = {r["cls"]: r["threshold"] for r in selection.tune_thresholds(d, [], k).collect()}
-    thresholds = [float(thr.get(i, 0.5)) for i in range(k)]
-    t = selection.temperature_fit(d.withColumn("one", F.lit(1)), ["one"]).first()["temperature"]
-    rules = {r["rule"]: r.asDict() for r in rule_scores(d, k, normal_idx, thresholds, t).collect()}
-    raw = me.ece(d.withColumn("one", F.lit(1)), ["one"], k).first()
-    cal = me.ece(d.select("y_true", po.temperature_apply(F.col("p"), t, k).alias("p")).withColumn("one", F.lit(1)), ["one"], k).first()
-    best = max(rules, key=lambda r: (round(rules[r]["bal_acc"], 6), -rules[r]["exp_risk"]))
-    a = rules["argmax"]
-    return {
-        "valid_acc": a["accuracy"], "valid_bal_acc": a["bal_acc"], "valid_f1": a["f1"],
-        "temperature": t, "ece_raw": raw["ece"] if raw else 0.0, "ece_cal": cal["ece"] if cal else 0.0,
-        "decision_rule": best, "rule_bal_acc": rules[best]["bal_acc"], "rule_exp_risk": rules[best]["exp_risk"],
-        "thresholds": thresholds,
-    }
-
-
-GRID_SCHEMA = ("candidate int, spec string, learner string, pca double, c double, n_components int, explained double, "
-               "fit_seconds double, valid_acc double, valid_bal_acc double, valid_f1 double, temperature double, ece_raw double, "
-               "ece_cal double, decision_rule string, rule_bal_acc double, rule_exp_risk double, thresholds array<double>")
+RULES = ["argmax", "threshold", "bayes", "bayes_cal"]
+
+
+def scored(posts: DataFrame, k: int, normal_idx: int | None, thresholds: DataFrame | None = None) -> DataFrame:
+    """One row for each candidate of ``posts`` (candidate, path, y_true, p): thresholds, temperature, calibration and the scores of
+    the best of four rules, all candidates in the same passes. ``thresholds`` (candidate, th) stand instead of tuned ones.
+
+    Best is the highest balanced accuracy at six decimals, then the lowest expected risk, then the first rule.
+    """
+    key = ["candidate"]
+    tuned = selection.tune_thresholds(posts, key, k).groupBy("candidate").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("cls", "threshold"))), lambda s: s["threshold"]).alias("tuned"))
+    given = thresholds if thresholds is not None else posts.sparkSession.createDataFrame([], "candidate int, th array<double>")
+    settings = tuned.join(given, key, "left").join(selection.temperature_fit(posts, key).select("candidate", "temperature"), key).select(
+        "candidate", F.coalesce("th", "tuned").alias("thresholds"), "temperature")
+    settings = write_and_read(settings, "candidate-settings")
+    d = posts.join(F.broadcast(settings), key)  # one row for each candidate
+    decided = selection.decision_rules(d.withColumn("method", F.col("candidate")), F.col("thresholds"), k, normal_idx, F.col("temperature"))
+    by = ["candidate", "rule"]
+    cm = write_and_read(decided.select(F.col("method").alias("candidate"), "rule", "y_true", F.col("decision").alias("y_pred"))
+                        .groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n")), "candidate-rules")
+    codes = posts.sparkSession.range(k).select(F.col("id").cast("int").alias("y_true"))
+    report = me.metrics_full_report(cm, by, k).join(me.expected_risk(cm, by, selection.cost_table(codes, normal_idx)), by)
+    place = F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule"))
+    best = report.groupBy("candidate").agg(
+        F.max_by(F.struct(F.col("rule").alias("decision_rule"), F.col("balanced_accuracy").alias("rule_bal_acc"), F.col("expected_risk").alias("rule_exp_risk")),
+                 F.struct(F.round("balanced_accuracy", 6), -F.col("expected_risk"), -place)).alias("b")).select("candidate", "b.*")
+    plain = report.where("rule = 'argmax'").select("candidate", F.col("accuracy").alias("valid_acc"), F.col("balanced_accuracy").alias("valid_bal_acc"),
+                                                   F.col("f1_macro").alias("valid_f1"))
+    raw = me.ece(posts, key, k).withColumnRenamed("ece", "ece_raw")
+    cal = me.ece(d.select("candidate", "y_true", po.temperature_apply(F.col("p"), F.col("temperature"), k).alias("p")), key, k).withColumnRenamed("ece", "ece_cal")
+    return plain.join(settings, key).join(raw, key).join(cal, key).join(best, key)
+
+
+#: learners with a penalty; the others have one candidate for each spec and projection
+PENALISED = ("logreg", "linsvm", "rbf")
+
+
+def grid_posteriors(train: DataFrame, valid: DataFrame, learner: str, kwargs: dict, groups: int, cs: list[float], k: int) -> DataFrame:
+    """(grp, c, path, y, p) of one learner on all representations; ``candidate`` of the rows is the representation. All penalties of
+    all representations are fitted in the same job or, for large ones, the same passes."""
+    if learner == "knn":
+        parts = None
+        for g in range(groups):
+            a, b = (d.where(F.col("candidate") == g).select("path", "y", "features") for d in (train, valid))
+            post = fit_head("knn", a, b, k, **kwargs).select(F.lit(g).alias("candidate"), "path", "y", "p")
+            parts = post if parts is None else parts.unionByName(post)
+    elif learner == "gbt":
+        parts = boosting.boosted_posteriors(train, valid, k, boosting.Settings(**kwargs))
+    elif learner == "linsvm":
+        parts = linear.many_posteriors(train, valid, linear.LinearSvm(k, cs, **kwargs))
+    elif learner in ("logreg", "rbf"):
+        parts = linear.many_posteriors(train, valid, linear.Logistic(k, cs, fourier=(256, 42) if learner == "rbf" else None, **kwargs))
+    else:
+        raise ValueError(f"unknown grid learner {learner!r}")
+    c = F.col("c") if learner in PENALISED else F.lit(float(cs[0]))
+    return parts.select(F.col("candidate").alias("grp"), c.alias("c"), "path", "y", "p")
 
 
 def grid_selection(features: DataFrame, specs: list[str], learners: dict[str, dict], pcas: list[float], cs: list[float],
-                   k: int, normal_idx: int | None = None, standardize: str = "per_dim") -> DataFrame:
-    """Spec x learner x (pca, C) grid, each fitted on train and scored on validation only.
+                   k: int, normal_idx: int | None = None, standardize: str = "per_dim", ensemble: bool = True) -> DataFrame:
+    """Spec x learner x (pca, C) grid, fitted on train and scored on validation only, and for each (spec, pca, C) an ensemble
+    of all learners with weights searched on validation.
 
-    A configuration that fails stops the run: an incomplete grid must not be selected from.
+    ``fit_seconds`` is the learner's time over the number of its candidates. A learner that fails stops the run: an
+    incomplete grid must not be selected from.
     """
     spark = features.sparkSession
-    rows = []
+    groups, rows = [], None
     for spec in specs:
         data = fused(features.where(F.col("role").isin("train", "valid")), spec)
         for pca in pcas:
             rep, z = prepared(data, standardize, pca, None)
-            train, valid = z.where("role = 'train'").drop("role"), z.where("role = 'valid'").drop("role")
-            for learner, kwargs in learners.items():
-                for c in cs if learner in ("logreg", "linsvm", "rbf") else cs[:1]:
-                    t = time.time()
-                    kw = dict(kwargs, c=c) if learner in ("logreg", "linsvm", "rbf") else kwargs
-                    row = grid_row(fit_head(learner, train, valid, k, **kw), k, normal_idx)
-                    rows.append((len(rows), spec, learner, pca, c, rep.n_components, rep.explained, time.time() - t,
-                                 *[row[x] for x in ("valid_acc", "valid_bal_acc", "valid_f1", "temperature", "ece_raw", "ece_cal",
-                                                    "decision_rule", "rule_bal_acc", "rule_exp_risk", "thresholds")]))
-    return spark.createDataFrame(rows, GRID_SCHEMA)
+            z = z.select(F.lit(len(groups)).alias("candidate"), "path", "y", "role", F.col("features").cast("array<double>").alias("features"), F.lit(1.0).alias("weight"))
+            rows = z if rows is None else rows.unionByName(z)
+            groups.append((spec, pca, rep.n_components, rep.explained))
+    train, valid = (rows.where(F.col("role") == r).drop("role") for r in ("train", "valid"))
+    posts, conf, number = None, [], {}
+    for learner, kwargs in learners.items():
+        t = time.time()
+        own = write_and_read(grid_posteriors(train, valid, learner, kwargs, len(groups), cs, k), f"grid-{learner}")
+        each = [(g, c) for g in range(len(groups)) for c in (cs if learner in PENALISED else cs[:1])]
+        for g, c in each:
+            number[learner, g, c] = len(conf)
+            conf.append((len(conf), *groups[g][:1], learner, groups[g][1], float(c), *groups[g][2:], (time.time() - t) / len(each), None))
+        own = own.withColumn("learner", F.lit(learner))
+        posts = own if posts is None else posts.unionByName(own)
+    names = sorted(learners)
+    searched = None
+    if ensemble and len(names) > 1:
+        # learners without a penalty are members of each penalty's ensemble
+        all_cs = F.array(*[F.lit(float(c)) for c in cs])
+        members = posts.withColumn("c", F.explode(F.when(F.col("learner").isin(*PENALISED), F.array("c")).otherwise(all_cs)))
+        at = F.col("grp") * len(cs) + F.array_position(all_cs, F.col("c")).cast("int") - 1
+        members = members.select(at.cast("int").alias("candidate"), "grp", "c", F.col("learner").alias("method"), "path", F.col("y").alias("y_true"), "p")
+        t = time.time()
+        searched = write_and_read(weight_search(members, names, k), "grid-weights")
+        found = {r["candidate"]: r for r in searched.collect()}
+        for i, r in sorted(found.items()):
+            g, c = divmod(i, len(cs))
+            number["ens", g, cs[c]] = len(conf)
+            conf.append((len(conf), groups[g][0], "ens", groups[g][1], float(cs[c]), *groups[g][2:], (time.time() - t) / len(found), r["weights"]))
+        weight = F.get("weights", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("method")).cast("int") - 1)
+        parts = members.join(F.broadcast(searched), "candidate").select("grp", "c", "path", "y_true", F.posexplode("p").alias("i", "x"), weight.alias("w"))
+        mixed = parts.groupBy("grp", "c", "path", "y_true", "i").agg(F.sum(F.col("x") * F.col("w")).alias("x")).groupBy("grp", "c", "path", F.col("y_true").alias("y")).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("p"))
+        posts = posts.unionByName(mixed.withColumn("learner", F.lit("ens")))
+    ids = spark.createDataFrame([(n, learner, g, float(c)) for (learner, g, c), n in number.items()], "candidate int, learner string, grp int, c double")
+    posts = write_and_read(posts.join(F.broadcast(ids), ["learner", "grp", "c"]).select("candidate", "path", F.col("y").alias("y_true"), "p"), "grid-posteriors")
+    own = None
+    if searched is not None:
+        own = searched.select((F.col("candidate") / len(cs)).cast("int").alias("grp"), F.get(all_cs, F.col("candidate") % len(cs)).alias("c"), F.col("thresholds").alias("th")).join(
+            ids.where("learner = 'ens'"), ["grp", "c"]).select("candidate", "th")
+    table = spark.createDataFrame(conf, "candidate int, spec string, learner string, pca double, c double, n_components int, explained double, "
+                                        "fit_seconds double, ensemble_weights array<double>")
+    return table.join(scored(posts, k, normal_idx, own), "candidate").select(
+        *table.columns[:-1], "valid_acc", "valid_bal_acc", "valid_f1", "temperature", "ece_raw", "ece_cal", "decision_rule", "rule_bal_acc", "rule_exp_risk",
+        "thresholds", "ensemble_weights")
 
 
 def baseline_table(features: DataFrame, baselines: list[Baseline], k: int, dims: dict[str, int]) -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,7 @@ def asked(monkeypatch, module, function, name):
 
 def test_grid(monkeypatch):
     got = asked(monkeypatch, mo, "grid_selection", "grid_selection")
-    assert len({frozenset(s.split("+")) for s in got["specs"]}) == 7 and set(got["learners"]) == {"logreg", "knn", "rbf", "gbt"}
+    assert len({frozenset(s.split("+")) for s in got["specs"]}) == 7 and set(got["learners"]) == {"logreg", "knn", "rbf", "gbt", "linsvm"} and got["ensemble"]
     assert got["pcas"] == [0.0, 0.95] and got["cs"] == [0.1, 1.5, 10.0]
     assert got["learners"]["gbt"] == {"rounds": 1200, "depth": 6}
 
