@@ -6,6 +6,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 
 from assay.llm import bpe, decontaminate, exact
@@ -111,3 +112,27 @@ def test_filters_merge():
     m = exact.CountingQuotientFilter.merged(parts)
     v, n = np.unique(f, return_counts=True)
     assert (m.fingerprints() == v).all() and (m.counts == n).all()
+
+
+def test_filter_bits():
+    """Bytes carry all counts; a slot takes its remainder and some bits, below eight bytes in all."""
+    rng = np.random.default_rng(2)
+    for n, width in ((0, 56), (1, 56), (2, 7), (50, 6), (5000, 50), (20_000, 64)):
+        f = rng.integers(0, 1 << min(width, 63), n, dtype=np.uint64)
+        f = np.concatenate([f, np.repeat(f[:3], 300), f[: n // 9]])
+        q = exact.CountingQuotientFilter(f, width=width)
+        again = exact.CountingQuotientFilter.from_bytes(q.to_bytes())
+        v, c = np.unique(f, return_counts=True)
+        assert (again.fingerprints() == v).all() and (again.counts == c).all()
+        assert all(again.count_of(int(x)) == k for x, k in list(zip(v, c))[:200]) and again.count_of((1 << width) - 2) == dict(zip(v.tolist(), c)).get((1 << width) - 2, 0)
+        if n == 5000:
+            assert len(q.to_bytes()) < 6 * len(v)
+        both = again.merge(exact.CountingQuotientFilter(f[::2], width=width))
+        v, c = np.unique(np.concatenate([f, f[::2]]), return_counts=True)
+        assert (both.fingerprints() == v).all() and (both.counts == c).all()
+
+
+def test_filters_of_partitions(spark):
+    fp = spark.range(20_000).selectExpr("shiftrightunsigned(xxhash64(id % 17000), 8) AS fp").union(spark.range(3000).selectExpr("77L AS fp")).repartition(7)
+    got = {r.fp: r.n for r in exact.repeated_fingerprints(fp, 5).collect()}
+    assert got == {r.fp: r.n for r in fp.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").collect()} and got[77] == 3000
