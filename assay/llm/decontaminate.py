@@ -10,6 +10,7 @@ windows than one set may hold is sent and scanned in blocks of bounded size, one
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,17 @@ class WindowSet:
         return hits
 
 
+_BUILT: dict[str, WindowSet] = {}
+
+
+def _window_set(name: str, windows: list[str], items: list[list[str]]) -> WindowSet:
+    """The set of a broadcast block, built once by each worker process."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = WindowSet(windows, items)
+    return _BUILT[name]
+
+
 def _join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -109,9 +121,9 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = 10, text: str = "text
     blocks = max(1, math.ceil(windows.count() / block_windows))
     windows = windows.withColumn("_block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     rows = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("n_words"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"),
-        F.col(text).cast("string").cast("binary").alias("_t"))
+        F.col(f"`{text}`").cast("string").cast("binary").alias("_t"))
     for b in range(blocks):
         rows = _scan(rows, windows.where(F.col("_block") == b).select("window", "items"))
         if b + 1 < blocks:
@@ -122,11 +134,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = 10, text: str = "text
 def _scan(rows: DataFrame, block: DataFrame) -> DataFrame:
     """Add one block's hits. The block is about ``block_windows`` long, whatever the benchmark's size."""
     got = block.collect()
-    sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got]))
+    sent, name = rows.sparkSession.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got])), uuid.uuid4().hex
     names = ("word_from", "word_to", "byte_from", "byte_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = WindowSet(*sent.value)
+        windows = _window_set(name, *sent.value)
         for batch in batches:
             texts = batch.column(4)
             for lo, hi in slices(pc.binary_length(texts).fill_null(0).to_pylist()):

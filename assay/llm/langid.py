@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: SlicedFilters, text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("_t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("_t"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
 

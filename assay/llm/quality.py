@@ -181,5 +181,5 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
                 s = sent.value.score(statistics(batch.column(1)[lo:hi].to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(s)], ["row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").cast("binary").alias("_t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").cast("binary").alias("_t"))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))

@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     Null and empty texts have features of zero and are scored like others; rows are independent, so
     repeated rows and rows without an id are scored too. An empty table gives an empty table.
     """
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text).cast("string").cast("binary").alias("_t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").cast("binary").alias("_t"))
     if model.trees is None:
         return rows.select("row", F.lit(float(model.base)).alias("score"))
     scored = _margin(model.trees, _features(rows, model.lexicon))
