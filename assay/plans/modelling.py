@@ -177,15 +177,22 @@ def baseline_table(features: DataFrame, baselines: list[Baseline], k: int, dims:
     baselines that cannot run keep a row whose status says why."""
     spark = features.sparkSession
     ok, missing = available(features, baselines)
-    preds = None
+    preds, done = None, []
     for b in ok:
-        data = fused(features, b.spec)
-        widths = [dims[x] for x in b.spec.split("+")]
-        _, z = prepared(data, b.standardize, b.pca, widths)
-        post = fit_head(b.head, z.where("role = 'train'").drop("role"), z.where("role = 'test'").drop("role"), k, **b.kwargs)
-        p = write_and_read(post.select(F.lit(b.key).alias("method"), "path", F.col("y").alias("y_true"),
-                                       po.argmax_lowest(F.col("p"), k).alias("y_pred"), "p"), "baseline")
+        try:
+            data = fused(features, b.spec)
+            widths = [dims[x] for x in b.spec.split("+")]
+            _, z = prepared(data, b.standardize, b.pca, widths)
+            post = fit_head(b.head, z.where("role = 'train'").drop("role"), z.where("role = 'test'").drop("role"), k, **b.kwargs)
+            p = write_and_read(post.select(F.lit(b.key).alias("method"), "path", F.col("y").alias("y_true"),
+                                           po.argmax_lowest(F.col("p"), k).alias("y_pred"), "p"), "baseline")
+        except Exception as e:  # of any learner; the others' rows are still wanted
+            lines = str(e).strip().splitlines()
+            missing.append((b.key, f"failed: {type(e).__name__}" + (f": {lines[0][:200]}" if lines else "")))
+            continue
+        done.append(b)
         preds = p if preds is None else preds.unionByName(p)
+    ok = done
     conf = spark.createDataFrame([(b.key, b.spec, b.head, b.standardize, b.pca) for b in baselines],
                                  "method string, spec string, head string, standardize string, pca double")
     status = spark.createDataFrame([(b.key, "ok") for b in ok] + missing, "method string, status string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import ensemble, heads, linear, selection
 from assay.operators.blocks import Block, Sums
+from assay.plans import modelling
 from tests.test_boosting import example, table
 
 
@@ -114,3 +115,19 @@ def test_weight_search(spark, settings):
     if not settings:
         old = selection.ensemble_weight_search(preds.drop("candidate"), members, k, 0.25).first()
         assert old.valid_score == pytest.approx(got[0].valid_score) and (old.wid == -1) == (at == 0)
+
+
+def test_baseline_that_fails_keeps_its_row(spark, monkeypatch):
+    x, y, _ = example(12)
+    rows = [("alpha", f"r{i}", int(b), "test" if i % 4 == 0 else "train", [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
+    f = spark.createDataFrame(rows, "backbone string, path string, y int, role string, features array<double>")
+
+    def broken(*args, **kwargs):
+        raise ArithmeticError("no such thing")
+
+    monkeypatch.setitem(heads.HEADS, "rf", broken)
+    table = [modelling.Baseline("good", "alpha", "logreg"), modelling.Baseline("bad", "alpha", "rf"), modelling.Baseline("absent", "beta", "logreg")]
+    out, preds = modelling.baseline_table(f, table, 3, {"alpha": 4})
+    got = {r.method: (r.status, r.accuracy is not None) for r in out.collect()}
+    assert got == {"good": ("ok", True), "bad": ("failed: ArithmeticError: no such thing", False), "absent": ("missing blocks: beta", False)}
+    assert preds.select("method").distinct().count() == 1
