@@ -175,6 +175,12 @@ def requested_vs_effective(binds: DataFrame) -> DataFrame:
     return out
 
 
+def substitutions(binds: DataFrame) -> DataFrame:
+    """(role, backbone, requested, effective, note, binds) of the binds served at another setting than the requested one."""
+    return binds.where(F.col("requested") != F.col("effective")).groupBy(
+        "role", "backbone", "requested", "effective", "note").agg(F.count(F.lit(1)).alias("binds"))
+
+
 def stamp_reportability(results: DataFrame, cohort: str, rules: DataFrame) -> DataFrame:
     """Adds reportable, reason and the share of the cohort seen elsewhere to every row.
 

@@ -116,6 +116,17 @@ def type_error_rate(preds: DataFrame, keys: list[str], normal_idx: int | None) -
     return preds.groupBy(*keys).agg(expr.alias("type_error_rate"))
 
 
+def miss_kinds(cm: DataFrame, keys: list[str], normal_idx: int | None) -> DataFrame:
+    """Rows, presence misses and type errors per key from confusion counts, as ``miss_rate_presence`` and
+    ``type_error_rate`` give them from rows."""
+    y, p, n = F.col("y_true"), F.col("y_pred"), F.col("n")
+    other = F.lit(True) if normal_idx is None else y != normal_idx
+    called = F.lit(False) if normal_idx is None else p == normal_idx
+    of_others = lambda cond: F.sum(F.when(other & cond, n).otherwise(0)) / F.sum(F.when(other, n))
+    missed = F.lit(None).cast("double") if normal_idx is None else of_others(called)
+    return cm.groupBy(*keys).agg(F.sum("n").alias("n"), missed.alias("fnr_presence"), of_others((p != y) & ~called).alias("type_error_rate"))
+
+
 def expected_risk(cm: DataFrame, keys: list[str], cost: DataFrame) -> DataFrame:
     """Mean cost; ``cost`` is (y_true, y_pred, cost) with k*k rows, hence broadcast."""
     return (

@@ -301,7 +301,15 @@ def _(spark, sf):
 
 @query("readiness_report", """SELECT 'overlap' AS part, 'train|valid' AS key, 0::BIGINT AS n UNION ALL SELECT 'overlap','train|test',0 UNION ALL SELECT 'overlap','valid|test',0
 UNION ALL SELECT 'rows', backbone||'|'||role, count(*) FROM features GROUP BY backbone, role
-UNION ALL SELECT 'baseline', k, r FROM (VALUES ('block_rbf',1),('block_knn',1),('wide_rbf',1),('fused_logreg_pca',1),('block_forest',1),('linear_probe',1),('missing_block',0)) b(k,r)""", ("features",))
+UNION ALL SELECT 'baseline', k, r FROM (VALUES ('block_rbf',1),('block_knn',1),('wide_rbf',1),('fused_logreg_pca',1),('block_forest',1),('linear_probe',1),('missing_block',0)) b(k,r)
+UNION ALL SELECT 'substitution', role||'|'||backbone||'|3|1|'||CASE WHEN source_row%4=1 THEN '' ELSE 'served un-augmented' END, count(*) FROM features
+WHERE role<>'train' AND backbone='gamma' AND source_row%2=1 GROUP BY ALL""", ("features",))
 def _(spark, sf):
     from assay.plans.reports import readiness_report
-    return readiness_report(fx.features(spark, sf), BASELINES)
+    f = fx.features(spark, sf)
+    # a bind log: three views asked for outside train, one served for the odd rows of one block
+    short = (F.col("role") != "train") & (F.col("backbone") == "gamma") & (F.col("source_row") % 2 == 1)
+    asked = F.when(F.col("role") == "train", 1).otherwise(3)
+    binds = f.select("role", "backbone", asked.alias("requested"), F.when(short, 1).otherwise(asked).alias("effective"),
+                     F.when(short & (F.col("source_row") % 4 != 1), "served un-augmented").alias("note"))
+    return readiness_report(f, BASELINES, binds)

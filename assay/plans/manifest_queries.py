@@ -550,6 +550,40 @@ def _(spark, sf):
     return readers.scan_manifest_documents(spark, out)
 
 
+cte("bedrows", """SELECT 'bed'||(pos//500) AS bed, split AS role, pos%500 AS pos, path, label, grp, 'raw' AS source_bed, upper(split) AS source_split, pos AS source_row,
+dense_rank() OVER (PARTITION BY pos//500 ORDER BY label)-1 AS y FROM indexed""", "indexed")
+
+
+def _beds(spark, sf) -> str:
+    """Whole documents of at most 500 rows a role, written and named."""
+    out = scratch_path(spark, "manifest-beds")
+    m = sp.manifest_row_index(fx.manifest_table(spark, sf)).select(
+        F.expr("concat('bed', pos div 500)").alias("bed"), F.col("split").alias("role"), (F.col("pos") % 500).alias("pos"), "path", "label", "grp",
+        F.lit("raw").alias("source_bed"), F.upper("split").alias("source_split"), F.col("pos").alias("source_row"))
+    sinks.write_whole_manifests(m, out, "/data", "group", 42, "registered")
+    return out
+
+
+@query("scan_whole_manifest", """SELECT bed, '/data' AS root, 'group' AS group_unit, 42::BIGINT AS seed, 'registered' AS builder, role, pos, path, y::INT AS y, label, grp, source_bed,
+source_split, source_row, md5(e) AS recorded_digest FROM bedrows JOIN (SELECT bed AS b, role AS r, string_agg(path||chr(0)||y||chr(10), '' ORDER BY pos) AS e
+FROM bedrows GROUP BY ALL) ON b=bed AND r=role""", ("bedrows",))
+def _(spark, sf):
+    return readers.scan_whole_manifest(spark, _beds(spark, sf)).drop("built_at")
+
+
+@query("manifest_document_mismatch", """SELECT bed, role, count(*)::INT AS entries FROM (SELECT *, row_number() OVER (PARTITION BY bed, role ORDER BY pos) AS i FROM bedrows)
+WHERE bed IN (SELECT bed FROM bedrows WHERE role='train' AND pos=7 AND source_row%1000>=500) AND role='train' GROUP BY ALL""", ("bedrows",))
+def _(spark, sf):
+    # every second bed's training entries get one other path behind the digest's back
+    d = spark.read.schema(readers.DOCUMENT).json(_beds(spark, sf)).withColumn("document", F.col("bed"))
+    odd = F.substring("bed", 4, 20).cast("bigint") % 2 == 1
+    edit = lambda role, s: F.when(odd & (role == "train") & (F.size(s["files"]) > 7), s.withField(
+        "files", F.transform(s["files"], lambda x, i: F.when(i == 7, F.concat(x, F.lit("~"))).otherwise(x)))).otherwise(s)
+    out = scratch_path(spark, "manifest-edited")
+    d.withColumn("splits", F.transform_values("splits", edit)).write.partitionBy("document").json(out)
+    return readers.scan_manifest_digests(spark, out).where("recorded <> recomputed").select("bed", "role", "entries")
+
+
 @query("scan_predictions", f"SELECT fold, method, path, patient_id, y_true, y_pred, {NA('p_0')} AS p_0, {NA('p_3')} AS p_3 FROM preds", ("preds",))
 def _(spark, sf):
     out = scratch_path(spark, "preds-csv")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from assay.functions import posterior as po
 from assay.operators import audits, joins, metrics as me, selection, tests_paired as tp
 from assay.plans import fixtures as fx
-from assay.plans.registry import NA, query
+from assay.plans.registry import NA, cte, query
 
 K = fx.K
 NORMAL = 2
@@ -506,6 +506,34 @@ def _(spark, sf):
     return r6(evaluate_report(fx.preds(spark, sf), THRESHOLDS, K, NORMAL))
 
 
+_POOLED = "SELECT method, patient_id, min(y_true) AS y_true, [avg(p_0),avg(p_1),avg(p_2),avg(p_3)] AS p FROM preds GROUP BY ALL"
+_CASES = f"(SELECT method, 'slice' AS level, patient_id, y_true, p FROM preds UNION ALL SELECT method, 'group', patient_id, y_true, p FROM ({_POOLED}))"
+cte("cases", f"SELECT * FROM {SQL_CAL.replace('FROM preds', 'FROM ' + _CASES)}", "preds")
+cte("reportcases", "SELECT method, level, rule, patient_id, y_true, y_pred FROM (" + " UNION ALL ".join(
+    f"SELECT method, level, '{rule}' AS rule, patient_id, y_true, {text} AS y_pred FROM cases" for rule, text in (
+        ("argmax", f"{ARG}::INT"), ("threshold", SQL_THR), ("bayes", sql_bayes("p")), ("bayes_cal", sql_bayes("pc")))) + ")", "cases")
+_RK = "method, level, rule"
+cte("reportrules", f"""SELECT *, accuracy-max(accuracy) FILTER (WHERE rule='argmax') OVER (PARTITION BY method, level) AS accuracy_gain FROM (
+SELECT {_RK}, sum(tp)/sum(a)::DOUBLE AS accuracy, avg(CASE WHEN a>0 THEN r END) AS balanced_accuracy, avg(CASE WHEN pr+r>0 THEN 2*pr*r/(pr+r) ELSE 0 END) AS f1_macro,
+avg(pr) AS precision_macro, avg(r) AS recall_macro, sum(CASE WHEN a>0 THEN (a-tp)::DOUBLE/a ELSE 0 END)/{K} AS fnr_macro FROM (
+SELECT *, CASE WHEN p>0 THEN tp::DOUBLE/p ELSE 0 END AS pr, CASE WHEN a>0 THEN tp::DOUBLE/a ELSE 0 END AS r FROM
+{sql_per_class(f"(SELECT {_RK}, y_true, y_pred, count(*) AS n FROM reportcases GROUP BY ALL)", _RK)}) GROUP BY {_RK}) JOIN (
+SELECT {_RK}, count(*) AS n, avg({COST_SQL.replace("i=j", "y_true=y_pred").replace("i<>", "y_true<>").replace("i=", "y_true=").replace("j=", "y_pred=").replace("j<>", "y_pred<>")}) AS expected_risk,
+avg((y_pred={NORMAL})::INT) FILTER (WHERE y_true<>{NORMAL}) AS fnr_presence, avg((y_pred<>y_true AND y_pred<>{NORMAL})::INT) FILTER (WHERE y_true<>{NORMAL}) AS type_error_rate
+FROM reportcases GROUP BY {_RK}) USING ({_RK})""", "reportcases")
+
+
+def report_parts(spark, sf):
+    from assay.plans.reports import held_out_report
+    return held_out_report(fx.preds_table(spark, sf), THRESHOLDS, K, NORMAL, TEMP)
+
+
+@query("held_out_report", f"""SELECT {_RK}, {", ".join(f"round({c},6) AS {c}" for c in "accuracy balanced_accuracy f1_macro precision_macro recall_macro fnr_macro expected_risk fnr_presence type_error_rate accuracy_gain".split())},
+CAST(n AS BIGINT) AS n, rule='threshold' AS selected FROM reportrules""", ("reportrules",))
+def _(spark, sf):
+    return r6(report_parts(spark, sf)["rules"])
+
+
 @query("build_prediction_rows", f"""SELECT fold, method, path, patient_id, y_true, {ARG}::INT AS y_pred, {", ".join(NA(f"p_{i}") + f" AS p_{i}" for i in range(K))} FROM preds""", ("preds",))
 def _(spark, sf):
     p = fx.preds(spark, sf).drop("y_pred")

@@ -34,6 +34,63 @@ def evaluate_report(preds: DataFrame, thresholds: list[float], k: int, normal_id
     return me.metrics_from_confusion(cm, keys, k)
 
 
+def held_out_report(preds: DataFrame, thresholds: list[float], k: int, normal_idx: int | None, temperature: float = 1.0,
+                selected: str = "threshold", n_rep: int = 2000, seed: int = 42) -> dict[str, DataFrame]:
+    """The full report on held-out posteriors (method, path, patient_id, y_true, p), one table per part.
+
+    - rules: every decision rule on rows and on pooled groups, with macro scores, presence misses, type errors, expected
+      risk and the accuracy gained over the plain argmax; ``selected`` marks the rule chosen on validation.
+    - calibration: calibration error of the posteriors as given and after the temperature.
+    - intervals: accuracy under resampling of groups, for the rows under the selected rule, and for the pooled groups under
+      the better of the selected rule and the argmax (the argmax where both are level).
+    - row_intervals: accuracy and balanced accuracy under resampling of rows, and how many times wider the grouped interval is
+      (null where either has no width).
+
+    A group's truth is its majority label. No input rows: all tables are empty.
+    """
+    from assay.operators import resample as rs, selection
+    from assay.session import write_and_read
+
+    slices = preds.select("method", F.lit("slice").alias("level"), "path", "patient_id", "y_true", "p")
+    truth = me.group_majority_label(preds, "patient_id", "y_true")
+    pooled = me.mean_posterior_pool(preds, ["method", "patient_id"], k).join(truth, "patient_id").select(
+        "method", F.lit("group").alias("level"), F.col("patient_id").alias("path"), "patient_id", "y_true", "p")
+    cases = slices.unionByName(pooled)
+    # the rules carry (method, path, y_true); level and group travel inside the method
+    who = F.struct("method", "level", "patient_id").alias("method")
+    decided = selection.decision_rules(cases.select(who, "path", "y_true", "p"), thresholds, k, normal_idx, temperature).select(
+        "method.*", "y_true", "rule", F.col("decision").alias("y_pred"))
+    decided = write_and_read(decided, "report-decisions")
+    keys = ["method", "level", "rule"]
+    cm = write_and_read(me.confusion_counts(decided, keys), "report-counts")
+    codes = preds.sparkSession.range(k).select(F.col("id").cast("int").alias("y_true"))
+    risk = me.expected_risk(cm, keys, selection.cost_table(codes, normal_idx))
+    rules = me.metrics_full_report(cm, keys, k).join(risk, keys).join(me.miss_kinds(cm, keys, normal_idx), keys)
+    plain = rules.where("rule = 'argmax'").select("method", "level", F.col("accuracy").alias("_plain"))
+    rules = write_and_read(rules.join(plain, ["method", "level"]).withColumn("accuracy_gain", F.col("accuracy") - F.col("_plain"))
+                           .withColumn("selected", F.col("rule") == selected).drop("_plain"), "report-rules")
+
+    raw = me.ece(preds, ["method"], k).withColumnRenamed("ece", "ece_raw")
+    warm = preds.select("method", "y_true", po.temperature_apply(F.col("p"), temperature, k).alias("p"))
+    calibration = raw.join(me.ece(warm, ["method"], k).withColumnRenamed("ece", "ece_cal"), "method")
+
+    gained = (F.col("level") == "group") & (F.col("accuracy_gain") <= 0)
+    used = rules.where("selected").select("method", "level", F.when(gained, "argmax").otherwise(F.lit(selected)).alias("rule"))
+    of_rule = rules.select(*keys, "accuracy").join(used, keys)
+    names = sorted(r["method"] for r in used.select("method").distinct().collect())  # the methods under report
+    chosen = decided.join(F.broadcast(used), keys)  # two rows a method
+    spans = [rs.cluster_bootstrap_accuracy(chosen.where(F.col("level") == level), names, n_rep, seed).withColumn("level", F.lit(level))
+             for level in ("slice", "group")] if names else []
+    each = spans[0].unionByName(spans[1]) if names else preds.sparkSession.createDataFrame(
+        [], "method string, mean double, lo double, hi double, n_units bigint, level string")
+    intervals = of_rule.join(each, ["method", "level"])
+
+    rows_cm = cm.where((F.col("level") == "slice") & (F.col("rule") == selected))
+    iid = rs.iid_bootstrap(rows_cm, ["method"], k, n_rep, seed)
+    ratio = rs.ci_width_ratio(each.where("level = 'slice'"), iid, "method")
+    return {"rules": rules, "calibration": calibration, "intervals": intervals, "row_intervals": iid.join(ratio, "method", "left")}
+
+
 def oof_analysis(preds: DataFrame, a: str, b: str, k: int, n_rep: int = 2000, seed: int = 42) -> dict[str, DataFrame]:
     """The post-hoc report on out-of-fold predictions: intervals, paired differences, exact
     tests, group decisions, fold metrics and their mean and SD."""
@@ -81,8 +138,12 @@ def paired_comparison_report(preds: DataFrame, proposed: str, baselines: list[st
             "comparisons": comps.withColumn("comparison", F.concat(F.lit(f"{proposed} minus "), "baseline"))}
 
 
-def readiness_report(features: DataFrame, baselines: list) -> DataFrame:
-    """(part, key, n): role overlap, feature rows per block and role, runnable baselines (1 or 0)."""
+def readiness_report(features: DataFrame, baselines: list, binds: DataFrame | None = None) -> DataFrame:
+    """(part, key, n): role overlap, feature rows per block and role, runnable baselines (1 or 0), and, of the bind log
+    ``binds`` (role, backbone, requested, effective, note), the binds served at another setting than the requested one.
+
+    A substitution's key is role|backbone|requested|effective|note. A bind whose effective setting is unknown is none.
+    """
     from assay.operators.manifests import role_crossing_groups
     from assay.plans.modelling import available
 
@@ -92,4 +153,9 @@ def readiness_report(features: DataFrame, baselines: list) -> DataFrame:
         F.lit("rows").alias("part"), F.concat_ws("|", "backbone", "role").alias("key"), "n")
     ok, missing = available(features, baselines)
     run = features.sparkSession.createDataFrame([(b.key, 1) for b in ok] + [(key, 0) for key, _ in missing], "key string, n bigint")
-    return overlap.unionByName(rows).unionByName(run.select(F.lit("baseline").alias("part"), "key", "n"))
+    out = overlap.unionByName(rows).unionByName(run.select(F.lit("baseline").alias("part"), "key", "n"))
+    if binds is None:
+        return out
+    return out.unionByName(audits.substitutions(binds).select(
+        F.lit("substitution").alias("part"),
+        F.concat_ws("|", "role", "backbone", "requested", "effective", F.coalesce("note", F.lit(""))).alias("key"), F.col("binds").alias("n")))

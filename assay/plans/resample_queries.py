@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import joins, metrics as me, resample as rs
 from assay.plans import fixtures as fx
-from assay.plans.metric_queries import K, SQL_MEANP, SQL_VOTE, r6, sql_metrics, sql_mean_sd
+from assay.plans.metric_queries import ARG, K, SQL_MEANP, SQL_VOTE, r6, report_parts, sql_metrics, sql_mean_sd
 from assay.plans.registry import H, cte, query
 
 B = 2000
@@ -79,6 +79,25 @@ def _(spark, sf):
     return r6(rs.cluster_bootstrap_accuracy(fx.preds(spark, sf), METHODS, B, SEED))
 
 
+_USED = "CASE WHEN level='group' AND accuracy_gain<=0 THEN 'argmax' ELSE 'threshold' END AS rule"
+_ECE = lambda p, name: f"""SELECT method, sum(m/t::DOUBLE*abs(acc-conf)) AS {name} FROM (SELECT method, bin, count(*) AS m, avg(ok) AS acc, avg(conf) AS conf,
+sum(count(*)) OVER (PARTITION BY method) AS t FROM (SELECT method, conf, ok, len(list_filter(range(1,15), lambda i: conf > i*(1.0::DOUBLE/15))) AS bin FROM (
+SELECT method, list_max({p}) AS conf, ({ARG.replace("(p,", f"({p},").replace("list_max(p)", f"list_max({p})")}=y_true)::INT AS ok FROM cases WHERE level='slice')) GROUP BY method, bin) GROUP BY method"""
+
+
+@query("held_out_intervals", f"""SELECT method, level, rule, round(accuracy,6) AS accuracy, round(mean,6) AS mean, round(lo,6) AS lo, round(hi,6) AS hi,
+(SELECT count(*) FROM gt) AS n_units, round(ece_raw,6) AS ece_raw, round(ece_cal,6) AS ece_cal FROM (
+SELECT method, level, rule, avg(a) AS mean, quantile_cont(a,0.025) AS lo, quantile_cont(a,0.975) AS hi FROM (
+SELECT method, level, rule, rep, sum(w*h)/sum(w*n)::DOUBLE AS a FROM wts0 JOIN (
+SELECT method, level, rule, patient_id, sum((y_true=y_pred)::INT) AS h, count(*) AS n FROM reportcases
+JOIN (SELECT method, level, {_USED} FROM reportrules WHERE rule='threshold') USING (method, level, rule) GROUP BY ALL) USING (patient_id) GROUP BY ALL) GROUP BY ALL)
+JOIN reportrules USING (method, level, rule) JOIN ({_ECE("p", "ece_raw")}) USING (method) JOIN ({_ECE("pc", "ece_cal")}) USING (method)""",
+       ("wts0", "reportcases", "reportrules", "gt", "cases"))
+def _(spark, sf):
+    t = report_parts(spark, sf)
+    return r6(t["intervals"].join(t["calibration"], "method"))
+
+
 @query("iid_bootstrap")
 def _(spark, sf):
     return rs.iid_bootstrap(me.confusion_counts(fx.preds(spark, sf), ["method"]), ["method"], K, 1000, SEED)

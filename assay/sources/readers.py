@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.functions.text import IMAGE_PATTERN, normalize_split
 from assay.operators.manifests import manifest_digest
@@ -94,12 +94,29 @@ ROLE_DOCUMENT = ("struct<bed: string, role: string, root: string, class_names: a
 DOCUMENT = f"bed string, root string, class_names array<string>, group_unit string, seed bigint, built_at string, builder string, splits map<string, {ROLE_DOCUMENT}>"
 
 
-def scan_whole_manifest(spark: SparkSession, path: str) -> DataFrame:
+def document_digest(files: Column, labels: Column) -> Column:
+    """md5 over ``path NUL label newline`` of the entries in order, with forward slashes in paths."""
+    entry = lambda r: F.concat(F.regexp_replace(F.coalesce(r["f"], F.lit("")), r"\\\\", "/"), F.lit("\x00"),
+                               F.coalesce(r["y"].cast("string"), F.lit("")), F.lit("\n"))
+    return F.md5(F.array_join(F.transform(F.arrays_zip(files.alias("f"), labels.alias("y")), entry), ""))
+
+
+def scan_manifest_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(bed, role, entries, recorded, recomputed) of whole manifest documents, computed over each role's arrays where they
+    are read; ``recorded`` is null where a document keeps no digest."""
+    docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+    return docs.select("bed", F.explode("splits").alias("role", "s")).select(
+        "bed", "role", F.size("s.files").alias("entries"), F.col("s.digest").alias("recorded"),
+        document_digest(F.col("s.files"), F.col("s.labels")).alias("recomputed"))
+
+
+def scan_whole_manifest(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
     """Whole manifest documents (one JSON object per file, pretty-printed or not, each role with its
     parallel arrays) -> a row per file entry: the header's bed, root, group unit, seed and builder, the
     role, its position, path, label index and name, group, and the split and row it came from.
 
-    Arrays of unequal length and labels outside the class names are errors.
+    Arrays of unequal length and labels outside the class names are errors, and so is, unless ``verify`` is off, a role
+    whose recorded digest isn't that of its entries; a role without a digest is taken as it is.
     """
     docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
     head = ["bed", "root", "group_unit", "seed", "built_at", "builder"]
@@ -109,7 +126,9 @@ def scan_whole_manifest(spark: SparkSession, path: str) -> DataFrame:
     for c in ("labels", "source_splits", "source_rows", "groups"):
         uneven = uneven | (F.size(f"s.{c}") != n)
     stop = F.raise_error(F.concat(F.lit("arrays of unequal length: "), F.col("role"))).cast("string")
-    rows = each.withColumn("role", F.when(uneven, stop).otherwise(F.col("role"))).select(
+    changed = F.lit(verify) & (F.col("s.digest") != document_digest(F.col("s.files"), F.col("s.labels")))
+    edited = F.raise_error(F.concat(F.lit("manifest digest mismatch: "), F.col("bed"), F.lit("/"), F.col("role"))).cast("string")
+    rows = each.withColumn("role", F.when(uneven, stop).when(changed, edited).otherwise(F.col("role"))).select(
         *head, "role", F.col("s.source_bed").alias("source_bed"), F.col("s.class_names").alias("names"), F.col("s.digest").alias("recorded_digest"),
         F.posexplode(F.arrays_zip(*[F.col(f"s.{c}").alias(c) for c in ("files", "labels", "groups", "source_splits", "source_rows")])).alias("pos", "r"))
     off = F.raise_error(F.concat(F.lit("label outside the classes: "), F.col("r.files"))).cast("string")

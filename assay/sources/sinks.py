@@ -62,6 +62,29 @@ def write_manifest_documents(manifest: DataFrame, path: str, part_rows: int = 10
     write_new(out, path, "json")
 
 
+def write_whole_manifests(manifest: DataFrame, path: str, root: str, group_unit: str, seed: int, builder: str) -> None:
+    """Manifest (bed, role, pos, path, label, grp, source_bed, source_split, source_row) as whole documents, a folder and file
+    for each bed, with the digest of every role.
+
+    The format keeps a bed in one JSON object, so a task holds a bed's rows; beds are dealt over tasks. The class names are
+    the bed's labels in order.
+    """
+    from assay.sources.readers import document_digest
+
+    names = manifest.groupBy("bed").agg(F.array_sort(F.collect_set("label")).alias("class_names"))
+    rows = manifest.join(names, "bed").withColumn("y", (F.array_position("class_names", F.col("label")) - 1).cast("int"))
+    entry = F.struct("pos", "path", "y", "grp", "source_split", "source_row")
+    roles = rows.groupBy("bed", "class_names", "role").agg(F.array_sort(F.collect_list(entry)).alias("r"), F.first("source_bed").alias("source_bed"))
+    body = F.struct(
+        "bed", "role", F.lit(root).alias("root"), "class_names", F.col("r.path").alias("files"), F.col("r.y").alias("labels"), "source_bed",
+        F.col("r.source_split").alias("source_splits"), F.col("r.source_row").alias("source_rows"), F.lit(group_unit).alias("group_unit"),
+        F.col("r.grp").alias("groups"), document_digest(F.col("r.path"), F.col("r.y")).alias("digest"))
+    docs = roles.groupBy("bed", "class_names").agg(F.map_from_entries(F.collect_list(F.struct("role", body))).alias("splits"))
+    out = docs.select(F.col("bed").alias("document"), "bed", F.lit(root).alias("root"), "class_names", F.lit(group_unit).alias("group_unit"),
+                      F.lit(seed).cast("bigint").alias("seed"), F.lit(builder).alias("builder"), "splits")
+    out.write.mode("errorifexists").partitionBy("document").json(path)
+
+
 def write_feature_table(features: DataFrame, path: str, digest: DataFrame, rule_id: str) -> None:
     """Features (path, backbone, role, y, features) stored by block, role and a digest of the
     manifest and the preparation rule, so a changed manifest never meets an old table.

@@ -144,3 +144,24 @@ def test_weight_grid():
     assert len(selection.weight_grid(4)) == 286
     assert selection.weight_grid(2, 0.5) == [[0.0, 1.0], [0.5, 0.5], [1.0, 0.0]]
     assert po.default_weights(["svm", "xgboost"]) == pytest.approx([3 / 7, 4 / 7])
+
+
+def test_held_out_report(spark):
+    from assay.plans.reports import held_out_report
+
+    # two groups a class; thresholds move the second row of "n0" to class 1
+    rows = [("a", "n0", "n", 0, [0.9, 0.1]), ("a", "n1", "n", 0, [0.6, 0.4]), ("a", "q0", "q", 1, [0.6, 0.4]), ("a", "q1", "q", 1, [0.2, 0.8])]
+    d = spark.createDataFrame(rows, "method string, path string, patient_id string, y_true int, p array<double>")
+    t = {k: v.collect() for k, v in held_out_report(d, [0.5, 0.4], 2, 0, n_rep=50).items()}
+    at = {(r["level"], r["rule"]): r for r in t["rules"]}
+    plain, moved = at["slice", "argmax"], at["slice", "threshold"]
+    assert (plain["accuracy"], plain["fnr_presence"], plain["n"]) == (0.75, 0.5, 4)
+    assert (moved["accuracy"], moved["fnr_presence"], moved["accuracy_gain"]) == (0.75, 0.0, 0.0)
+    assert moved["selected"] and not plain["selected"] and plain["expected_risk"] == 2.5 and moved["expected_risk"] == 0.25
+    assert at["group", "argmax"]["accuracy"] == at["group", "threshold"]["accuracy"] == 1.0
+    spans = {r["level"]: r for r in t["intervals"]}
+    assert spans["group"]["rule"] == "argmax" and (spans["group"]["lo"], spans["group"]["hi"], spans["group"]["n_units"]) == (1.0, 1.0, 2)
+    assert spans["slice"]["rule"] == "threshold" and 0 <= spans["slice"]["lo"] <= spans["slice"]["hi"] <= 1
+    assert len(t["calibration"]) == len(t["row_intervals"]) == 1
+    none = held_out_report(d.limit(0), [0.5, 0.4], 2, 0, n_rep=50)
+    assert {k: v.count() for k, v in none.items()} == dict.fromkeys(t, 0)

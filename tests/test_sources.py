@@ -67,13 +67,18 @@ def test_result_files_with_own_headers(spark, tmp_path):
 
 
 def test_whole_manifest_document(spark, tmp_path):
+    import hashlib
     import json
 
+    def stamped(d):
+        body = "".join(f"{f}\0{y}\n" for f, y in zip(d["files"], d["labels"]))
+        return {**d, "digest": hashlib.md5(body.encode()).hexdigest()}
+
     role = lambda r, files: {"bed": "b", "role": r, "root": "/d", "class_names": ["cat", "dog"], "files": files, "labels": [i % 2 for i in range(len(files))],
                              "source_bed": "raw", "source_splits": ["Training"] * len(files), "source_rows": list(range(10, 10 + len(files))), "group_unit": "id",
                              "groups": ["g" + f for f in files], "recipe": {"x": 1}, "digest": "d" + r}
     doc = {"bed": "b", "root": "/d", "class_names": ["cat", "dog"], "group_unit": "id", "seed": 7, "built_at": "t", "builder": "me",
-           "splits": {"train": role("train", ["a", "b", "c"]), "test": role("test", ["z"])}, "audit": {}}
+           "splits": {"train": stamped(role("train", ["a", "b", "c"])), "test": stamped(role("test", ["z"]))}, "audit": {}}
     write(tmp_path / "m.json", json.dumps(doc, indent=2))
     got = {(r["role"], r["pos"]): r for r in readers.scan_whole_manifest(spark, str(tmp_path / "m.json")).collect()}
     r = got["train", 2]
@@ -82,3 +87,14 @@ def test_whole_manifest_document(spark, tmp_path):
     write(tmp_path / "n.json", json.dumps(doc))
     with pytest.raises(Exception, match="unequal length"):
         readers.scan_whole_manifest(spark, str(tmp_path / "n.json")).collect()
+    doc["splits"]["test"] = stamped(role("test", ["z"]))
+    doc["splits"]["train"]["files"] = ["a", "x", "c"]
+    write(tmp_path / "e.json", json.dumps(doc))
+    with pytest.raises(Exception, match="digest mismatch: b/train"):
+        readers.scan_whole_manifest(spark, str(tmp_path / "e.json")).collect()
+    assert readers.scan_whole_manifest(spark, str(tmp_path / "e.json"), verify=False).count() == 4
+    stale = readers.scan_manifest_digests(spark, str(tmp_path / "e.json")).where("recorded <> recomputed").collect()
+    assert [(r["role"], r["entries"]) for r in stale] == [("train", 3)]
+    del doc["splits"]["train"]["digest"]  # nothing recorded, nothing to hold it against
+    write(tmp_path / "f.json", json.dumps(doc))
+    assert readers.scan_whole_manifest(spark, str(tmp_path / "f.json")).count() == 4
