@@ -4,32 +4,29 @@ The all-pairs comparison becomes an exact blocked join:
 
 1. Identical vectors (after removing mean and scale) collapse to one *item* with a count, so a
    group of copies, however large, is one row. Counts of pairs are products of counts.
-2. Every item gets 2 numbers per orbit of grid cells: the scaled sum and the linear contrast of
-   the sorted values. No orientation changes them, and two unit vectors are at least as far
-   apart as these numbers. Correlation >= t means distance <= r = sqrt(2(1-t)), so items whose
-   numbers are farther apart than r cannot be a pair.
-3. Some of the numbers cut space into cells of width 2r. The left item sits in its own cell, the
-   right item goes to every cell its r-ball touches (at most 2 per number), so every pair meets
-   in one cell. Cells with many items are cut into block pairs; a task compares one block pair
-   by a matrix product and returns the survivors only.
-4. Survivors fetch their vectors and the eight correlations decide.
+2. Correlation >= t means distance <= r = sqrt(2(1-t)). A tree of splits (``metric_tree``) sends a
+   left item to one cell and a right item to every cell within r of it, so every pair meets in
+   one cell.
+3. Cells with many items are cut into block pairs; a task compares one block pair by a matrix
+   product of the ordered grids, tries the eight orientations on what is left and returns the
+   survivors only.
+4. Survivors fetch their vectors, and the exact correlation decides.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from assay.functions.vectors import SCAN_NAMES, VERIFY_NAMES, orbits, scan_orders, verify_orders
+from assay.functions.vectors import SCAN_NAMES, VERIFY_NAMES, scan_orders, verify_orders
+from assay.operators.metric_tree import metric_cells, ordered, reach_of
 from assay.session import cut_lineage, write_and_read
 
-CELL_ROWS = 4096       # items per block of a cell
-MAX_CELL_COORDS = 6    # 2**6 cells per right item at most
+CELL_ROWS = 4096       # items per cell, and per block of a cell that no split helps
+CHECK_PAIRS = 16384    # pairs turned at once
 SLACK = 1e-9
 
 # Fixed values of the duplicate rule.
@@ -40,21 +37,8 @@ IDENTICAL_CORR = 0.9999
 SWEEP = (0.999, 0.99, 0.98, 0.95, 0.90)
 
 
-def invariants(unit: np.ndarray, side: int) -> np.ndarray:
-    """(n, 2 * orbits) orientation-free numbers that never exaggerate a distance."""
-    out = []
-    for cells in orbits(side):
-        s = np.sort(unit[:, cells], axis=1)
-        m = len(cells)
-        out.append(s.sum(axis=1) / math.sqrt(m))
-        c = np.arange(m) - (m - 1) / 2.0
-        norm = math.sqrt(float((c * c).sum()))
-        out.append(s @ (c / norm) if norm > 0 else np.zeros(len(unit)))
-    return np.stack(out, axis=1)
-
-
 def describe(vectors: DataFrame, side: int, keep_scale: bool = False) -> DataFrame:
-    """(id, key, unit, norm, f) per vector; constant vectors have no direction and drop out.
+    """(id, key, unit, norm) per vector; constant vectors have no direction and drop out.
 
     ``key`` equals for vectors with the same direction, and with ``keep_scale`` the same
     contrast too.
@@ -77,51 +61,27 @@ def describe(vectors: DataFrame, side: int, keep_scale: bool = False) -> DataFra
             unit = x / norm[:, None]
             digits = np.round((x if keep_scale else unit) * 1e6).astype(np.int64) + 0
             key = [hashlib.md5(row.tobytes()).hexdigest() for row in digits]
-            yield head.assign(key=key, unit=list(unit), norm=norm, f=list(invariants(unit, side)))
+            yield head.assign(key=key, unit=list(unit), norm=norm)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*cols).schema.fields)
-    return vectors.mapInPandas(run, f"{fields}, key string, unit array<double>, norm double, f array<double>")
+    return vectors.mapInPandas(run, f"{fields}, key string, unit array<double>, norm double")
 
 
 def collapse(described: DataFrame) -> DataFrame:
-    """(item, n, unit, norm, f): one row per distinct vector, named by its smallest id."""
+    """(item, n, unit, norm): one row per distinct vector, named by its smallest id."""
     return described.groupBy("key").agg(
         F.min("id").alias("item"), F.count(F.lit(1)).alias("n"),
-        F.min_by("unit", "id").alias("unit"), F.min_by("norm", "id").alias("norm"), F.min_by("f", "id").alias("f"))
-
-
-def _cell_coords(items: DataFrame, width: int, r: float) -> list[int]:
-    """Which numbers cut space into cells: the widest-spread ones, until a cell is expected to
-    hold few items or more numbers would not help. The driver sees one row of spreads."""
-    row = items.agg(F.count(F.lit(1)).alias("n"), *[
-        F.stddev_pop(F.get("f", F.lit(i))).alias(f"s{i}") for i in range(width)]).first()
-    spread = sorted(((row[f"s{i}"] or 0.0, i) for i in range(width)), reverse=True)
-    expect, chosen = float(row["n"]), []
-    for sd, i in spread:
-        share = 2 * 2 * r * 0.2821 / sd if sd > 0 else 1.0  # mass of two cells under a normal
-        if len(chosen) == MAX_CELL_COORDS or expect < 64 or share > 0.9:
-            break
-        chosen.append(i)
-        expect *= share
-    return chosen
-
-
-def _home_cell(coords: list[int], r: float) -> Column:
-    parts = [F.floor(F.get("f", F.lit(i)) / F.lit(2 * r)).cast("string") for i in coords]
-    return F.concat_ws(",", *parts) if parts else F.lit("")
+        F.min_by("unit", "id").alias("unit"), F.min_by("norm", "id").alias("norm"))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, width: int, t: float, same: bool) -> DataFrame:
-    """(a, b) item pairs that the invariants cannot rule out at correlation ``t``.
+def candidate_pairs(left: DataFrame, right: DataFrame, side: int, t: float, same: bool) -> DataFrame:
+    """(a, b) item pairs of correlation ``t`` or more, up to rounding.
 
     ``same`` marks a self-join: only a < b is kept.
     """
-    r = math.sqrt(2 * (1 - t)) + SLACK
-    coords = _cell_coords(left, width, r)
-    probe = left.select(F.col("item").alias("a"), F.col("f").alias("fa"), _home_cell(coords, r).alias("cell"))
-    ends = [[F.floor((F.get("f", F.lit(i)) + d) / F.lit(2 * r)).cast("string") for d in (-r, r)] for i in coords]
-    spots = F.array_distinct(F.array(*[F.concat_ws(",", *c) for c in itertools.product(*ends)])) if coords else F.array(F.lit(""))
-    build = right.select(F.col("item").alias("b"), F.col("f").alias("fb"), F.explode(spots).alias("cell"))
+    home, guest = metric_cells(left, right, side, t, CELL_ROWS)
+    probe = home.select("cell", F.col("item").alias("a"), F.col("unit").alias("ua"))
+    build = guest.select("cell", F.col("item").alias("b"), F.col("unit").alias("ub"))
     # a cell is cut into blocks of CELL_ROWS rows on both sides; each left block meets each right
     # block once. The inner join with the other side's counts drops cells only one side uses.
     def blocks(d: DataFrame, name: str) -> DataFrame:
@@ -130,25 +90,30 @@ def candidate_pairs(left: DataFrame, right: DataFrame, width: int, t: float, sam
     both = blocks(probe, "na").join(blocks(build, "nb"), "cell")
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    p = probe.join(both, "cell").withColumn("i", own("a", "na")).withColumn("j", every("nb")).select("cell", "i", "j", "a", "fa")
-    q = build.join(both, "cell").withColumn("j", own("b", "nb")).withColumn("i", every("na")).select("cell", "i", "j", "b", "fb")
-    reach = r * r + SLACK
+    p = probe.join(both, "cell").withColumn("i", own("a", "na")).withColumn("j", every("nb")).select("cell", "i", "j", "a", "ua")
+    q = build.join(both, "cell").withColumn("j", own("b", "nb")).withColumn("i", every("na")).select("cell", "i", "j", "b", "ub")
+    floor = 1 - reach_of(t) ** 2 / 2 - SLACK
+    orders = scan_orders(side)
 
     def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
         a, b = left["a"].to_numpy(), right["b"].to_numpy()
-        fa, fb = np.stack(left["fa"].to_numpy()), np.stack(right["fb"].to_numpy())
-        sb = (fb * fb).sum(axis=1)
+        ua, ub = np.stack(left["ua"].to_numpy()), np.stack(right["ub"].to_numpy())
+        fa, fb = ordered(ua, side), ordered(ub, side)
         found = []
         for s in range(0, len(a), 1024):
-            x = fa[s:s + 1024]
-            near = (x * x).sum(axis=1)[:, None] + sb[None, :] - 2 * x @ fb.T <= reach
+            # ordering keeps the length 1, so the distance is a matrix product
+            near = fa[s:s + 1024] @ fb.T >= floor
             if same:
                 near &= a[s:s + 1024, None] < b[None, :]
             u, w = np.nonzero(near)
-            found.append(pd.DataFrame({"a": a[s + u], "b": b[w]}))
-        return pd.concat(found)
+            for k in range(0, len(u), CHECK_PAIRS):
+                x, y = s + u[k:k + CHECK_PAIRS], w[k:k + CHECK_PAIRS]
+                best = np.max([(ua[x][:, o] * ub[y]).sum(axis=1) for o in orders], axis=0)
+                x, y = x[best >= t - SLACK], y[best >= t - SLACK]
+                found.append(pd.DataFrame({"a": a[x], "b": b[y]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=object)
 
     keys = ["cell", "i", "j"]
     idt = dict(left.dtypes)["item"]
@@ -193,8 +158,7 @@ def _verify(orders: np.ndarray, turn_right: bool, side: int, names: tuple[str, .
 
 def scored_pairs(left: DataFrame, right: DataFrame, side: int, t: float, same: bool, strict: bool) -> DataFrame:
     """(a, b, corr, transform, residual, screen) of the item pairs with correlation >= t."""
-    width = 2 * len(orbits(side))
-    cand = candidate_pairs(left, right, width, t, same)
+    cand = candidate_pairs(left, right, side, t, same)
     x = left.select(F.col("item").alias("a"), F.col("unit").alias("ua"))
     y = right.select(F.col("item").alias("b"), F.col("unit").alias("ub"), F.col("norm").alias("nb"))
     full = cand.join(x, "a").join(y, "b")
@@ -217,7 +181,7 @@ def near_duplicate_pairs(vectors: DataFrame, side: int, t: float = 0.98) -> dict
 def _pairs(vectors: DataFrame, side: int, t: float, strict: bool) -> dict[str, DataFrame]:
     d = write_and_read(describe(vectors, side, keep_scale=strict), "described")
     items = write_and_read(collapse(d), "items")
-    members = d.join(items.select("key", "item"), "key").drop("unit", "norm", "f", "key")
+    members = d.join(items.select("key", "item"), "key").drop("unit", "norm", "key")
     across = scored_pairs(items, items, side, t, True, strict)
     within = items.where("n > 1").select(
         F.col("item").alias("a"), F.col("item").alias("b"), F.lit(1.0).alias("corr"),

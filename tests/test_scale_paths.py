@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import vectors as ve
-from assay.operators import dedup as dd, features as fe, heads, manifests as ma, resample as rs, selection as se, splits as sp, tests_paired as tp
+from assay.operators import dedup as dd, features as fe, heads, manifests as ma, metric_tree as mt, resample as rs, selection as se, splits as sp, tests_paired as tp
 
 
 def brute_pairs(rows, t, orders):
@@ -65,15 +65,15 @@ def test_constant_vectors_pair_with_nothing(spark):
     assert dd.near_duplicate_pairs(v, 8, 0.9)["pairs"].count() == 0
 
 
-def test_invariants_never_exceed_distance():
+def test_ordered_grids_never_exceed_distance():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 64))
     x -= x.mean(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = x + 0.05 * rng.normal(size=x.shape)
     for o in ve.scan_orders(8):
-        f, g = dd.invariants(x[:, o], 8), dd.invariants(y, 8)
-        assert np.allclose(f, dd.invariants(x, 8))
+        f, g = mt.ordered(x[:, o], 8), mt.ordered(y, 8)
+        assert np.allclose(f, mt.ordered(x, 8))
         assert (np.linalg.norm(f - g, axis=1) <= np.linalg.norm(x - y, axis=1) + 1e-9).all()
 
 
