@@ -10,7 +10,9 @@ The all-pairs comparison becomes an exact blocked join:
 3. Cells with many items are cut into block pairs; a task compares one block pair by a matrix
    product of the ordered grids, tries the eight orientations on what is left and returns the
    survivors only.
-4. Survivors fetch their vectors, and the exact correlation decides.
+4. The task decides the survivors exactly and hands them to a collector: all pairs, a spanning
+   forest (components), or sums by category (audits), so that a cluster of m near copies
+   costs an audit or a component O(m) rows.
 """
 
 from __future__ import annotations
@@ -74,34 +76,132 @@ def collapse(described: DataFrame) -> DataFrame:
         F.min_by("unit", "id").alias("unit"), F.min_by("norm", "id").alias("norm"))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, side: int, t: float, same: bool) -> DataFrame:
-    """(a, b) item pairs of correlation ``t`` or more, up to rounding.
+def _scores(orders: np.ndarray, turn_right: bool, side: int, names: tuple[str, ...]):
+    """Batch function of unit vectors and right norms: best correlation over the orientations,
+    its name, the residual in units of the right vector's norm, and the correlation of 2x2
+    block means."""
+    half = side // 2
+
+    def coarse(u: np.ndarray) -> np.ndarray:
+        g = u.reshape(len(u), half, 2, half, 2).mean(axis=(2, 4)).reshape(len(u), half * half)
+        g = g - g.mean(axis=1, keepdims=True)
+        n = np.sqrt((g * g).sum(axis=1, keepdims=True))
+        return np.divide(g, n, out=np.zeros_like(g), where=n > 0)
+
+    def run(a: np.ndarray, b: np.ndarray, norm: np.ndarray) -> dict:
+        moved, still = (b, a) if turn_right else (a, b)
+        scores = np.stack([(moved[:, o] * still).sum(axis=1) for o in orders], axis=1)
+        # equal scores up to rounding noise: the first orientation
+        which = (scores >= scores.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
+        rows = np.arange(len(a))
+        corr = scores[rows, which]
+        turned = moved[rows[:, None], orders[which]]
+        x, y = (a, turned) if turn_right else (turned, b)
+        resid = np.abs(corr[:, None] * x - y).mean(axis=1) * norm
+        # the coarse grid is screened over its own eight orientations
+        ca, cb = coarse(a), coarse(b)
+        screen = np.max([(ca[:, o] * cb).sum(axis=1) for o in scan_orders(half)], axis=0)
+        return {"corr": corr, "transform": np.array(names)[which], "residual": resid, "screen": screen}
+
+    return run
+
+
+class PairList:
+    """Collects every pair of a block pair."""
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
+        self.a, self.b = left["item"].to_numpy(), right["item"].to_numpy()
+        self.found: list[pd.DataFrame] = []
+
+    def wanted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.ones(len(x), dtype=bool)
+
+    def add(self, x: np.ndarray, y: np.ndarray, scores: dict) -> None:
+        self.found.append(pd.DataFrame({"a": self.a[x], "b": self.b[y], **scores}))
+
+    def result(self) -> pd.DataFrame | None:
+        return pd.concat(self.found) if self.found else None
+
+
+class Forest:
+    """Collects a spanning forest of a block pair: at most one edge a row, whatever the pairs.
+    Pairs already connected aren't verified."""
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
+        self.a, self.b = left["item"].to_numpy(), right["item"].to_numpy()
+        names, at = np.unique(np.concatenate([self.a, self.b]), return_inverse=True)  # an item may be on both sides
+        self.x, self.y = at[:len(self.a)], at[len(self.a):]
+        self.root = np.arange(len(names))
+        self.edges: list[tuple] = []
+
+    def wanted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.root[self.x[x]] != self.root[self.y[y]]
+
+    def add(self, x: np.ndarray, y: np.ndarray, scores: dict) -> None:
+        for i, j in zip(x.tolist(), y.tolist()):
+            one, two = self.root[self.x[i]], self.root[self.y[j]]
+            if one != two:
+                self.root[self.root == two] = one
+                self.edges.append((self.a[i], self.b[j]))
+
+    def result(self) -> pd.DataFrame | None:
+        return pd.DataFrame(self.edges, columns=["a", "b"]) if self.edges else None
+
+
+class CategoryCounts:
+    """Adds up the member pairs of a block pair by the categories of both ends. ``cats`` and
+    ``ms`` of an item are its categories and their numbers of members."""
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame):
+        def flat(d: pd.DataFrame, name: str) -> pd.DataFrame:
+            at = np.repeat(np.arange(len(d)), d["cats"].map(len))
+            return pd.DataFrame({name: at, f"cat_{name}": np.concatenate(d["cats"].to_list()), f"m_{name}": np.concatenate(d["ms"].to_list())})
+
+        self.a, self.b = flat(left, "a"), flat(right, "b")
+        self.sums: list[pd.DataFrame] = []
+
+    def wanted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.ones(len(x), dtype=bool)
+
+    def add(self, x: np.ndarray, y: np.ndarray, scores: dict) -> None:
+        j = pd.DataFrame({"a": x, "b": y}).merge(self.a, on="a").merge(self.b, on="b")
+        j["k"] = j["m_a"] * j["m_b"]
+        self.sums.append(j.groupby(["cat_a", "cat_b"], as_index=False)["k"].sum())
+
+    def result(self) -> pd.DataFrame | None:
+        return pd.concat(self.sums).groupby(["cat_a", "cat_b"], as_index=False)["k"].sum() if self.sums else None
 
-    ``same`` marks a self-join: only a < b is kept.
+
+def joined_blocks(left: DataFrame, right: DataFrame, side: int, t: float, same: bool, strict: bool,
+                  keep, collector: type, schema: str) -> DataFrame:
+    """What ``collector`` makes of the item pairs with correlation >= ``t`` that ``keep`` (a
+    function of their scores, or None) takes. ``same`` marks a self-join: only a < b counts.
+
+    ``left`` and ``right`` are (item, unit, norm, ...); the further columns reach the collector.
     """
     home, guest = metric_cells(left, right, side, t, CELL_ROWS)
-    probe = home.select("cell", F.col("item").alias("a"), F.col("unit").alias("ua"))
-    build = guest.select("cell", F.col("item").alias("b"), F.col("unit").alias("ub"))
     # a cell is cut into blocks of CELL_ROWS rows on both sides; each left block meets each right
     # block once. The inner join with the other side's counts drops cells only one side uses.
     def blocks(d: DataFrame, name: str) -> DataFrame:
         return d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name))
 
-    both = blocks(probe, "na").join(blocks(build, "nb"), "cell")
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    both = blocks(home, "na").join(blocks(guest, "nb"), "cell")
+    own = lambda n: F.pmod(F.xxhash64("item"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    p = probe.join(both, "cell").withColumn("i", own("a", "na")).withColumn("j", every("nb")).select("cell", "i", "j", "a", "ua")
-    q = build.join(both, "cell").withColumn("j", own("b", "nb")).withColumn("i", every("na")).select("cell", "i", "j", "b", "ub")
+    p = home.join(both, "cell").withColumn("i", own("na")).withColumn("j", every("nb")).drop("na", "nb")
+    q = guest.join(both, "cell").withColumn("j", own("nb")).withColumn("i", every("na")).drop("na", "nb")
     floor = 1 - reach_of(t) ** 2 / 2 - SLACK
-    orders = scan_orders(side)
+    scores = _scores(verify_orders(side), False, side, VERIFY_NAMES) if strict else _scores(
+        scan_orders(side), True, side, SCAN_NAMES)
+    empty = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}, dtype=object)
 
-    def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        a, b = left["a"].to_numpy(), right["b"].to_numpy()
-        ua, ub = np.stack(left["ua"].to_numpy()), np.stack(right["ub"].to_numpy())
+            return empty
+        a, b = left["item"].to_numpy(), right["item"].to_numpy()
+        ua, ub, nb = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy()), right["norm"].to_numpy()
         fa, fb = ordered(ua, side), ordered(ub, side)
-        found = []
+        out = collector(left, right)
         for s in range(0, len(a), 1024):
             # ordering keeps the length 1, so the distance is a matrix product
             near = fa[s:s + 1024] @ fb.T >= floor
@@ -110,63 +210,38 @@ def candidate_pairs(left: DataFrame, right: DataFrame, side: int, t: float, same
             u, w = np.nonzero(near)
             for k in range(0, len(u), CHECK_PAIRS):
                 x, y = s + u[k:k + CHECK_PAIRS], w[k:k + CHECK_PAIRS]
-                best = np.max([(ua[x][:, o] * ub[y]).sum(axis=1) for o in orders], axis=0)
-                x, y = x[best >= t - SLACK], y[best >= t - SLACK]
-                found.append(pd.DataFrame({"a": a[x], "b": b[y]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=object)
+                ask = out.wanted(x, y)
+                x, y = x[ask], y[ask]
+                if not len(x):
+                    continue
+                got = scores(ua[x], ub[y], nb[y])
+                ok = got["corr"] >= t - 1e-12
+                if keep is not None:
+                    ok &= keep(got)
+                if ok.any():
+                    out.add(x[ok], y[ok], {c: v[ok] for c, v in got.items()})
+        made = out.result()
+        return empty if made is None else made
 
     keys = ["cell", "i", "j"]
-    idt = dict(left.dtypes)["item"]
-    return p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(close, f"a {idt}, b {idt}")
-
-
-def _verify(orders: np.ndarray, turn_right: bool, side: int, names: tuple[str, ...]):
-    """Batch function: best correlation over the orientations, its name, the residual in units
-    of the right vector's norm, and the correlation of 2x2 block means."""
-    half = side // 2
+    return p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(meet, schema)
 
-    def coarse(u: np.ndarray) -> np.ndarray:
-        g = u.reshape(len(u), half, 2, half, 2).mean(axis=(2, 4)).reshape(len(u), half * half)
-        g = g - g.mean(axis=1, keepdims=True)
-        n = np.sqrt((g * g).sum(axis=1, keepdims=True))
-        return np.divide(g, n, out=np.zeros_like(g), where=n > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            a, b = np.stack(pdf["ua"].to_numpy()), np.stack(pdf["ub"].to_numpy())
-            moved, still = (b, a) if turn_right else (a, b)
-            scores = np.stack([(moved[:, o] * still).sum(axis=1) for o in orders], axis=1)
-            # equal scores up to rounding noise: the first orientation
-            which = (scores >= scores.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
-            rows = np.arange(len(pdf))
-            corr = scores[rows, which]
-            turned = moved[rows[:, None], orders[which]]
-            x, y = (a, turned) if turn_right else (turned, b)
-            resid = np.abs(corr[:, None] * x - y).mean(axis=1) * pdf["nb"].to_numpy()
-            # the coarse grid is screened over its own eight orientations
-            small = scan_orders(half)
-            ca, cb = coarse(a), coarse(b)
-            screen = np.max([(ca[:, o] * cb).sum(axis=1) for o in small], axis=0)
-            yield pd.DataFrame({
-                "a": pdf["a"].to_numpy(), "b": pdf["b"].to_numpy(), "corr": corr,
-                "transform": [names[i] for i in which], "residual": resid, "screen": screen})
+def scored_pairs(left: DataFrame, right: DataFrame, side: int, t: float, same: bool, strict: bool, keep=None) -> DataFrame:
+    """(a, b, corr, transform, residual, screen) of the item pairs with correlation >= t."""
+    x, y = (d.select("item", "unit", "norm") for d in (left, right))
+    idt = dict(left.dtypes)["item"]
+    return joined_blocks(x, y, side, t, same, strict, keep, PairList,
+                         f"a {idt}, b {idt}, corr double, transform string, residual double, screen double")
 
-    return run
 
+def _strict_rule(screen: bool):
+    """The residual limit, and with ``screen`` the coarse one, where the pairs meet."""
+    def keep(scores: dict) -> np.ndarray:
+        ok = scores["residual"] <= MAX_RESIDUAL
+        return ok & (scores["screen"] >= SCREEN_CORR) if screen else ok
 
-def scored_pairs(left: DataFrame, right: DataFrame, side: int, t: float, same: bool, strict: bool) -> DataFrame:
-    """(a, b, corr, transform, residual, screen) of the item pairs with correlation >= t."""
-    cand = candidate_pairs(left, right, side, t, same)
-    x = left.select(F.col("item").alias("a"), F.col("unit").alias("ua"))
-    y = right.select(F.col("item").alias("b"), F.col("unit").alias("ub"), F.col("norm").alias("nb"))
-    full = cand.join(x, "a").join(y, "b")
-    run = _verify(verify_orders(side), False, side, VERIFY_NAMES) if strict else _verify(
-        scan_orders(side), True, side, SCAN_NAMES)
-    idt = dict(left.dtypes)["item"]
-    out = full.mapInPandas(run, f"a {idt}, b {idt}, corr double, transform string, residual double, screen double")
-    return out.where(F.col("corr") >= F.lit(t) - F.lit(1e-12))
+    return keep
 
 
 def near_duplicate_pairs(vectors: DataFrame, side: int, t: float = 0.98) -> dict[str, DataFrame]:
@@ -178,11 +253,16 @@ def near_duplicate_pairs(vectors: DataFrame, side: int, t: float = 0.98) -> dict
     return _pairs(vectors, side, t, False)
 
 
-def _pairs(vectors: DataFrame, side: int, t: float, strict: bool) -> dict[str, DataFrame]:
+def _items(vectors: DataFrame, side: int, strict: bool) -> dict[str, DataFrame]:
     d = write_and_read(describe(vectors, side, keep_scale=strict), "described")
     items = write_and_read(collapse(d), "items")
-    members = d.join(items.select("key", "item"), "key").drop("unit", "norm", "key")
-    across = scored_pairs(items, items, side, t, True, strict)
+    return {"items": items, "members": d.join(items.select("key", "item"), "key").drop("unit", "norm", "key")}
+
+
+def _pairs(vectors: DataFrame, side: int, t: float, strict: bool, keep=None) -> dict[str, DataFrame]:
+    out = _items(vectors, side, strict)
+    items = out["items"]
+    across = scored_pairs(items, items, side, t, True, strict, keep)
     within = items.where("n > 1").select(
         F.col("item").alias("a"), F.col("item").alias("b"), F.lit(1.0).alias("corr"),
         F.lit((VERIFY_NAMES if strict else SCAN_NAMES)[0]).alias("transform"), F.lit(0.0).alias("residual"), F.lit(1.0).alias("screen"))
@@ -191,7 +271,7 @@ def _pairs(vectors: DataFrame, side: int, t: float, strict: bool) -> dict[str, D
              .join(n.select(F.col("item").alias("a"), F.col("n").alias("na")), "a")
              .join(n.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b"))
     count = F.when(F.col("a") == F.col("b"), (F.col("na") * (F.col("na") - 1) / 2).cast("bigint")).otherwise(F.col("na") * F.col("nb"))
-    return {"items": items, "members": members, "pairs": sizes.withColumn("pairs", count).drop("na", "nb")}
+    return {**out, "pairs": sizes.withColumn("pairs", count).drop("na", "nb")}
 
 
 def strict_pairs(vectors: DataFrame, side: int, screen: bool = False) -> dict[str, DataFrame]:
@@ -201,12 +281,17 @@ def strict_pairs(vectors: DataFrame, side: int, screen: bool = False) -> dict[st
     miss pairs whose coarse grid carries little of the picture. The verdict on two items is
     that of their first members.
     """
-    out = _pairs(vectors, side, VERIFY_CORR, True)
-    keep = F.col("residual") <= MAX_RESIDUAL
-    if screen:
-        keep = keep & (F.col("screen") >= SCREEN_CORR)
-    out["pairs"] = out["pairs"].where(keep)
-    return out
+    return _pairs(vectors, side, VERIFY_CORR, True, _strict_rule(screen))
+
+
+def strict_items(vectors: DataFrame, side: int) -> dict:
+    """The same relation with its pairs left unlisted, for ``leakage_audit`` and
+    ``duplicate_components``: (items, members, side)."""
+    return {**_items(vectors, side, True), "side": side}
+
+
+def _unlisted(relation: dict, items: DataFrame, collector: type, schema: str) -> DataFrame:
+    return joined_blocks(items, items, relation["side"], VERIFY_CORR, True, True, _strict_rule(False), collector, schema)
 
 
 def leaked_rows_best_partner(train: DataFrame, test: DataFrame, side: int) -> DataFrame:
@@ -219,7 +304,7 @@ def leaked_rows_best_partner(train: DataFrame, test: DataFrame, side: int) -> Da
     dt, de = describe(train, side, keep_scale=True), describe(test, side, keep_scale=True)
     dt, de = write_and_read(dt, "train-described"), write_and_read(de, "test-described")
     a, b = write_and_read(collapse(dt), "train-items"), write_and_read(collapse(de), "test-items")
-    ok = scored_pairs(a, b, side, VERIFY_CORR, False, True).where(F.col("residual") <= MAX_RESIDUAL)
+    ok = scored_pairs(a, b, side, VERIFY_CORR, False, True, _strict_rule(False))
     best = ok.groupBy("a").agg(F.max_by(
         F.struct(F.col("b").alias("partner"), "corr", "transform", "residual"),
         F.struct(F.round("screen", 9).alias("s"), (-F.col("b")).alias("m"))).alias("x")).select(F.col("a").alias("item"), "x.*")
@@ -280,7 +365,20 @@ def leakage_audit(relation: dict[str, DataFrame], claimed: DataFrame) -> DataFra
     ``claimed`` is (id, role, label): members no manifest claims count for nothing.
     """
     m = relation["members"].select("id", "item").join(claimed.select("id", "role", "label"), "id")
-    c = pair_category_counts(relation["pairs"], m, ["role", "label"], [])
+    if "pairs" in relation:
+        c = pair_category_counts(relation["pairs"], m, ["role", "label"], [])
+    else:
+        own = F.struct("role", "label")
+        cats = m.groupBy("item", "role", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("item").agg(
+            F.sort_array(F.collect_list(F.struct(F.to_json(own).alias("cat"), "m"))).alias("c"))
+        items = relation["items"].join(cats, "item").select(
+            "item", "unit", "norm", F.col("c.cat").alias("cats"), F.col("c.m").alias("ms"))
+        across = _unlisted(relation, items, CategoryCounts, "cat_a string, cat_b string, k bigint")
+        kind = m.select(own.alias("s")).schema["s"].dataType.simpleString()
+        part = lambda x: F.from_json(f"cat_{x}", kind)
+        across = across.select(*[part(x)[f].alias(f"{f}_{x}") for f in ("role", "label") for x in ("a", "b")], "k")
+        same_item = relation["items"].where("n > 1").select(F.col("item").alias("a"), F.col("item").alias("b"))
+        c = across.unionByName(pair_category_counts(same_item, m, ["role", "label"], []))
     pair = F.concat_ws("_", F.array_sort(F.array("role_a", "role_b")))
     same = F.col("label_a") == F.col("label_b")
     return c.withColumn("role_pair", pair).groupBy("role_pair").agg(
@@ -346,7 +444,12 @@ def duplicate_components(relation: dict[str, DataFrame], pool: DataFrame) -> Dat
     pool are ignored; the key is the smallest member in the pool."""
     m = relation["members"].select("id", "item").join(pool.select("id"), "id")
     inside = m.groupBy("item").agg(F.min("id").alias("low"))
-    p = relation["pairs"].where("a <> b").select("a", "b")
+    if "pairs" in relation:
+        p = relation["pairs"].where("a <> b").select("a", "b")
+    else:
+        idt = dict(relation["items"].dtypes)["item"]
+        items = relation["items"].join(inside.select("item"), "item").select("item", "unit", "norm")
+        p = _unlisted(relation, items, Forest, f"a {idt}, b {idt}")
     e = (p.join(inside.select(F.col("item").alias("a"), F.col("low").alias("la")), "a")
          .join(inside.select(F.col("item").alias("b"), F.col("low").alias("lb")), "b")
          .select(F.col("la").alias("a"), F.col("lb").alias("b")))

@@ -162,19 +162,17 @@ def _fit(side: int, reach: float, leaf_rows: int) -> Callable[[pd.DataFrame], pd
     return run
 
 
-def _deal(side: int, reach: float, guest: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _deal(side: int, reach: float, guest: bool, columns: list[str]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or trees.empty:
-            return pd.DataFrame({"cell": [], "item": [], "unit": []}, dtype=object)
+            return pd.DataFrame({c: [] for c in columns}, dtype=object)
         t = trees.iloc[0]
-        width = side * side
         tree = {c: list(t[c]) for c in ("pivot", "cut", "left", "right")}
-        tree["vec"] = np.asarray(t["vec"], dtype=float).reshape(-1, width)
+        tree["vec"] = np.asarray(t["vec"], dtype=float).reshape(-1, side * side)
         whole = set(t["whole"])
         idx, leaf = route(np.stack(rows["unit"].to_numpy()), tree, side, reach, guest)
         name = {k: f"{t['cell']}/{k}" + ("!" if k in whole else "") for k in set(leaf.tolist())}
-        return pd.DataFrame({"cell": [name[k] for k in leaf.tolist()],
-                             "item": rows["item"].to_numpy()[idx], "unit": rows["unit"].to_numpy()[idx]})
+        return rows.iloc[idx].assign(cell=[name[k] for k in leaf.tolist()])[columns]
 
     return run
 
@@ -186,17 +184,16 @@ def cell_sizes(home: DataFrame, guest: DataFrame) -> DataFrame:
 
 
 def metric_cells(left: DataFrame, right: DataFrame, side: int, t: float, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(cell, item, unit) of the left items, each once, and of the right items, in every cell
-    where a left item of correlation >= ``t`` may be.
+    """The left items (item, unit, ...) with their ``cell``, each once, and the right items in
+    every cell where a left item of correlation >= ``t`` may be.
 
     Cells above ``leaf_rows`` are those that no cut helps.
     """
     reach = reach_of(t)
-    start = lambda d: d.select(F.lit("").alias("cell"), "item", "unit")
+    # fresh column names for each side, so that a table can meet itself
+    start = lambda d: d.select(F.lit("").alias("cell"), *[F.col(c).alias(c) for c in d.columns])
     home, guest = start(left), start(right)
     kept: list[tuple[DataFrame, DataFrame]] = []
-    idt = dict(left.dtypes)["item"]
-    row = f"cell string, item {idt}, unit array<double>"
     while True:  # a tree leaves at most GAIN of a cell's comparisons, so the rounds end
         sizes = cell_sizes(home, guest).where(
             ~F.col("cell").endswith("!") & ((F.col("nh") > leaf_rows) | (F.col("ng") > leaf_rows)))
@@ -207,7 +204,7 @@ def metric_cells(left: DataFrame, right: DataFrame, side: int, t: float, leaf_ro
         def picked(d: DataFrame, n: str, is_guest: bool) -> DataFrame:
             share = F.lit(float(SAMPLE_ROWS)) / F.col(n)
             draw = F.pmod(F.xxhash64("item", "cell", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            return d.join(full, "cell").where(draw < share).withColumn("guest", F.lit(is_guest))
+            return d.join(full, "cell").where(draw < share).select("cell", "nh", "ng", "item", "unit", F.lit(is_guest).alias("guest"))
 
         trees = write_and_read(
             picked(home, "nh", False).unionByName(picked(guest, "ng", True)).groupBy("cell").applyInPandas(
@@ -225,7 +222,7 @@ def metric_cells(left: DataFrame, right: DataFrame, side: int, t: float, leaf_ro
             copies = trees.join(split.select("cell", salts.alias("k")), "cell").withColumn(
                 "salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
             return rows.groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInPandas(
-                _deal(side, reach, is_guest), row)
+                _deal(side, reach, is_guest, d.columns), d.schema)
 
         home, guest = write_and_read(dealt(home, "nh", False), "home"), write_and_read(dealt(guest, "ng", True), "guest")
     kept.append((home, guest))

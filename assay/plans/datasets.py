@@ -79,7 +79,7 @@ def deduplicated_dataset(rows: DataFrame, side: int, valid_fraction: float = 0.1
     pool, test = rows.where("role = 'train'"), rows.where("role = 'test'")
     leaked = write_and_read(dd.leaked_rows_best_partner(pool.select("id", "v"), test.select("id", "v"), side), "leaked")
     kept = pool.join(leaked.select("id"), "id", "left_anti")
-    relation = dd.strict_pairs(kept.select("id", "v"), side)
+    relation = dd.strict_items(kept.select("id", "v"), side)
     comp = write_and_read(dd.duplicate_components(relation, kept.select("id")), "components")
     carve = kept.select("id", "label").join(comp.select("id", F.col("component").cast("string").alias("grp")), "id")
     done = sp.carve_validation(carve, valid_fraction, seed, exact)

@@ -145,7 +145,7 @@ def _roles(spark, sf):
 @query("leakage_audit", f"""SELECT {SQL_RP} AS role_pair, count(*) FILTER (WHERE la=lb) AS same_class, count(*) FILTER (WHERE la<>lb) AS cross_class FROM {SQL_SR} GROUP BY 1""", ("spairs",))
 def _(spark, sf):
     v = fx.vectors(spark, sf)
-    return dd.leakage_audit(dd.strict_pairs(v.select("id", "v"), SIDE), v)
+    return dd.leakage_audit(dd.strict_items(v.select("id", "v"), SIDE), v)
 
 
 @query("leakage_gate", f"""SELECT f AS n_test_facing, fx AS n_test_facing_cross_class, tv AS n_train_valid, CASE WHEN f>0 THEN 'fail' ELSE 'pass' END AS gate, '' AS exempt_reason FROM (
@@ -203,7 +203,7 @@ cte("reach", "/* RECURSIVE_STEP */ SELECT id, id AS r FROM pool UNION SELECT rea
 @query("duplicate_components", "SELECT id, min(r) AS component FROM reach GROUP BY id", ("reach",))
 def _(spark, sf):
     v = fx.vectors(spark, sf)
-    return dd.duplicate_components(dd.strict_pairs(v.select("id", "v"), SIDE), v.where("role <> 'test'"))
+    return dd.duplicate_components(dd.strict_items(v.select("id", "v"), SIDE), v.where("role <> 'test'"))
 
 
 @query("content_group_key", f"""SELECT 'strict' AS mode, count(DISTINCT g) AS groups, count(*) AS n FROM (SELECT id, min(r) AS g FROM reach GROUP BY id)
@@ -213,7 +213,7 @@ UNION ALL SELECT 'canonical', count(DISTINCT {SQL_CANON}), count(*) FROM (SELECT
 def _(spark, sf):
     v = fx.vectors(spark, sf)
     pool = v.where("role <> 'test'").select("id", "v")
-    rel = dd.strict_pairs(v.select("id", "v"), SIDE)
+    rel = dd.strict_items(v.select("id", "v"), SIDE)
     out = None
     for mode in ("none", "md5", "canonical", "strict"):
         g = dd.content_group_key(pool, mode, SIDE, rel if mode == "strict" else None)

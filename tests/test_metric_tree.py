@@ -49,30 +49,30 @@ def test_a_node_that_no_cut_helps_stays_whole():
 
 
 def frame(spark, x):
-    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item bigint, unit array<double>")
+    return spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "item bigint, unit array<double>, norm double")
 
 
 def test_rounds_with_salted_groups_and_samples_lose_nothing(spark, monkeypatch):
     """Several rounds, small samples, several groups a cell, one hot cluster of near copies."""
     monkeypatch.setattr(mt, "SAMPLE_ROWS", 128)
     monkeypatch.setattr(mt, "GROUP_ROWS", 50)
-    monkeypatch.setattr(mt, "NODES", 5)
-    monkeypatch.setattr(dd, "CELL_ROWS", 20)
+    monkeypatch.setattr(mt, "NODES", 15)
+    monkeypatch.setattr(dd, "CELL_ROWS", 40)
     x = np.concatenate([clouds(400, 25, 0.1), clouds(200, 1, 0.01, seed=9)])
     left, right = frame(spark, x), frame(spark, x)
-    got = {(r["a"], r["b"]) for r in dd.candidate_pairs(left, right, 8, 0.98, True).collect()}
+    got = {(r["a"], r["b"]) for r in dd.scored_pairs(left, right, 8, 0.98, True, False).collect()}
     i, j = np.nonzero(np.triu(best(x, x) >= 0.98, 1))
     assert got == set(zip(i.tolist(), j.tolist())) and len(got) >= 200 * 199 // 2
 
 
 def test_two_tables_of_text_ids_and_an_empty_one(spark):
     x, y = clouds(60, 10, 0.02), clouds(40, 10, 0.02)
-    name = lambda d, p: d.selectExpr(f"concat('{p}', item) AS item", "unit")
+    name = lambda d, p: d.selectExpr(f"concat('{p}', item) AS item", "unit", "norm")
     a, b = name(frame(spark, x), "a"), name(frame(spark, y), "b")
-    got = {(r["a"], r["b"]) for r in dd.candidate_pairs(a, b, 8, 0.99, False).collect()}
+    got = {(r["a"], r["b"]) for r in dd.scored_pairs(a, b, 8, 0.99, False, False).collect()}
     i, j = np.nonzero(best(x, y) >= 0.99)
     assert got == {(f"a{p}", f"b{q}") for p, q in zip(i.tolist(), j.tolist())}
-    assert dd.candidate_pairs(a, b.where("false"), 8, 0.99, False).count() == 0
+    assert dd.scored_pairs(a, b.where("false"), 8, 0.99, False, False).count() == 0
 
 
 def test_comparisons_grow_below_the_square(spark, monkeypatch):
@@ -86,3 +86,31 @@ def test_comparisons_grow_below_the_square(spark, monkeypatch):
 
     small, large = work(1000), work(4000)
     assert large < 8 * small and large < 4000 * 4000 / 8
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark):
+    """One hot cluster of 300 near copies, a few copies of one row, unrelated rows."""
+    x = np.concatenate([clouds(300, 1, 0.005, seed=2), clouds(60, 60, 0.0, seed=3)]) * 40
+    rows = [(i, v.tolist(), ["train", "valid", "test"][i % 3], i % 4) for i, v in enumerate(x)]
+    rows += [(1000 + i, rows[310][1], "test", i % 2) for i in range(30)]
+    return spark.createDataFrame(rows, "id bigint, v array<double>, role string, label int")
+
+
+def test_a_cluster_of_near_copies_emits_no_more_edges_than_rows(spark, near_copies, monkeypatch):
+    monkeypatch.setattr(dd, "CELL_ROWS", 500)
+    relation = dd.strict_items(near_copies.select("id", "v"), 8)
+    edges = dd._unlisted(relation, relation["items"], dd.Forest, "a bigint, b bigint").count()
+    assert edges == 299
+    pool = near_copies.where("role <> 'test'").select("id")
+    get = lambda r: {x["id"]: x["component"] for x in dd.duplicate_components(r, pool).collect()}
+    assert get(relation) == get(dd.strict_pairs(near_copies.select("id", "v"), 8))
+
+
+def test_counted_audit_equals_listed_audit(spark, near_copies, monkeypatch):
+    monkeypatch.setattr(dd, "CELL_ROWS", 100)
+    v = near_copies.select("id", "v")
+    claimed = near_copies.where("id % 7 <> 0")
+    get = lambda r: sorted(map(tuple, dd.leakage_audit(r, claimed).collect()))
+    counted = get(dd.strict_items(v, 8))
+    assert counted == get(dd.strict_pairs(v, 8)) and len(counted) == 6
