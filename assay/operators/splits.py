@@ -52,15 +52,15 @@ def validation_holdout(folds: DataFrame, k: int = 5, fraction: float = 0.2, seed
 
 
 def carve_split(manifest: DataFrame, target: str, fraction: float, seed: int = 42) -> DataFrame:
-    """Move a share of the train groups of each class to ``target``."""
+    """Move a share of the train groups of each class to ``target``; a group with several labels moves whole."""
     if not 0 < fraction < 1:
         raise ValueError("split fractions must be between 0 and 1")
     pool = manifest.where("split = 'train'").select("label", "grp").distinct()
     ranked = hash_rank(pool.withColumn("_h", seeded(seed, target, F.col("grp"))), ["label"], "_h", ["grp"])
     sizes = class_sizes(pool, ["label"])
     moved = ranked.join(sizes, "label").where(F.col("rank") <= holdout_count(F.col("size"), fraction)).select(
-        "label", "grp", F.lit(True).alias("_moved"))
-    out = manifest.join(moved, ["label", "grp"], "left")
+        "grp", F.lit(True).alias("_moved")).distinct()
+    out = manifest.join(moved, "grp", "left")
     take = (F.col("split") == "train") & F.coalesce("_moved", F.lit(False))
     return out.withColumn("split", F.when(take, F.lit(target)).otherwise(F.col("split"))).drop("_moved").select(
         *manifest.columns)
