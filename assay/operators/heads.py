@@ -55,7 +55,7 @@ def random_forest_head(train, evalu, k, trees=500, min_leaf=1, max_depth=30, see
 
 
 def linear_svm_head(train, evalu, k, c=1.0, folds=3, gap=1e-3) -> DataFrame:
-    """Linear machines of all classes and folds, fitted together on their duals; posteriors are the folds' mean of sigmoids of
+    """Linear machines of all classes and folds, fitted together; posteriors are the folds' mean of sigmoids of
     the margins, each sigmoid fitted on the rows that its machine hasn't seen."""
     one = lambda x: x.withColumn("candidate", F.lit(0)).withColumn("weight", F.lit(1.0))
     return linear.many_posteriors(one(train), one(evalu), linear.LinearSvm(k, [c], folds, gap)).select("path", "y", "p")

@@ -1,9 +1,9 @@
 """Linear learners over matrix blocks: many logistic regressions or support vector machines in the same passes.
 
 ``Logistic`` minimises the multinomial loss of all penalties together: a pass returns value and gradient
-of each candidate at its own trial point, candidates step and stop by themselves. ``LinearSvm``
-ascends the duals of all (penalty, fold, class) machines together: a round is one epoch of coordinate
-steps inside each block, whose changes are added up, until the duality gap of each machine is small.
+of each candidate at its own trial point, candidates step and stop by themselves. ``LinearSvm`` takes
+Newton steps for all (penalty, fold, class) machines together: a pass returns value, gradient and curvature
+of each, and a machine stops when its duality gap is small.
 """
 
 from __future__ import annotations
@@ -170,20 +170,37 @@ class LinearSvm:
     def fit(self, sums: Sums) -> tuple[np.ndarray, np.ndarray, int]:
         """(weights, relative gaps, rounds)."""
         penalty = np.repeat(self.cs, self.folds * self.k)
-        blocks, dim = (int(v) for v in (sums(lambda b: np.ones(1))[0], sums(lambda b: np.array([b.x.shape[1] * len(b.y)]))[0] // sums(lambda b: np.array([len(b.y)]))[0] + 1))
+        n, cells = sums(lambda b: np.array([len(b.y), b.x.shape[1] * len(b.y)]))
+        dim = int(cells) // int(n) + 1
         w = np.zeros((len(penalty), dim))
-        gaps = np.full(len(penalty), np.inf)
+
+        def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Value, relative gap, gradient and curvature of each machine."""
+            r, size = sums(_Newton(self, w, penalty)), (w ** 2).sum(axis=1) / 2
+            pull = r[:, 2:2 + dim]  # the weights that belong to the duals 2 c slack
+            primal, dual = size + r[:, 0], r[:, 1] - (pull ** 2).sum(axis=1) / 2
+            return primal, (primal - dual) / np.maximum(1.0, np.abs(primal)), w - pull, np.eye(dim) + r[:, 2 + dim:].reshape(-1, dim, dim)
+
+        now = at(w)
         for turn in range(self.rounds):
-            sums.keep(_Epoch(self, w, penalty, blocks, turn))
-            w = w + sums(_change)
-            if turn % 5 == 4:
-                value = sums(_Values(self, w, penalty))
-                size = (w ** 2).sum(axis=1) / 2
-                primal, dual = size + value[0], value[1] - size
-                gaps = (primal - dual) / np.maximum(1.0, np.abs(primal))
-                if gaps.max() <= self.gap:
-                    return w, gaps, turn + 1
-        return w, gaps, self.rounds
+            value, gaps, gradient, curvature = now
+            live = gaps > self.gap
+            if not live.any():
+                return w, gaps, turn
+            step = np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0]
+            slope, size = (step * gradient).sum(axis=1), live.astype(float)
+            for _ in range(40):
+                new = w - size[:, None] * step
+                then = at(new)
+                fails = live & ~(then[0] <= value - 1e-4 * size * slope)
+                if not fails.any():
+                    break
+                size = np.where(fails, size / 2, size)
+            if (fails | ~live).all():  # no machine gets lower in these numbers
+                return w, gaps, turn
+            w = np.where(fails[:, None], w, new)
+            now = tuple(np.where(fails.reshape(-1, *[1] * (a.ndim - 1)), a, b) for a, b in zip(now, then))
+        return w, now[1], self.rounds
 
     def __call__(self, sums: Sums, candidate: int) -> bytes:
         w, gaps, _ = self.fit(sums)
@@ -211,47 +228,34 @@ class LinearSvm:
         return np.where(total > 0, s / np.where(total > 0, total, 1), 1 / k).mean(axis=2).reshape(len(x), -1)
 
 
-class _Epoch:
-    """Coordinate steps over a block's rows, for all machines at once. Blocks work side by side on the same weights, so each step
-    is taken as if every block took it too; that keeps the sum of all changes an ascent."""
-
-    def __init__(self, svm: LinearSvm, w: np.ndarray, penalty: np.ndarray, blocks: int, turn: int):
-        self.svm, self.w, self.penalty, self.blocks, self.turn = svm, w, penalty, blocks, turn
-
-    def __call__(self, block: Block) -> bytes:
-        x, sign = with_one(block.x), self.svm._signs(block.y)
-        out = self.svm._inside(block.id)
-        alpha = np.frombuffer(block.state[:8 * sign.size]).reshape(sign.shape).copy() if block.state else np.zeros(sign.shape)
-        soft = 1 / (2 * self.penalty[None, :] * np.maximum(block.w, 1e-12)[:, None])
-        norm = (x * x).sum(axis=1)
-        now, change = self.w.copy(), np.zeros_like(self.w)
-        for i in np.random.default_rng(self.turn).permutation(len(x)).tolist():
-            grad = sign[i] * (now @ x[i]) - 1 + alpha[i] * soft[i]
-            new = np.where(out[i], 0.0, np.maximum(alpha[i] - grad / (self.blocks * norm[i] + soft[i]), 0.0))
-            step = np.outer((new - alpha[i]) * sign[i], x[i])
-            change += step
-            now += self.blocks * step
-            alpha[i] = new
-        return alpha.tobytes() + change.tobytes()
-
-
-def _change(block: Block) -> np.ndarray:
-    """Change of the weights that the last epoch left, by its place behind the duals."""
-    x = block.x.shape[1] + 1
-    machines = len(block.state) // (8 * (len(block.y) + x))
-    return np.frombuffer(block.state[8 * machines * len(block.y):]).reshape(machines, x)
+class _Newton:
+    """For each machine: loss, the dual's linear and quadratic part at the duals 2 c slack, the weights of these duals, and the
+    curvature of the loss."""
 
+    #: rows worked on at once
+    ROWS = 4096
 
-class _Values:
-    def __init__(self, svm, w, penalty):
+    def __init__(self, svm: LinearSvm, w: np.ndarray, penalty: np.ndarray):
         self.svm, self.w, self.penalty = svm, w, penalty
 
     def __call__(self, block: Block) -> np.ndarray:
-        sign, out = self.svm._signs(block.y), self.svm._inside(block.id)
-        alpha = np.frombuffer(block.state[:8 * sign.size]).reshape(sign.shape)
-        c = self.penalty[None, :] * np.maximum(block.w, 1e-12)[:, None]
-        slack = np.where(out, 0.0, np.maximum(0.0, 1 - sign * (with_one(block.x) @ self.w.T)))
-        return np.stack([(c * slack ** 2).sum(axis=0), (alpha - alpha ** 2 / (4 * c)).sum(axis=0)])
+        machines, dim = self.w.shape
+        out = np.zeros((machines, 2 + dim + dim * dim))
+        for lo in range(0, len(block.y), self.ROWS):
+            rows = slice(lo, lo + self.ROWS)
+            x, sign = with_one(block.x[rows]), self.svm._signs(block.y[rows])
+            c = np.where(self.svm._inside(block.id[rows]), 0.0, self.penalty[None, :] * np.maximum(block.w[rows], 1e-12)[:, None])
+            slack = np.maximum(0.0, 1 - sign * (x @ self.w.T))
+            alpha = 2 * c * slack
+            out[:, 0] += (c * slack ** 2).sum(axis=0)
+            out[:, 1] += (alpha - alpha * slack / 2).sum(axis=0)
+            out[:, 2:2 + dim] += (alpha * sign).T @ x
+            bend = 2 * c * (slack > 0)
+            for m in range(machines):
+                own = bend[:, m] > 0
+                part = x[own]
+                out[m, 2 + dim:] += ((part * bend[own, m][:, None]).T @ part).ravel()
+        return out
 
 
 class _Sigmoids:

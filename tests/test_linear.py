@@ -131,3 +131,19 @@ def test_baseline_that_fails_keeps_its_row(spark, monkeypatch):
     got = {r.method: (r.status, r.accuracy is not None) for r in out.collect()}
     assert got == {"good": ("ok", True), "bad": ("failed: ArithmeticError: no such thing", False), "absent": ("missing blocks: beta", False)}
     assert preds.select("method").distinct().count() == 1
+
+
+def test_svm_takes_few_passes():
+    """Over the rows of several blocks; passes over the rows don't grow with them."""
+    for n in (300, 6000):
+        rng = np.random.default_rng(13)
+        x, y = rng.normal(size=(n, 8)), rng.integers(0, 4, n)
+        block, passes = Block(x, y.astype(np.int64), np.ones(n), np.arange(n) * 7919), []
+
+        class Counted(Sums):
+            def __call__(self, f):
+                passes.append(f)
+                return super().__call__(f)
+
+        _, gaps, _ = linear.LinearSvm(4, [0.1, 10.0], gap=1e-6).fit(Counted(block))
+        assert gaps.max() <= 1e-6 and len(passes) < 30
