@@ -147,3 +147,22 @@ def test_svm_takes_few_passes():
 
         _, gaps, _ = linear.LinearSvm(4, [0.1, 10.0], gap=1e-6).fit(Counted(block))
         assert gaps.max() <= 1e-6 and len(passes) < 30
+
+
+def test_single_weight_search_counts_rows_where_they_lie(spark):
+    """Also with paths that lack a member, which take no part, and batches of a few rows; no row is multiplied by the points."""
+    rng = np.random.default_rng(17)
+    members, k, n = ["a", "b"], 3, 80
+    y = rng.integers(0, k, n)
+    post = {m: linear.softmax(rng.normal(size=(n, k)) + s * np.eye(k)[y]) for m, s in zip(members, (0.7, 1.2))}
+    preds = spark.createDataFrame([(m, f"r{i}", int(y[i]), post[m][i].tolist()) for m in members for i in range(n)], "method string, path string, y_true int, p array<double>")
+    whole = selection.ensemble_weight_search(preds, members, k).first()
+    lone = spark.createDataFrame([("a", f"x{i}", i % k, [0.1, 0.1, 0.8]) for i in range(40)], preds.schema)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        assert selection.ensemble_weight_search(preds.unionByName(lone), members, k).first() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    block = Block(np.zeros((10**5, 6)), np.zeros(10**5, dtype=np.int64), np.ones(10**5), np.zeros(10**5, dtype=np.int64))
+    assert max(len(x) for x, _ in ensemble.pieces(block, 67, k)) * 67 * k <= ensemble.AT_ONCE
