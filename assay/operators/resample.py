@@ -23,6 +23,8 @@ from assay.operators.metrics import METRICS
 
 PRIME = 2147483647  # 2**31 - 1, so products of two residues fit 63 bits
 BLOCK_GROUPS = 50_000
+#: draws in memory at once, in a task
+DRAWS = 1_000_000
 #: hash buckets of a stratum: this many for each block, so that a block never grows with the table
 BUCKETS_PER_BLOCK, LEAST_BUCKETS = 64, 4096
 
@@ -118,14 +120,16 @@ def cluster_replicates(groups: DataFrame, n_rep: int = 2000, seed: int = 42, chu
         for a in range(first, last, chunk):
             reps = np.arange(a, min(last, a + chunk), dtype=np.int64)
             draws = block_draws(seed, st, sizes[st], block, reps)
-            step = max(1, 4_000_000 // max(1, int(draws.max())))  # bounds the draw matrix
+            step = max(1, DRAWS // max(1, int(draws.max())))
             for s in range(0, len(reps), step):
                 w = _weights(seed, st, block, reps[s:s + step], draws[s:s + step], len(values))
                 out.append(w @ values)
         m = np.concatenate(out) if out else np.zeros((0, values.shape[1]))
         return pd.DataFrame({"rep": np.arange(first, first + len(m), dtype=np.int32), "v": list(m)})
 
-    parts = each.groupBy("stratum", "block", "chunk").applyInPandas(run, "rep int, v array<double>")
+    # few bytes and much work: a number of partitions of its own, which is not merged by size
+    keys = ["stratum", "block", "chunk"]
+    parts = each.repartition(max(par, 2 * n_blocks * chunks), *keys).groupBy(*keys).applyInPandas(run, "rep int, v array<double>")
     width = groups.select(F.size("v").alias("n")).first()["n"]
     return parts.groupBy("rep").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("v"))
 
