@@ -2,8 +2,9 @@
 
 Features are cut into bins once, by quantiles. A round takes the gradients of the softmax loss; each level
 of its trees needs one sum, the histogram of gradients and weights by (class, node, feature, bin), and
-splits every node by the best gain. Bins and scores are left with the blocks every ``KEEP`` rounds; a block
-walks the trees that came later, so a lost executor costs that and nothing else.
+splits every node by the best gain. Of two children only the lighter is summed, the other is the rest of
+their parent. Bins and scores are left with the blocks every ``KEEP`` rounds; a block walks the trees that
+came later, so a lost executor costs that and nothing else.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from assay.operators.blocks import Block, Sums, fit_all, posteriors, to_blocks
 
 
 KEEP = 20
+CHUNK = 2048  # rows whose cells are counted at once, so that they stay in a core's cache
+RUN = 16      # bins of a run; a histogram holds the first bins of all runs, then the second ones, ..., so that runs are summed up side by side
 
 
 @dataclass(frozen=True)
@@ -62,18 +65,18 @@ class Trees:
         self.cut = np.zeros(self.feature.shape, dtype=np.uint8)
         self.value = np.zeros(self.feature.shape, dtype=np.float64)
 
+    def step(self, bins: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Node of each (class, row) one level further down; rows in leaves stay there."""
+        cls, row = np.arange(len(self.feature))[:, None], np.arange(len(bins))[None, :]
+        f = self.feature[cls, node]
+        right = bins[row, np.maximum(f, 0)] > self.cut[cls, node]
+        return np.where(f >= 0, 2 * node + 1 + right, node)
+
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """Node of each (class, row) after some levels; rows in leaves stay there."""
-        k, n = len(self.feature), len(bins)
-        node, row = np.zeros((k, n), dtype=np.int64), np.arange(n)[None, :]
-        cls = np.arange(k)[:, None]
+        """Node of each (class, row) after some levels."""
+        node = np.zeros((len(self.feature), len(bins)), dtype=np.int64)
         for _ in range(levels):
-            f = self.feature[cls, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            right = bins[row, np.maximum(f, 0)] > self.cut[cls, node]
-            node = np.where(inner, 2 * node + 1 + right, node)
+            node = self.step(bins, node)
         return node
 
     def scores(self, bins: np.ndarray, depth: int) -> np.ndarray:
@@ -82,27 +85,53 @@ class Trees:
 
 
 class _Rows:
-    """What a block knows between sums: bins, and scores by the trees seen."""
+    """What a block knows between sums: bins, scores by the trees seen, and how far rows walked down the growing ones."""
 
-    def __init__(self, block: Block, edges: list[np.ndarray], k: int):
+    def __init__(self, block: Block, edges: list[np.ndarray], k: int, bins: int):
         if block.state:
             self.bins, self.score, self.seen = pickle.loads(block.state)
         else:
             self.bins, self.score, self.seen = binned(block.x, edges), np.zeros((len(block.y), k)), 0
-        self.turn, self.g, self.h = -1, None, None
+        #: place of each value in a node's histogram
+        run, at = np.divmod(self.bins.astype(np.int64), RUN)
+        self.cells = (at * (bins // RUN) + run) * self.bins.shape[1] + np.arange(self.bins.shape[1])
+        self.turn, self.g, self.h, self.live = -1, None, None, None
+        self.growing, self.node, self.level = None, None, 0
+
+    def walk(self, new: Trees, level: int) -> np.ndarray:
+        """Node of each (class, row) after some levels of the growing trees."""
+        if self.growing is not new or self.level > level:
+            self.growing, self.node, self.level = new, np.zeros((len(new.feature), len(self.bins)), dtype=np.int64), 0
+        while self.level < level:
+            self.node = new.step(self.bins, self.node)
+            self.level += 1
+        return self.node
 
     def catch_up(self, block: Block, trees: list[Trees], s: Settings, k: int) -> None:
         for t in trees[self.seen:]:
-            self.score += t.scores(self.bins, s.depth)
+            self.score += np.take_along_axis(t.value, self.walk(t, s.depth), axis=1).T
         self.seen = len(trees)
         if self.turn != len(trees):
             p = softmax(self.score)
             w = block.w * (_uniform(block.id, s.seed, len(trees)) < s.rows)
             self.g = ((p - (block.y[:, None] == np.arange(k))) * w[:, None]).T
             self.h = (np.maximum(2 * p * (1 - p), 1e-16) * w[:, None]).T
+            self.live = np.flatnonzero(w > 0)
             self.turn = len(trees)
 
 
+def _running(hist: np.ndarray) -> np.ndarray:
+    """Sums up to each bin of a histogram (kind, bin of the run, run, feature)."""
+    x = hist.copy()
+    for i in range(1, RUN):
+        x[:, i] += x[:, i - 1]
+    before = np.zeros((len(x), *x.shape[2:]))
+    for i in range(1, x.shape[2]):
+        np.add(before[:, i - 1], x[:, -1, i - 1], out=before[:, i])
+    x += before[:, None]
+    return x
+
+
 def _threshold(g: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0)
 
@@ -117,45 +146,76 @@ class Boosting:
         return -self.s.rate * _threshold(g, self.s.l1) / (h + self.s.l2)
 
     def _gain(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return np.maximum(np.abs(g) - self.s.l1, 0) ** 2 / (h + self.s.l2)
+        x = np.abs(g)
+        x -= self.s.l1
+        np.maximum(x, 0, out=x)
+        x *= x
+        x /= h + self.s.l2
+        return x
+
+    def _best(self, hist: np.ndarray, allowed: np.ndarray):
+        """The best cut of a node by its histogram: (feature, bin, sums on the left, sums on the right) or None. Sums are (gradients,
+        weights)."""
+        s, left = self.s, _running(hist)
+        total = left[:, -1, -1, 0]
+        right = total[:, None, None, None] - left
+        gain = self._gain(*left)
+        gain += self._gain(*right)
+        gain -= self._gain(*total[:, None])
+        # in single precision, so that sums in another order choose alike
+        found = np.where(np.minimum(left[1], right[1]) < s.min_child, -np.inf, gain).astype(np.float32)
+        j = int(np.where(allowed, found.max(axis=(0, 1)), -np.inf).argmax())
+        run, at = divmod(int(found[:, :, j].T.argmax()), RUN)
+        if not (allowed[j] and found[at, run, j] > -np.inf and gain[at, run, j] > 1e-9):
+            return None
+        return j, run * RUN + at, left[:, at, run, j], right[:, at, run, j]
 
     def __call__(self, sums: Sums, candidate: int) -> bytes:
         s, k, edges = self.s, self.k, self.edges[candidate]
-        width, bins = len(edges), max((len(e) for e in edges), default=0) + 1
+        width, bins = len(edges), -(-(max((len(e) for e in edges), default=0) + 1) // RUN) * RUN
         trees: list[Trees] = []
         for turn in range(s.rounds):
             rng = np.random.default_rng([s.seed, turn])
-            allowed = np.stack([np.argsort(rng.random(width)) < max(1, round(s.columns * width)) for _ in range(k)])
+            allowed = [np.argsort(rng.random(width)) < max(1, round(s.columns * width)) for _ in range(k)]
             new = Trees(k, s.depth)
-            active = np.stack([np.arange(k), np.zeros(k, dtype=np.int64)], axis=1)  # (class, node)
+            asked = [(c, 0) for c in range(k)]
+            split: list[tuple] = []  # (class, asked child, its sibling, histogram of their parent, which of the two go on)
             for level in range(s.depth):
                 slot = np.full((k, 2 ** (s.depth + 1) - 1), -1)
-                slot[active[:, 0], active[:, 1]] = np.arange(len(active))
-                g, h = sums(_Histogram(trees, new, level, slot, len(active), edges, bins, s, k))
-                node_g, node_h = g[:, 0].sum(axis=1), h[:, 0].sum(axis=1)
+                for i, (c, node) in enumerate(asked):
+                    slot[c, node] = i
+                got = sums(_Histogram(trees, new, level, slot, len(asked), edges, bins, s, k))
                 if level == 0:
-                    new.value[active[:, 0], 0] = self._leaf(node_g, node_h)
-                left_g, left_h = g.cumsum(axis=2), h.cumsum(axis=2)
-                right_g, right_h = node_g[:, None, None] - left_g, node_h[:, None, None] - left_h
-                gain = self._gain(left_g, left_h) + self._gain(right_g, right_h) - self._gain(node_g, node_h)[:, None, None]
-                gain[(left_h < s.min_child) | (right_h < s.min_child) | ~allowed[active[:, 0]][:, :, None]] = -np.inf
-                # in single precision, so that sums in another order choose alike
-                best = gain.astype(np.float32).reshape(len(active), -1).argmax(axis=1)
-                at = np.arange(len(active))[gain.reshape(len(active), -1)[np.arange(len(active)), best] > 1e-9]
-                c, node = active[at, 0], active[at, 1]
-                new.feature[c, node], new.cut[c, node] = best[at] // bins, best[at] % bins
-                grown = []
-                for side, (cg, ch) in enumerate(((left_g, left_h), (right_g, right_h))):
-                    cg, ch = (v.reshape(len(active), -1)[at, best[at]] for v in (cg, ch))
-                    new.value[c, 2 * node + 1 + side] = self._leaf(cg, ch)
-                    more = ch >= 2 * s.min_child  # or no split can follow
-                    grown.append(np.stack([c[more], 2 * node[more] + 1 + side], axis=1))
-                active = np.concatenate(grown)
-                if not len(active):
+                    active = [(c, 0, got[:, i]) for i, (c, _) in enumerate(asked)]
+                    for c, _, hist in active:
+                        new.value[c, 0] = self._leaf(*hist[..., 0].sum(axis=(1, 2)))
+                else:
+                    active = []
+                    for i, (c, node, other, parent, own, rest) in enumerate(split):
+                        if own:
+                            active.append((c, node, got[:, i]))
+                        if rest:
+                            active.append((c, other, parent - got[:, i]))
+                split = []
+                for c, node, hist in active:
+                    cut = self._best(hist, allowed[c])
+                    if cut is None:
+                        continue
+                    new.feature[c, node], new.cut[c, node] = cut[:2]
+                    pair = []
+                    for side, (cg, ch) in enumerate(cut[2:]):
+                        child = 2 * node + 1 + side
+                        new.value[c, child] = self._leaf(cg, ch)
+                        pair.append((ch, child, ch >= 2 * s.min_child))  # or no split can follow
+                    (_, light, own), (_, heavy, rest) = sorted(pair)
+                    if own or rest:
+                        split.append((c, light, heavy, hist, own, rest))
+                asked = [x[:2] for x in split]
+                if not asked:
                     break
             trees.append(new)
             if (turn + 1) % KEEP == 0:
-                sums.keep(_Scores(trees, edges, s, k))
+                sums.keep(_Scores(trees, edges, bins, s, k))
         model = edges, np.stack([t.feature for t in trees]), np.stack([t.cut for t in trees]), np.stack([t.value for t in trees]).astype(np.float32)
         return zlib.compress(pickle.dumps(model), 1)
 
@@ -163,12 +223,12 @@ class Boosting:
 class _Pass:
     """Something that is asked of each block, with the trees so far."""
 
-    def __init__(self, trees, edges, settings, k):
-        self.trees, self.edges, self.s, self.k = trees, edges, settings, k
+    def __init__(self, trees, edges, bins, settings, k):
+        self.trees, self.edges, self.bins, self.s, self.k = trees, edges, bins, settings, k
 
     def rows(self, block: Block) -> _Rows:
         if block.memo is None:
-            block.memo = _Rows(block, self.edges, self.k)
+            block.memo = _Rows(block, self.edges, self.k, self.bins)
         block.memo.catch_up(block, self.trees, self.s, self.k)
         return block.memo
 
@@ -180,21 +240,28 @@ class _Scores(_Pass):
 
 
 class _Histogram(_Pass):
-    """(gradients, weights) by (active node, feature, bin)."""
+    """(gradients, weights) by (asked node, bin of the run, run, feature)."""
 
-    def __init__(self, trees, new, level, slot, active, edges, bins, settings, k):
-        super().__init__(trees, edges, settings, k)
-        self.new, self.level, self.slot, self.active, self.bins = new, level, slot, active, bins
+    def __init__(self, trees, new, level, slot, asked, edges, bins, settings, k):
+        super().__init__(trees, edges, bins, settings, k)
+        self.new, self.level, self.slot, self.asked = new, level, slot, asked
 
     def __call__(self, block: Block) -> np.ndarray:
         rows = self.rows(block)
-        at = self.slot[np.arange(self.k)[:, None], self.new.nodes(rows.bins, self.level)]
-        cls, row = np.nonzero((at >= 0) & (rows.h > 0))
-        at, g, h = at[cls, row], rows.g[cls, row], rows.h[cls, row]
-        width = rows.bins.shape[1]
-        cell = ((at[:, None] * width + np.arange(width)) * self.bins + rows.bins[row]).ravel()
-        shape = self.active, width, self.bins
-        return np.stack([np.bincount(cell, np.repeat(v, width), int(np.prod(shape))).reshape(shape) for v in (g, h)])
+        node, width = rows.walk(self.new, self.level), rows.bins.shape[1]
+        out = np.zeros((2, self.asked, width * self.bins))
+        for c in range(self.k):
+            at = self.slot[c, node[c, rows.live]]
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.diff(at[order], prepend=-1))  # rows of no asked node come first
+            for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+                own = rows.live[order[lo:hi]]
+                for i in range(0, len(own), CHUNK):
+                    part = own[i:i + CHUNK]
+                    cell = rows.cells[part].ravel()
+                    for kind, v in enumerate((rows.g, rows.h)):
+                        out[kind, at[order[lo]]] += np.bincount(cell, np.repeat(v[c, part], width), width * self.bins)
+        return out.reshape(2, self.asked, RUN, -1, width)
 
 
 def edges_of(rows: DataFrame, bins: int) -> dict[int, list[np.ndarray]]:
