@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assay.functions.vectors import mean_row_norm
 
 SAME_TABLE_GAP = 0.002  # fixed value: relative gap of mean row norms below which tables are the same
+VIEW_PART = 32
 
 
 def finite_sum(v: Column) -> Column:
@@ -41,11 +42,15 @@ def feature_block_stats(features: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def view_average(views: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean feature vector over the views of an item."""
-    from pyspark.ml.functions import vector_to_array
-
-    v = views.select(*keys, array_to_vector(F.col("features").cast("array<double>")).alias("x"))
-    return v.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("features"))
+    """Mean feature vector over the views of an item: the plain sum in their order over their number, which a running mean misses by
+    a digit now and then. Vectors are cut into parts of VIEW_PART values, so that none is collected over the views."""
+    x = F.col("features").cast("array<double>")
+    last = F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / VIEW_PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(x, j * VIEW_PART + 1, VIEW_PART))
+    d = views.select(*keys, F.posexplode(parts).alias("_part", "_x"))
+    means = d.groupBy(*keys, "_part").agg(F.max(F.size("_x")).alias("_n"), *[F.avg(F.get("_x", F.lit(i))).alias(f"_m{i}") for i in range(VIEW_PART)])
+    each = means.select(*keys, F.struct("_part", F.slice(F.array(*[f"_m{i}" for i in range(VIEW_PART)]), F.lit(1), F.col("_n")).alias("x")).alias("_s"))
+    return each.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["x"])).alias("features"))
 
 
 def view_setting_classifier(norms: DataFrame, single: dict[tuple[str, str], str] | None = None, strict: bool = True) -> DataFrame:
