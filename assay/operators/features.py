@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assay.functions.vectors import mean_row_norm
@@ -114,12 +114,29 @@ class Representation:
 
 
 def column_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, population SD) per dimension, by one distributed summary."""
-    v = rows.select(array_to_vector(F.col("features").cast("array<double>")).alias("x"))
-    r = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("x")).alias("s")).select("s.*").first()
-    n = int(r["count"])
-    var = np.asarray(r["variance"].toArray()) * ((n - 1) / n if n > 1 else 0.0)
-    return n, np.asarray(r["mean"].toArray()), np.sqrt(var)
+    """(n, mean, population SD) per dimension. Each task sums in extended precision, off some row's values, so the order of rows and
+    the number of tasks don't reach the last digit."""
+    d = rows.select(F.col("features").cast("array<double>").alias("x"))
+    some = d.first()
+    if some is None:
+        raise ValueError("no rows to take moments of")
+    shift = np.asarray(some["x"], dtype=np.longdouble)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros((2, len(shift)), dtype=np.longdouble)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - shift
+                n, total = n + batch.num_rows, total + np.stack([x.sum(axis=0), (x * x).sum(axis=0)])
+        high = total.astype(np.float64)
+        low = (total - high).astype(np.float64)
+        yield pa.RecordBatch.from_pydict({"n": [n], "high": [high.ravel().tolist()], "low": [low.ravel().tolist()]})
+
+    parts = d.mapInArrow(run, "n long, high array<double>, low array<double>").toPandas()  # a row for each task
+    n = int(parts["n"].sum())
+    total = sum(np.asarray(p, dtype=np.longdouble) for c in ("high", "low") for p in parts[c]).reshape(2, -1)
+    off, square = total / n
+    return n, (shift + off).astype(np.float64), np.sqrt(np.maximum(square - off * off, 0)).astype(np.float64)
 
 
 def fit_representation(train: DataFrame, mode: str = "per_dim", pca_variance: float = 0.0,
