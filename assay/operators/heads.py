@@ -108,6 +108,24 @@ def _pivots(train: DataFrame) -> np.ndarray:
     return np.asarray([r["features"] for r in rows], dtype=np.float64)
 
 
+def rounded(d: np.ndarray) -> np.ndarray:
+    return np.round(np.maximum(d, 0.0), 9)
+
+
+def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least of each row of ``d`` at nine decimals, the first column of a tie, without sorting the rest."""
+    if d.shape[1] <= k:
+        i, j = np.indices(d.shape)
+        i, j = i.ravel(), j.ravel()
+    else:
+        # what rounding can bring to the k-th value or below it
+        i, j = np.nonzero(d <= np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1:k], 0.0) + 2e-9)
+    order = np.lexsort((j, rounded(d[i, j]), i))
+    i, j = i[order], j[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[top], j[top]
+
+
 def nearest_neighbours(train: DataFrame, evalu: DataFrame, k: int) -> DataFrame:
     """(path, y, neighbour, ny, d2, rank): the exact k nearest train rows of each row, ties by path.
 
@@ -148,16 +166,16 @@ def nearest_neighbours(train: DataFrame, evalu: DataFrame, k: int) -> DataFrame:
                 continue
             d = to_pivots(np.stack(pdf["features"].to_numpy()).astype(np.float64))[:, cells]
             limit = (d + bound[None, :]).min(axis=1)
-            row, pos = np.nonzero(d - radius[None, :] <= limit[:, None] + 1e-9)
-            out = pdf.iloc[row].reset_index(drop=True)
-            yield out.assign(cell=np.asarray(cells, dtype=np.int32)[pos], blocks=blocks[pos].astype(np.int32))
+            near = d - radius[None, :] <= limit[:, None] + 1e-9
+            yield pdf.assign(cells=[np.asarray(cells, dtype=np.int32)[n] for n in near])
 
+    # a row is copied to its cells by Spark, after it has left Python
     visits = evalu.select("path", "y", "features").mapInPandas(
-        visit, "path string, y int, features array<double>, cell int, blocks int")
+        visit, "path string, y int, features array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+    size = F.get(F.array(*[F.lit(int(x)) for x in np.bincount(cells, weights=blocks, minlength=max(cells) + 1)]), F.col("cell"))
     per_cell = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / KNN_BLOCK).cast("int").alias("vb"))
     v = visits.join(per_cell, "cell").withColumn("q", F.pmod(h32(F.col("path")), F.col("vb")).cast("int")).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "vb")
-    size = F.get(F.array(*[F.lit(int(x)) for x in np.bincount(cells, weights=blocks, minlength=max(cells) + 1)]), F.col("cell"))
+        "b", F.explode(F.sequence(F.lit(0), size - 1))).drop("vb")
     t = placed.drop("pd").withColumn("b", F.pmod(h32(F.col("path")), size).cast("int")).join(per_cell, "cell").withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).drop("vb")
 
@@ -171,12 +189,9 @@ def nearest_neighbours(train: DataFrame, evalu: DataFrame, k: int) -> DataFrame:
         parts = []
         for s in range(0, len(a), 512):
             d = (a[s:s + 512] ** 2).sum(1)[:, None] - 2 * a[s:s + 512] @ b.T + (b * b).sum(1)[None, :]
-            d = np.round(np.maximum(d, 0.0), 9)
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            i = np.repeat(np.arange(len(d)), top.shape[1])
-            j = top.ravel()
+            i, j = nearest(d, k)
             parts.append(pd.DataFrame({"path": rows["path"].to_numpy()[s + i], "y": rows["y"].to_numpy()[s + i],
-                                       "neighbour": names[j], "ny": ny[j], "d2": d[i, j]}))
+                                       "neighbour": names[j], "ny": ny[j], "d2": rounded(d[i, j])}))
         return pd.concat(parts)
 
     keys = ["cell", "b", "q"]
