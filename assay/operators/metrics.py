@@ -177,9 +177,9 @@ def fold_mean_sd(preds: DataFrame, k: int) -> DataFrame:
     return spread.join(pooled.select("method", *[F.col(m).alias(f"{m}_pooled_oof") for m in METRICS]), "method")
 
 
-def group_majority_label(rows: DataFrame, group: str, label: str) -> DataFrame:
-    """Most frequent label of each group, the lowest on ties."""
-    counts = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
+def group_majority_label(rows: DataFrame, group: str, label: str, n: str | None = None) -> DataFrame:
+    """Most frequent label of each group, the lowest on ties; ``n`` says how many rows a row stands for."""
+    counts = rows.groupBy(group, label).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
     return counts.groupBy(group).agg(
         F.min_by(label, F.struct((-F.col("n")).alias("a"), F.col(label).alias("b"))).alias(label))
 

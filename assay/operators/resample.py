@@ -251,9 +251,21 @@ def _hits(preds: DataFrame, methods: list[str]) -> DataFrame:
 
 def cluster_bootstrap_accuracy(preds: DataFrame, methods: list[str], n_rep: int = 2000, seed: int = 42) -> DataFrame:
     """Accuracy under resampling of groups: mean, interval, number of groups, per method."""
+    return cluster_bootstrap_hits(_hits(preds, methods), methods, n_rep, seed)
+
+
+def summed_hits(counts: DataFrame, methods: list[str]) -> DataFrame:
+    """As ``_hits``, from (method, patient_id, ok, n): correct rows and rows."""
+    v = [F.coalesce(F.sum(F.when(F.col("method") == m, F.col(c))).cast("double"), F.lit(0.0)) for m in methods for c in ("ok", "n")]
+    return counts.groupBy("patient_id").agg(F.array(*v).alias("v")).select(
+        F.lit(0).alias("stratum"), F.col("patient_id").alias("grp"), "v")
+
+
+def cluster_bootstrap_hits(hits: DataFrame, methods: list[str], n_rep: int = 2000, seed: int = 42) -> DataFrame:
+    """As ``cluster_bootstrap_accuracy``, from (stratum 0, grp, v): correct rows and rows per method of each group."""
     from assay.session import write_and_read
 
-    g = write_and_read(_hits(preds, methods), "hits")
+    g = write_and_read(hits, "hits")
     reps = cluster_replicates(g, n_rep, seed)
     acc = F.array(*[F.struct(F.lit(m).alias("method"), (F.get("v", F.lit(2 * i)) / F.get("v", F.lit(2 * i + 1))).alias("acc"))
                     for i, m in enumerate(methods)])

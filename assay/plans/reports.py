@@ -51,18 +51,25 @@ def held_out_report(preds: DataFrame, thresholds: list[float], k: int, normal_id
     from assay.operators import resample as rs, selection
     from assay.session import write_and_read
 
-    slices = preds.select("method", F.lit("slice").alias("level"), "path", "patient_id", "y_true", "p")
-    truth = me.group_majority_label(preds, "patient_id", "y_true")
-    pooled = me.mean_posterior_pool(preds, ["method", "patient_id"], k).join(truth, "patient_id").select(
-        "method", F.lit("group").alias("level"), F.col("patient_id").alias("path"), "patient_id", "y_true", "p")
-    cases = slices.unionByName(pooled)
-    # the rules carry (method, path, y_true); level and group travel inside the method
-    who = F.struct("method", "level", "patient_id").alias("method")
-    decided = selection.decision_rules(cases.select(who, "path", "y_true", "p"), thresholds, k, normal_idx, temperature).select(
-        "method.*", "y_true", "rule", F.col("decision").alias("y_pred"))
-    decided = write_and_read(decided, "report-decisions")
+    p = F.col("p")
+    rule = selection.rule_columns(p, po.temperature_apply(p, temperature, k), thresholds, k, normal_idx)
+    # an interval is of the selected rule or of the argmax
+    right = [(rule[r] == F.col("y_true")).cast("int") if r in rule else F.lit(0) for r in ("argmax", selected)]
+    # rows meet once by group and label: what is summed here is all that the groups' figures need
+    sums = [x for i, v in enumerate(po.slots(p, k)) for x in (F.sum(v).alias(f"s{i}"), F.count(v).alias(f"m{i}"))]
+    groups = write_and_read(preds.groupBy("method", "patient_id", "y_true").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(right[0]).alias("plain_ok"), F.sum(right[1]).alias("selected_ok"), *sums), "report-groups")
+    truth = me.group_majority_label(groups, "patient_id", "y_true", "n")
+    means = [F.when(F.sum(f"m{i}") > 0, F.sum(f"s{i}") / F.sum(f"m{i}")) for i in range(k)]
+    pooled = groups.groupBy("method", "patient_id").agg(F.array(*means).alias("p")).join(truth, "patient_id")
+    pooled = write_and_read(pooled.select("method", "patient_id", "y_true", "p", F.lit(1).cast("long").alias("n"),
+                                          right[0].cast("long").alias("plain_ok"), right[1].cast("long").alias("selected_ok")), "report-pooled")
+    # equal posteriors are decided once
+    cases = selection.distinct_posteriors(preds, ["method", "y_true"]).select("method", F.lit("slice").alias("level"), "y_true", "p", "n").unionByName(
+        pooled.select("method", F.lit("group").alias("level"), "y_true", "p", "n"))
+    decided = selection.decision_rules(cases, thresholds, k, normal_idx, temperature, ("level", "y_true", "n"))
     keys = ["method", "level", "rule"]
-    cm = write_and_read(me.confusion_counts(decided, keys), "report-counts")
+    cm = write_and_read(decided.groupBy(*keys, "y_true", F.col("decision").alias("y_pred")).agg(F.sum("n").alias("n")), "report-counts")
     codes = preds.sparkSession.range(k).select(F.col("id").cast("int").alias("y_true"))
     risk = me.expected_risk(cm, keys, selection.cost_table(codes, normal_idx))
     rules = me.metrics_full_report(cm, keys, k).join(risk, keys).join(me.miss_kinds(cm, keys, normal_idx), keys)
@@ -78,9 +85,13 @@ def held_out_report(preds: DataFrame, thresholds: list[float], k: int, normal_id
     used = rules.where("selected").select("method", "level", F.when(gained, "argmax").otherwise(F.lit(selected)).alias("rule"))
     of_rule = rules.select(*keys, "accuracy").join(used, keys)
     names = sorted(r["method"] for r in used.select("method").distinct().collect())  # the methods under report
-    chosen = decided.join(F.broadcast(used), keys)  # two rows a method
-    spans = [rs.cluster_bootstrap_accuracy(chosen.where(F.col("level") == level), names, n_rep, seed).withColumn("level", F.lit(level))
-             for level in ("slice", "group")] if names else []
+
+    def span(counts: DataFrame, level: str) -> DataFrame:
+        mine = counts.join(F.broadcast(used.where(F.col("level") == level)), "method")  # one row a method
+        ok = F.when(F.col("rule") == selected, F.col("selected_ok")).otherwise(F.col("plain_ok")).alias("ok")
+        return rs.cluster_bootstrap_hits(rs.summed_hits(mine.select("method", "patient_id", ok, "n"), names), names, n_rep, seed).withColumn("level", F.lit(level))
+
+    spans = [span(groups, "slice"), span(pooled, "group")] if names else []
     each = spans[0].unionByName(spans[1]) if names else preds.sparkSession.createDataFrame(
         [], "method string, mean double, lo double, hi double, n_units bigint, level string")
     intervals = of_rule.join(each, ["method", "level"])
