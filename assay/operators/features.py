@@ -116,9 +116,9 @@ class Representation:
         return rows.select(*names, "features").mapInPandas(run, schema)
 
 
-def column_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, population SD) per dimension. Each task sums in extended precision, off some row's values, so the order of rows and
-    the number of tasks don't reach the last digit."""
+def extended_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, population variance) per dimension in extended precision. Each task sums so, off some row's values, and the order of
+    rows and the number of tasks don't reach the last digit of a double."""
     d = rows.select(F.col("features").cast("array<double>").alias("x"))
     some = d.first()
     if some is None:
@@ -139,7 +139,13 @@ def column_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     n = int(parts["n"].sum())
     total = sum(np.asarray(p, dtype=np.longdouble) for c in ("high", "low") for p in parts[c]).reshape(2, -1)
     off, square = total / n
-    return n, (shift + off).astype(np.float64), np.sqrt(np.maximum(square - off * off, 0)).astype(np.float64)
+    return n, shift + off, np.maximum(square - off * off, 0)
+
+
+def column_moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, population SD) per dimension."""
+    n, mean, variance = extended_moments(rows)
+    return n, mean.astype(np.float64), np.sqrt(variance).astype(np.float64)
 
 
 def fit_representation(train: DataFrame, mode: str = "per_dim", pca_variance: float = 0.0,
@@ -147,7 +153,8 @@ def fit_representation(train: DataFrame, mode: str = "per_dim", pca_variance: fl
     """Standardise per dimension, per block or not at all, then keep the components that carry
     more than ``pca_variance`` of the variance. Fitted on the rows given, which must be train rows.
     """
-    n, mean, sd = column_moments(train)
+    n, exact, variance = extended_moments(train)
+    mean, sd = exact.astype(np.float64), np.sqrt(variance).astype(np.float64)
     if mode == "per_dim":
         # variance lost in rounding counts as constant
         rep = Representation(mode, mean, np.where(sd > 10 * np.finfo(float).eps * np.maximum(1.0, np.abs(mean)), sd, 1.0))
@@ -157,9 +164,10 @@ def fit_representation(train: DataFrame, mode: str = "per_dim", pca_variance: fl
         m, s, off = np.zeros(len(mean)), np.ones(len(mean)), 0
         for d in dims:
             block = slice(off, off + d)
-            mu = mean[block].mean()
+            # in extended precision, too: the last digit of these two is in every value
+            mu = exact[block].mean()
             # variance over all values of the block = mean within + between the columns
-            var = (sd[block] ** 2).mean() + ((mean[block] - mu) ** 2).mean()
+            var = variance[block].mean() + ((exact[block] - mu) ** 2).mean()
             m[block], s[block] = mu, np.sqrt(var) or 1.0
             off += d
         rep = Representation(mode, m, s)
